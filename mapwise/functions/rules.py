@@ -68,7 +68,7 @@ def age_phrase(seconds: Column) -> Column:
         n = F.floor(seconds / size).cast("long")
         text = F.when(n == 1, f"1 {unit} ago").otherwise(F.concat(n.cast("string"), F.lit(f" {unit}s ago")))
         phrase = F.when(n != 0, text).otherwise(phrase)
-    return phrase
+    return F.when(seconds.isNotNull(), phrase)
 
 
 def family_rank(category: Column, abbreviation: Column, scale_id: Column) -> Column:

@@ -7,11 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from mapwise.operators import access, coverage, maps, programs, reports
+from mapwise.operators import access, coverage, evaluation, maps, merge, programs, reports, requests
 from mapwise.plans.session import shared_dir
-from mapwise.sources import tables
+from mapwise.sources import imports, jsonl, sinks, tables
 from mapwise.sources.adapter import Tables
 
+ACCESS_TABLES = ["role_user", "roles", "departments", "faculties", "campuses", "programs", "courses",
+                 "course_programs", "faculty_course_codes"]
+
 Job = Callable[[Tables], DataFrame]
 
 LOADED = ["programs", "courses", "course_programs", "learning_outcomes", "program_learning_outcomes",
@@ -30,6 +33,180 @@ def _load_tables(t: Tables) -> DataFrame:
     return result
 
 
+def _stale_grants(t: Tables) -> DataFrame:
+    """Grants left over once faculty-wide heads step down and directors lose the faculty-wide access."""
+    now = {name: t[name] for name in ACCESS_TABLES}
+    wide = "has_access_to_all_courses_in_faculty"
+    now["department_head"] = t["department_head"].filter(~F.col(wide))
+    now["program_directors"] = t["program_directors"].withColumn(wide, F.lit(False))
+    return access.stale_grants(now, access.expand_grants(t))
+
+
+def _pending(t: Tables) -> DataFrame:
+    return t["mapping_requests"].filter(F.col("status") == requests.PENDING)
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return requests.request_pairs(_pending(t), t["learning_outcomes"], t["program_learning_outcomes"])
+
+
+def _prompts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return requests.build_prompts(
+        _pending(t), t["learning_outcomes"], t["program_learning_outcomes"], t["request_scales"]
+    )
+
+
+def _prompt_digests(t: Tables) -> DataFrame:
+    """The whole prompts are built; their length and digest are compared instead of shipping the texts."""
+    return _prompts(t)[0].select(
+        "request_id", "course_id", "program_id", "pair_id", F.length("prompt").cast("long").alias("n_chars"),
+        F.md5("prompt").alias("prompt_md5"),
+    )
+
+
+def _write_prompts(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "prompts")
+    jsonl.write_prompts(_prompts(t)[0], folder)
+    record = "id string, inputs string, parameters struct<max_new_tokens:bigint>"
+    lines = t.spark.read.schema("value string, course_id bigint, program_id bigint").text(folder)
+    return lines.withColumn("r", F.from_json("value", record)).select(
+        "course_id", "program_id", "r.id", F.md5("r.inputs").alias("prompt_md5"), "r.parameters.max_new_tokens"
+    )
+
+
+def _read_results(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "results")
+    t["model_result_lines"].select("line").write.text(folder)
+    good, quarantined = jsonl.read_results(t.spark, folder)
+    return good.withColumn("kind", F.lit("good")).unionByName(quarantined.withColumn("kind", F.lit("quarantined")))
+
+
+def _results(t: Tables) -> DataFrame:
+    return requests.process_results(t["model_result_lines"].select("line"))[0]
+
+
+def _route_requests(t: Tables) -> DataFrame:
+    path = F.concat(F.lit("store/batch_outputs/"), F.col("clo_id"), F.lit(".jsonl.out"))
+    return requests.route_requests(t["mapping_requests"], _results(t).select(path.alias("output_path")))
+
+
+def _joined_labels(df: DataFrame) -> DataFrame:
+    return df.withColumn("map_labels", F.array_join("map_labels", ","))
+
+
+def _scored(t: Tables) -> DataFrame:
+    parts = F.filter(F.split("map_labels", "(?=,)"), lambda x: F.length(x) > 0)
+    return evaluation.attach_predictions(t["labelled_pairs"], t["predictions"].withColumn("map_labels", parts))
+
+
+def _read_labelled_pairs(t: Tables) -> DataFrame:
+    """Write the labelled set as latin-1 CSV the way it is handed in, then read it."""
+    folder = shared_dir(t.spark, "labelled")
+    text = F.col("id").cast("string")
+    t["labelled_pairs"].orderBy("id").select(
+        F.concat(F.lit("Décrire outcome "), text).alias("Course Learning Objective"),
+        F.concat(F.lit('Standard, "'), text, F.lit('"')).alias("SAF standard"),
+        F.col("score").alias("Score"), F.col("i_label").alias("I"), F.col("r_label").alias("R"),
+        F.col("e_label").alias("E"),
+    ).write.option("header", True).option("encoding", "ISO-8859-1").option("escape", "\\").csv(folder)
+    return imports.read_labelled_pairs(t.spark, folder)
+
+
+def _import_outcomes(t: Tables) -> DataFrame:
+    """One folder of outcome files per course code and term; blank outcomes are written to be dropped."""
+    folder = shared_dir(t.spark, "outcomes")
+    key = F.concat_ws("-", "course_code", "semester").alias("file_key")
+    courses = t["courses"].select("course_id", "course_code", "semester", key)
+    outcome = F.when(F.col("clo_shortphrase").isNull(), "").otherwise(F.col("l_outcome"))
+    t["learning_outcomes"].join(courses, "course_id").select(
+        "file_key", outcome.alias("Learning Outcome"), F.col("clo_shortphrase").alias("Short Phrase")
+    ).write.partitionBy("file_key").option("header", True).csv(folder)
+    owners = courses.select(F.concat(F.lit("file_key="), F.col("file_key")).alias("file_key"), "course_code", "semester").distinct()
+    return imports.import_outcomes(t.spark, folder, owners).select("course_code", "semester", "outcome", "short_phrase")
+
+
+def _import_program_outcomes(t: Tables) -> DataFrame:
+    """One folder per program level and sheet; the sheet name is the category."""
+    folder = shared_dir(t.spark, "program-outcomes")
+    sheet = F.concat(F.lit("Sheet "), F.coalesce((F.col("plo_category_id") % 10).cast("string"), F.lit("none")))
+    rows = t["program_learning_outcomes"].join(t["programs"].select("program_id", "level"), "program_id").select(
+        F.concat_ws("-", "level", sheet).alias("file_key"), "level", sheet.alias("category"), "pl_outcome", "plo_shortphrase"
+    )
+    rows.select("file_key", "pl_outcome", "plo_shortphrase").write.partitionBy("file_key").option("header", True).csv(folder)
+    owners = rows.select(F.concat(F.lit("file_key="), F.col("file_key")).alias("file_key"),
+                         F.col("level").alias("program_level"), "category").distinct()
+    return imports.import_outcomes(t.spark, folder, owners)
+
+
+def _write_reports(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "reports")
+    sheets = {**reports.program_listing(t), "modal": reports.program_grid(t, "modal")}
+    sinks.write_reports(sheets, folder)
+    counts = [
+        t.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"))
+        for name in sheets
+    ]
+    result = counts[0]
+    for c in counts[1:]:
+        result = result.unionByName(c)
+    return result
+
+
+def _stack(parts: dict[str, DataFrame], columns: dict[str, tuple]) -> DataFrame:
+    """Copied tables as one long table (kind, new_id, parent_id, text)."""
+    result = None
+    for kind, (new_id, parent, text) in columns.items():
+        part = parts[kind].select(
+            F.lit(kind).alias("kind"), F.col(new_id).alias("new_id"),
+            (F.col(parent) if parent else F.lit(None)).cast("long").alias("parent_id"), text.alias("text"),
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _duplicate_courses(t: Tables) -> DataFrame:
+    """Roll the courses of 2024 over."""
+    nothing = F.lit("")
+    return _stack(merge.duplicate_courses(t, t["courses"].filter(F.col("year") == 2024).select("course_id")), {
+        "courses": ("course_id", None, F.col("course_title")),
+        "assessment_methods": ("a_method_id", "course_id", F.col("a_method")),
+        "learning_activities": ("l_activity_id", "course_id", F.col("l_activity")),
+        "learning_outcomes": ("l_outcome_id", "course_id", F.col("l_outcome")),
+        "outcome_assessments": ("a_method_id", "l_outcome_id", nothing),
+        "outcome_activities": ("l_activity_id", "l_outcome_id", nothing),
+        "course_optional_priorities": ("op_id", "course_id", nothing),
+    })
+
+
+def _duplicate_programs(t: Tables) -> DataFrame:
+    category = F.coalesce(F.col("plo_category_id").cast("string"), F.lit("-"))
+    return _stack(merge.duplicate_programs(t, t["programs"].filter(F.col("level") == "Doctoral").select("program_id")), {
+        "programs": ("program_id", None, F.col("program")),
+        "p_l_o_categories": ("plo_category_id", "program_id", F.col("plo_category")),
+        "program_learning_outcomes": ("pl_outcome_id", "program_id", F.concat_ws(" ", "pl_outcome", category)),
+        "mapping_scales": ("map_scale_id", None, F.col("title")),
+        "mapping_scale_programs": ("map_scale_id", "program_id", F.lit("")),
+    })
+
+
+def _detach(t: Tables) -> dict[str, DataFrame]:
+    return merge.detach(t, t["course_programs"].filter(F.col("map_status") == 2))
+
+
+def _reset(t: Tables) -> dict[str, DataFrame]:
+    masters = t["programs"].filter(F.col("level") == "Masters")
+    return merge.reset_scale_family(
+        t, masters.select("program_id", F.lit(1).cast("long").alias("mapping_scale_categories_id"))
+    )
+
+
+def _split_legacy(t: Tables) -> DataFrame:
+    categories, links = merge.split_legacy_program(t["legacy_courses"])
+    return categories.select(F.lit("category").alias("kind"), "course_id", F.col("standard_category_id").alias("value")).unionByName(
+        links.select(F.lit("link").alias("kind"), "course_id", F.col("program_id").alias("value"))
+    )
+
+
 QUERIES: dict[str, Job] = {
     "load_tables": _load_tables,
     "with_scopes": programs.with_scopes,
@@ -76,4 +253,50 @@ QUERIES: dict[str, Job] = {
        for part in ("outcomes", "scales", "info", "courses")},
     **{f"course_listing_{part}": (lambda t, part=part: reports.course_listing(t)[part])
        for part in ("outcomes", "scales", "standards")},
+    "visible_entities": access.visible_entities,
+    "effective_permission": access.effective_permission,
+    "expand_grants": access.expand_grants,
+    "stale_grants": _stale_grants,
+    "course_owners": lambda t: access.elect_owner(t["course_users"], "course_id"),
+    "recent_entities": partial(reports.recent_entities, k=5, now="2026-01-01 00:00:00"),
+    "request_pairs": _pairs,
+    "build_prompts": _prompt_digests,
+    "build_prompts_rejects": lambda t: _prompts(t)[1],
+    "write_prompts": _write_prompts,
+    "read_results": _read_results,
+    "process_results": lambda t: _joined_labels(_results(t)),
+    "process_results_rejects": lambda t: requests.process_results(t["model_result_lines"].select("line"))[1],
+    "route_requests": _route_requests,
+    "latest_finished": lambda t: requests.latest_finished(t["mapping_requests"]),
+    "pending_backlog": lambda t: requests.pending_backlog(t["mapping_requests"], "2026-01-01 00:00:00"),
+    "chunk_pairs": lambda t: requests.chunk_pairs(_pairs(t)),
+    "explode_answers": lambda t: _joined_labels(requests.explode_answers(t["list_answers"])[0]),
+    "explode_answers_rejects": lambda t: requests.explode_answers(t["list_answers"])[1],
+    "undersample": lambda t: evaluation.undersample(t["labelled_pairs"], 42),
+    "split_sets": lambda t: evaluation.split_sets(t["labelled_pairs"], 42),
+    "attach_predictions": lambda t: _scored(t).select(
+        "run_id", "id", "score", F.array_join("map_labels", "").alias("map_labels"), "pred_score"),
+    "binary_metrics": lambda t: evaluation.binary_metrics(_scored(t)),
+    "label_match": lambda t: evaluation.label_match(_scored(t)),
+    "hamming": lambda t: evaluation.hamming(_scored(t)),
+    "run_comparison": lambda t: evaluation.run_comparison(_scored(t)),
+    "read_labelled_pairs": _read_labelled_pairs,
+    "import_outcomes": _import_outcomes,
+    "import_program_outcomes": _import_program_outcomes,
+    "write_reports": _write_reports,
+    "replace_pairs": lambda t: merge.replace_pairs(t["outcome_maps"], t["outcome_map_ai_suggestions"]),
+    "upsert": lambda t: merge.upsert(
+        t["standards_outcome_maps"], t["incoming_standard_maps"], ["standard_id", "course_id"]),
+    "duplicate_courses": _duplicate_courses,
+    "duplicate_programs": _duplicate_programs,
+    "detach_course_programs": lambda t: _detach(t)["course_programs"],
+    "detach_outcome_maps": lambda t: _detach(t)["outcome_maps"],
+    "reset_scale_family_maps": lambda t: _reset(t)["outcome_maps"],
+    "reset_scale_family_scales": lambda t: _reset(t)["mapping_scale_programs"],
+    "reset_scale_family_links": lambda t: _reset(t)["course_programs"],
+    "backfill_scale_id": lambda t: merge.backfill_scale_id(
+        t["legacy_maps"], t["mapping_scales"], "map_scale_value", "map_scale_id"),
+    "split_legacy_program": _split_legacy,
+    "match_legacy_priorities": lambda t: merge.match_legacy_priorities(t["legacy_priorities"], t["optional_priorities"]),
+    "course_bundles": merge.course_bundles,
 }

@@ -250,6 +250,33 @@ VIEWS: dict[str, str] = {
                case when min(map_scale_id) = 0 then 'false' else 'true' end as mapped,
                min(map_scale_id) as map_scale_id
         from @outcome_maps group by l_outcome_id, pl_outcome_id""",
+    "request_scales": """
+        select k.program_id, s.map_scale_id, s.title,
+               case when s.map_scale_id = 12 and k.program_id % 2 = 1 then null else s.abbreviation end as abbreviation
+        from @mapping_scale_programs k join @mapping_scales s on s.map_scale_id = k.map_scale_id
+        where not (k.program_id % 5 = 2 and k.program_id % 3 = 0)""",
+    "list_answers": """
+        select l_outcome_id, pl_outcome_id, case kind % 3
+            when 0 then '<think>' || chr(10) || 'weighing ' || pair_id || chr(10) || '</think>' || chr(10) || chr(10)
+                        || '[{"id": "' || pair_id || '", "mapLabels": ["I", "R"], "explanation": "first"}, '
+                        || '{"id": "' || pair_id || '-b", "mapLabels": [], "explanation": "second"}]'
+            when 1 then '<think>short</think>{"id": "' || pair_id || '", "mapLabels": ["E"], "explanation": "cut off he'
+            else 'no block and no answer' end as generated_text
+        from @answer_texts""",
+    "incoming_standard_maps": """
+        select c.course_id, s.standard_id, (c.course_id + s.standard_id + 1) % 4 as standard_scale_id
+        from @courses c join @standards s on s.standard_category_id = c.standard_category_id
+        where c.semester = 'W1'""",
+    "legacy_maps": """
+        select a.l_outcome_id, a.pl_outcome_id,
+               case when a.kind = 6 then 'Q' else s.abbreviation end as map_scale_value,
+               cast(null as bigint) as map_scale_id
+        from @answer_texts a join @mapping_scales s on s.map_scale_id = a.map_scale_id""",
+    "legacy_courses": "select course_id, program_id from @course_programs",
+    "legacy_priorities": """
+        select c.course_id, case when o.subcat_id = 4 then o.optional_priority || ' (old)'
+                                 else o.optional_priority end as priority_text
+        from @course_optional_priorities c join @optional_priorities o on o.op_id = c.op_id""",
     "model_result_lines": """
         select l_outcome_id, pl_outcome_id, case kind
             when 0 then '{"generated_text": "' || body || '"}'
