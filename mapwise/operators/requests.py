@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.functions import answers, rules
 from mapwise.plans.numbering import number_rows
 from mapwise.plans.skew import fan_out_join
+from mapwise.plans.steps import computed_once
 
 # Request states, answer keys, request parameters.
 PENDING, SUCCEEDED, FAILED = "PENDING", "AWAITING_COMPLETION", "AWAITING_COMPLETION_FAILED"
@@ -48,7 +49,7 @@ def request_pairs(requests: DataFrame, clos: DataFrame, plos: DataFrame) -> Data
     )
 
 
-def _filled(template: str, values: dict) -> F.Column:
+def _filled(template: str, values: dict) -> Column:
     import re
 
     pieces = re.split(r"\{(scales|labels|clo|plo|id)\}", template)
@@ -121,36 +122,33 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     ``lines`` has a text column ``line``; other columns are kept. ``reason`` is null for usable rows.
     """
-    parsed = lines.filter(F.length(answers.strip(F.col("line"))) > 0).withColumn(
-        "_outer", F.try_parse_json("line")
-    ).withColumn("_text", answers.after_think(answers.generated_text(F.col("_outer"))))
-    inner = F.try_parse_json("_text")
+    rows = lines.filter(F.length(answers.strip(F.col("line"))) > 0)
+    rows = computed_once(rows, _outer=F.try_parse_json("line"))
+    rows = computed_once(rows, _text=answers.after_think(answers.generated_text(F.col("_outer"))))
+    rows = computed_once(rows, _inner=F.try_parse_json("_text"))
     is_object = F.coalesce(answers.variant_kind(F.col("_inner")).startswith("OBJECT"), F.lit(False))
+    rows = computed_once(rows, _object=is_object)
+    text, nothing = F.col("_text"), F.lit(None).cast("string")
 
-    def either(path: str, kind: str, scanned, default):
-        return F.when(is_object, F.coalesce(answers.variant_field(F.col("_inner"), path, kind), default)).otherwise(
-            F.coalesce(scanned, default)
-        )
+    def either(path: str, kind: str, scanned: Column | None, default: Column) -> Column:
+        found = F.coalesce(answers.variant_field(F.col("_inner"), path, kind), default)
+        return F.when(F.col("_object"), found).otherwise(default if scanned is None else F.coalesce(scanned, default))
 
-    text, nothing = F.col("_text"), F.lit(None).cast("string")
-    composite = either("$.id", "string", answers.scanned(text, "id"), nothing)
-    no_labels = F.array().cast("array<string>")
-    return (
-        parsed.withColumn("_inner", inner)
-        .withColumn("_id", composite)
-        .select(
-            *lines.columns,
-            rules.pair_part(F.col("_id"), 1).alias("clo_id"),
-            rules.pair_part(F.col("_id"), 2).alias("plo_id"),
-            either("$.CLO", "string", answers.scanned(text, "clo"), F.lit("")).alias("clo"),
-            either("$.Accreditation_Standard", "string", answers.scanned(text, "accreditation_standard"), F.lit(""))
-            .alias("accreditation_standard"),
-            either("$.is_mapped", "boolean", F.lit(None).cast("boolean"), F.lit(False)).alias("is_mapped"),
-            either("$.explanation", "string", answers.scanned(text, "explanation"), nothing).alias("explanation"),
-            either("$.mapLabels", "array<string>", F.lit(None).cast("array<string>"), no_labels).alias("map_labels"),
-            F.when(F.col("_outer").isNull(), "malformed line").when(text.isNull(), "no text")
-            .when(rules.pair_part(F.col("_id"), 1).isNull(), "bad id").alias("reason"),
-        )
+    rows = computed_once(rows, _id=either("$.id", "string", answers.scanned(text, "id"), nothing))
+    rows = computed_once(rows, clo_id=rules.pair_part(F.col("_id"), 1), plo_id=rules.pair_part(F.col("_id"), 2))
+    reason = (
+        F.when(F.col("_outer").isNull(), "malformed line").when(text.isNull(), "no text")
+        .when(F.col("clo_id").isNull() | F.col("plo_id").isNull(), "bad id")
+    )
+    return computed_once(rows, reason=reason).select(
+        *lines.columns, "clo_id", "plo_id",
+        either("$.CLO", "string", answers.scanned(text, "clo"), F.lit("")).alias("clo"),
+        either("$.Accreditation_Standard", "string", answers.scanned(text, "accreditation_standard"), F.lit(""))
+        .alias("accreditation_standard"),
+        either("$.is_mapped", "boolean", None, F.lit(False)).alias("is_mapped"),
+        either("$.explanation", "string", answers.scanned(text, "explanation"), nothing).alias("explanation"),
+        either("$.mapLabels", "array<string>", None, F.array().cast("array<string>")).alias("map_labels"),
+        "reason",
     )
 
 
@@ -217,18 +215,24 @@ def explode_answers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A cut object is repaired first; the reader forgives single quotes, bare keys, comments and trailing commas.
     """
-    at = F.instr("generated_text", answers.THINK_END)
-    has = at > 0
-    reasoning = F.when(has, answers.strip(F.replace(F.substr("generated_text", F.lit(1), at - 1), F.lit("<think>"), F.lit(""))))
-    output = F.when(has, answers.repaired(answers.after_think(F.col("generated_text"))))
+    rows = computed_once(df, _at=F.instr("generated_text", answers.THINK_END))
+    has = F.col("_at") > 0
+    block = F.substr("generated_text", F.lit(1), F.col("_at") - 1)
+    reasoning = F.when(has, answers.strip(F.replace(block, F.lit("<think>"), F.lit(""))))
+    rows = computed_once(rows, reasoning=reasoning, _out=F.when(has, answers.after_think(F.col("generated_text"))))
+    rows = computed_once(rows, _out2=answers.repaired(F.col("_out")))
+    as_list = F.when(F.col("_out2").startswith("{"), F.concat(F.lit("["), F.col("_out2"), F.lit("]"))).otherwise(F.col("_out2"))
     lenient = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true"}
-    as_list = F.when(F.col("_out").startswith("{"), F.concat(F.lit("["), F.col("_out"), F.lit("]"))).otherwise(F.col("_out"))
-    as_list = F.regexp_replace(as_list, r",\s*([\]}])", "$1")
-    read = df.withColumn("reasoning", reasoning).withColumn("_out", output).withColumn(
-        "_answers", F.from_json(as_list, _ANSWER, lenient)
+    rows = computed_once(rows, _list=as_list)
+    strict = computed_once(rows, _first=F.from_json("_list", _ANSWER, lenient))
+    # Trailing commas are dropped only where the text does not read without that.
+    untrailed = F.regexp_replace("_list", r",\s*([\]}])", "$1")
+    readable = F.get("_first", F.lit(0))["id"].isNotNull()
+    read = computed_once(
+        strict, _answers=F.when(readable, F.col("_first")).otherwise(F.from_json(untrailed, _ANSWER, lenient))
     )
     kept = [c for c in df.columns if c != "generated_text"]
-    usable = F.coalesce(F.size("_answers") > 0, F.lit(False)) & F.coalesce(F.col("_answers")[0]["id"].isNotNull(), F.lit(False))
+    usable = F.coalesce(F.get("_answers", F.lit(0))["id"].isNotNull(), F.lit(False))
     rows = read.filter(usable).select(*kept, "reasoning", F.explode("_answers").alias("a")).select(
         *kept, "reasoning", F.col("a.id").alias("id"), F.col("a.explanation").alias("explanation"),
         F.col("a.mapLabels").alias("map_labels"),

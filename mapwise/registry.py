@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from mapwise.operators import access, coverage, evaluation, maps, merge, programs, reports, requests
+from mapwise.operators.corpus import fields
 from mapwise.plans.session import shared_dir
 from mapwise.sources import imports, jsonl, sinks, tables
 from mapwise.sources.adapter import Tables
@@ -299,4 +300,9 @@ QUERIES: dict[str, Job] = {
     "split_legacy_program": _split_legacy,
     "match_legacy_priorities": lambda t: merge.match_legacy_priorities(t["legacy_priorities"], t["optional_priorities"]),
     "course_bundles": merge.course_bundles,
+    "corpus_lines": lambda t: t["corpus_lines"],
+    "strip_headers": lambda t: fields.strip_headers(t["corpus_lines"]),
+    "course_code": lambda t: fields.course_code(t["corpus_lines"]),
+    "course_title": lambda t: fields.course_title(t["corpus_lines"], fields.course_code(t["corpus_lines"])),
+    "course_term": lambda t: fields.course_term(t["corpus_lines"], month=1, year=2026),
 }

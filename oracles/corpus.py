@@ -1 +1,152 @@
-SQL: dict[str, str] = {}
+"""SQL for the document extraction."""
+
+from mapwise.functions import vocabulary as v
+from mapwise.functions.text import any_of
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def among(items) -> str:
+    return "(" + ", ".join(q(i) for i in items) + ")"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def upper(x: str) -> str:
+    return f"(regexp_matches({x}, {q(v.UPPER)}) and not regexp_matches({x}, {q(v.LOWER)}))"
+
+
+def title(x: str) -> str:
+    return f"(regexp_matches({x}, {q(v.TITLE_CASE)}) and regexp_matches({x}, {q(v.UPPER)}))"
+
+
+def words(x: str) -> str:
+    return f"(case when length({x}) = 0 then 0 else len(regexp_split_to_array({x}, '\\s+')) end)"
+
+
+def label(x: str) -> str:
+    return f"regexp_replace(lower({x}), ':+$', '')"
+
+
+def heading(x: str) -> str:
+    return f"regexp_replace({label(x)}, {q(v.SECTION_NUMBER)}, '')"
+
+
+def heading_of(x: str, items) -> str:
+    n = heading(x)
+    return f"""({n} in {among(items)} or (instr({n}, ':') > 0 and {strip(f"substr({n}, instr({n}, ':') + 1)")} in {among(items)}))"""
+
+
+def boundary(x: str, stops, expected) -> str:
+    n = heading(x)
+    return f"""(length({n}) > 0 and {n} not in {among(expected)} and ({n} in {among(stops)} or ({words(strip(n))} <= 6
+               and ({upper(x)} or regexp_matches({x}, {q(v.NUMBERED_TITLE)})))))"""
+
+
+def bullet_class(x: str) -> str:
+    m = f"regexp_extract({x}, {q(v.BULLET)}, 1)"
+    return f"""case when length({m}) = 0 then null
+        when regexp_matches({m}, '^[(]?[0-9]') then 'number' || cast(length({m}) - length(replace({m}, '.', '')) as varchar)
+        when regexp_matches({m}, '^\\(') then 'letter' else {m} end"""
+
+
+STRIPPED = f"""
+    select doc_id, file_name, page_no, line_no, rel_top, text
+    from (select *, bool_or(zone <> 'body' and seen >= floor(pages * 0.8)) over (partition by doc_id, norm) as gone
+          from (select *, count(*) over (partition by doc_id, zone, norm) as seen,
+                       max(page_no) over (partition by doc_id) + 1 as pages
+                from (select *, case when regexp_matches(t, {q(v.PAGE_NUMBER_TEXT)}) then regexp_replace(t, '[0-9]+', '<NUM>', 'g') else t end as norm,
+                             case when rel_top < 0.1 then 'top' when rel_top > 0.9 then 'bottom' else 'body' end as zone
+                      from (select *, {strip('text')} as t from @corpus_lines) a) b) c) d
+    where not gone"""
+
+CODES = f"""
+    select n.doc_id, coalesce(nullif(regexp_extract(course, '^([A-Za-z]+)', 1), ''), 'TEST') as code,
+           coalesce(cast(nullif(regexp_extract(course, '([0-9]{{3,}})', 1), '') as bigint), 999) as number
+    from (select d.doc_id, case when regexp_extract(name, {q(v.FILE_NAME_CODE)}, 2) <> ''
+                   then upper(regexp_extract(name, {q(v.FILE_NAME_CODE)}, 1)) || ' ' || regexp_extract(name, {q(v.FILE_NAME_CODE)}, 2)
+                   else f.found end as course
+          from (select doc_id, string_split(max(file_name), '/')[-1] as name from @corpus_lines group by doc_id) d
+          left join (select doc_id, found from (
+                select doc_id, found, row_number() over (partition by doc_id order by count(*) desc, min(line_no * 100000 + ix)) as rn
+                from (select doc_id, line_no, ix, regexp_replace(codes[ix + 1], '[A-Z]$', '') as found
+                      from (select doc_id, line_no, codes, unnest(range(0, len(codes))) as ix
+                            from (select doc_id, line_no, list_filter(regexp_extract_all(text, {q(v.TEXT_CODE)}, 1),
+                                         lambda c: regexp_matches(c, {q(v.WHOLE_CODE)})) as codes from @corpus_lines) a) b) c
+                group by doc_id, found) r where rn = 1) f on f.doc_id = d.doc_id) n"""
+
+_WORD_EDGE = r"(?:^|[^\p{L}\p{N}_])%s(?:[^\p{L}\p{N}_]|$)"
+_NAMED = " + ".join(f"cast(regexp_matches(lower(title), {q(_WORD_EDGE % w)}) as int)" for w in ("code", "section", "number"))
+
+TITLES = f"""
+    with l as (select c.*, k.code, cast(k.number as varchar) as number, k.code || ' ' || cast(k.number as varchar) as course,
+                      lead(t) over (partition by c.doc_id order by line_no) as nxt
+               from (select *, {strip('text')} as t from @corpus_lines) c join ({CODES}) k using (doc_id)),
+    cand as (select doc_id, line_no, 0 as ix, coalesce(nullif(regexp_extract(t, {q(v.TITLE_LABEL)}, 1), ''), nxt) as title
+             from l where regexp_matches(t, {q(v.TITLE_LABEL)})
+             union all select doc_id, line_no, 1, substr(t, instr(t, course || ':')) from l where instr(t, course || ':') > 0
+             union all select doc_id, line_no, 2, substr(t, instr(t, course || ' –')) from l where instr(t, course || ' –') > 0
+             union all select doc_id, line_no, 3, t from l where regexp_matches(t, {q(v.TITLE_BEFORE_CODE)})),
+    counted as (select doc_id, title, count(*) as n, min(line_no * 10 + ix) as first, {_NAMED} > 1 as is_heading
+                from cand where title is not null group by doc_id, title),
+    best as (select doc_id, title from (select *, max(n) over (partition by doc_id) as top,
+                    row_number() over (partition by doc_id, is_heading order by n desc, first) as rn from counted) x
+             where not is_heading and rn = 1 and n = top),
+    firsts as (select doc_id, arg_min(t, line_no) as first_line from l
+               where t <> '' and not regexp_matches(t, '^[0-9]+$') and rel_top between 0.1 and 0.9 group by doc_id),
+    x as (select d.doc_id, d.course, coalesce(f.first_line, d.course) as fallback,
+                 {strip("regexp_replace(replace(replace(b.title, d.code, ''), d.number, ''), '[!-/:-@\\[-`{-~]', '', 'g')")} as bare
+          from (select distinct doc_id, code, number, course from l) d left join best b using (doc_id) left join firsts f using (doc_id))
+    select doc_id, case when bare is null then fallback when lower(bare) in ('course code number', 'course code') then course
+           else coalesce(nullif({strip("regexp_replace(bare, '^–', '')")}, ''), fallback) end as title from x"""
+
+
+def _term_name(x: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({x}, {q(p)}) then {q(n)}" for p, n in v.TERM_NAMES) + " else '' end"
+
+
+_MONTH_MAP = "map {" + ", ".join(f"{q(k)}: {n}" for k, n in v.MONTH_NUMBER.items()) + "}"
+
+TERMS = f"""
+    with l as (select doc_id, page_no, line_no, text, string_split(file_name, '/')[-1] as name,
+                      nullif(regexp_extract(text, {q(v.TERM)}, 1), '') as m from @corpus_lines),
+    pg as (select doc_id, page_no, arg_min(m, line_no) as m from l where m is not null group by doc_id, page_no),
+    dated as (select doc_id, arg_min(m, page_no) as m from pg where regexp_matches(m, {q(v.YEAR)}) group by doc_id),
+    undated as (select doc_id, arg_max(m, page_no) as m from pg where not regexp_matches(m, {q(v.YEAR)}) group by doc_id),
+    mon as (select doc_id, {_MONTH_MAP}[w] as mo, count(*) as n
+            from (select doc_id, unnest(regexp_extract_all(text, {q(v.WORD)}, 0)) as w from l) z
+            where w in {among(v.MONTH_NUMBER)} group by all),
+    top as (select doc_id, arg_min(mo, -n * 100 + mo) as mo, max(n) as n from mon group by doc_id),
+    yc as (select doc_id, y, count(*) as n, min(line_no * 100000 + ix) as first
+           from (select doc_id, line_no, ys[ix + 1] as y, ix
+                 from (select doc_id, line_no, ys, unnest(range(0, len(ys))) as ix
+                       from (select doc_id, line_no, regexp_extract_all(text, {q(v.YEAR)}, 0) as ys from l) a) b) c group by doc_id, y),
+    ty as (select doc_id, y, n from (select *, row_number() over (partition by doc_id order by n desc, first) as rn from yc) z where rn = 1),
+    d as (select doc_id, nullif(regexp_extract(name, {q(v.TERM)}, 1), '') as nm, nullif(regexp_extract(name, {q(v.YEAR)}, 0), '') as ny
+          from (select doc_id, max(name) as name from l group by doc_id) z),
+    x as (select d.doc_id, case when regexp_matches(coalesce(d.nm, ''), {q(v.YEAR)}) then d.nm else dated.m end as explicit,
+                 coalesce(undated.m, case when not regexp_matches(d.nm, {q(v.YEAR)}) then d.nm end) as half,
+                 coalesce(top.mo, 1) as mo, coalesce(top.n, 0) as n_mo, coalesce(d.ny, ty.y) as y, ty.n as top_n
+          from d left join dated using (doc_id) left join undated using (doc_id) left join top using (doc_id) left join ty using (doc_id)),
+    z as (select x.*, case when explicit is not null then {_term_name('explicit')} when half is not null and y is not null then {_term_name('half')}
+                 when mo <= 4 then 'Winter Term 2' when mo <= 6 then 'Summer Term 1' when mo <= 8 then 'Summer Term 2' else 'Winter Term 1' end as term,
+                 case when explicit is not null then cast(regexp_extract(explicit, {q(v.YEAR)}, 0) as bigint)
+                      when half is not null and y is not null then cast(y as bigint)
+                      when mo <= 4 and n_mo > 0
+                           and exists (select 1 from yc where yc.doc_id = x.doc_id and yc.y = x.y and yc.n = x.top_n)
+                           and not exists (select 1 from yc where yc.doc_id = x.doc_id and cast(yc.y as bigint) = cast(x.y as bigint) + 1)
+                      then cast(y as bigint) - 1 else cast(y as bigint) end as yr from x)
+    select doc_id, case term when 'Winter Term 1' then 'W1' when 'Winter Term 2' then 'W2' when 'Summer Term 1' then 'S1'
+           when 'Summer Term 2' then 'S2' else 'W2' end as term, coalesce(yr, 2026) as year from z"""
+
+SQL: dict[str, str] = {
+    "corpus_lines": "select doc_id, file_name, page_no, line_no, rel_top, text from @corpus_lines",
+    "strip_headers": STRIPPED,
+    "course_code": CODES,
+    "course_title": TITLES,
+    "course_term": TERMS,
+}
