@@ -8,10 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from mapwise.operators import access, coverage, evaluation, maps, merge, programs, reports, requests
-from mapwise.operators.corpus import fields
+from mapwise.operators.corpus import assessments, fields, materials, records, sections
 from mapwise.plans.session import shared_dir
-from mapwise.sources import imports, jsonl, sinks, tables
+from mapwise.sources import corpus, imports, jsonl, sinks, tables
 from mapwise.sources.adapter import Tables
+from mapwise.streaming import request_state, results
 
 ACCESS_TABLES = ["role_user", "roles", "departments", "faculties", "campuses", "programs", "courses",
                  "course_programs", "faculty_course_codes"]
@@ -208,6 +209,34 @@ def _split_legacy(t: Tables) -> DataFrame:
     )
 
 
+def _body(t: Tables) -> DataFrame:
+    return fields.strip_headers(t["corpus_lines"])
+
+
+def _load_corpus(t: Tables) -> DataFrame:
+    """All blocks of the documents; texts as digests."""
+    blocks = corpus.load_corpus(t.spark, f"{t.folder}/documents.parquet")
+    return blocks.select("doc_id", "page_no", "block_no", "rel_top", F.md5("text").alias("text_md5"))
+
+
+def _stream_results(t: Tables) -> DataFrame:
+    """All answer lines as files, ingested; then the same lines once more, which must change nothing."""
+    source, target = shared_dir(t.spark, "answers"), shared_dir(t.spark, "suggestions")
+    lines = t["model_result_lines"].select("line")
+    for _ in range(2):
+        lines.write.mode("append").text(source)
+        results.stream_results(t.spark, source, target, files_per_batch=4).awaitTermination()
+    return _joined_labels(results.suggestions(t.spark, target))
+
+
+def _stream_request_state(t: Tables) -> DataFrame:
+    """All request events as files in no particular order, followed in several batches."""
+    source, target = shared_dir(t.spark, "requests"), shared_dir(t.spark, "state")
+    t["mapping_requests"].repartition(6, "request_id").write.parquet(source)
+    request_state.stream_request_state(t.spark, source, target, files_per_batch=2).awaitTermination()
+    return request_state.current_state(t.spark, target)
+
+
 QUERIES: dict[str, Job] = {
     "load_tables": _load_tables,
     "with_scopes": programs.with_scopes,
@@ -305,4 +334,16 @@ QUERIES: dict[str, Job] = {
     "course_code": lambda t: fields.course_code(t["corpus_lines"]),
     "course_title": lambda t: fields.course_title(t["corpus_lines"], fields.course_code(t["corpus_lines"])),
     "course_term": lambda t: fields.course_term(t["corpus_lines"], month=1, year=2026),
+    "load_corpus": _load_corpus,
+    "section_text": lambda t: sections.section_text(_body(t)),
+    "goal_items": lambda t: sections.goal_items(_body(t)),
+    "topic_items": lambda t: sections.topic_items(_body(t)),
+    "clean_topics": lambda t: sections.clean_topics(sections.topic_items(_body(t))),
+    "assessment_items": lambda t: assessments.assessment_items(t["corpus_lines"]),
+    "material_items": lambda t: materials.material_items(_body(t)),
+    "clean_materials": lambda t: materials.clean_materials(materials.material_items(_body(t))),
+    "course_children": lambda t: records.course_children(t["corpus_lines"]),
+    "course_records": lambda t: records.course_records(t["corpus_lines"], month=1, year=2026),
+    "stream_results": _stream_results,
+    "stream_request_state": _stream_request_state,
 }

@@ -113,4 +113,10 @@ SQL: dict[str, str] = {
                                 from @list_answers where instr(generated_text, '</think>') > 0) p) q) r) s""",
     "explode_answers_rejects": """
         select l_outcome_id, pl_outcome_id, generated_text from @list_answers where generated_text like 'no block%'""",
+    "stream_results": f"""select clo_id, plo_id, clo, accreditation_standard, is_mapped, explanation, map_labels
+        from ({PARSED}) p where reason is null""",
+    "stream_request_state": """
+        select course_id, program_id, request_id, status, created_at
+        from (select *, row_number() over (partition by course_id, program_id order by created_at desc, request_id desc) as rn
+              from @mapping_requests) r where rn = 1""",
 }
