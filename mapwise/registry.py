@@ -70,9 +70,9 @@ def _write_prompts(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "prompts")
     jsonl.write_prompts(_prompts(t)[0], folder)
     record = "id string, inputs string, parameters struct<max_new_tokens:bigint>"
-    lines = t.spark.read.schema("value string, course_id bigint, program_id bigint").text(folder)
-    return lines.withColumn("r", F.from_json("value", record)).select(
-        "course_id", "program_id", "r.id", F.md5("r.inputs").alias("prompt_md5"), "r.parameters.max_new_tokens"
+    lines = t.spark.read.schema("value string, bucket bigint").text(folder)
+    return lines.select(F.from_json("value", record).alias("r")).select(
+        "r.id", F.md5("r.inputs").alias("prompt_md5"), "r.parameters.max_new_tokens"
     )
 
 

@@ -14,14 +14,14 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines.filter(valid), lines.filter(~valid)
 
 
-def write_prompts(prompts: DataFrame, path: str, files_per_request: int = 8) -> None:
-    """One JSON line per pair below course_id=/program_id= folders, text unescaped.
+def write_prompts(prompts: DataFrame, path: str, folders: int = 32, files_per_folder: int = 4) -> None:
+    """One JSON line per pair, text unescaped, in a bounded number of folders and files.
 
-    Rows are brought together per request before the write, so a task holds few open files; a request with
-    very many pairs spreads over up to ``files_per_request`` tasks.
+    The lines of a request share the folder ``bucket=`` of its (course, program); one folder per request would
+    make as many small files as there are requests. A folder spreads over several tasks, so a request with
+    very many pairs is not one task's work. The pair id in each line says where its answer belongs.
     """
-    payload = prompt_payload(prompts)
-    spread = F.pmod(F.xxhash64("value"), F.lit(files_per_request))
-    payload.repartition("course_id", "program_id", spread).write.mode("overwrite").partitionBy(
-        "course_id", "program_id"
-    ).text(path)
+    bucket = F.pmod(F.xxhash64("course_id", "program_id"), F.lit(folders)).alias("bucket")
+    payload = prompt_payload(prompts).select(bucket, "value")
+    spread = F.pmod(F.xxhash64("value"), F.lit(files_per_folder))
+    payload.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").text(path)

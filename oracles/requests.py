@@ -70,7 +70,7 @@ SQL: dict[str, str] = {
     "build_prompts_rejects": f"""
         select r.request_id, r.course_id, r.program_id from {REQUESTS} r join ({_SCALE_TEXTS}) s using (program_id)
         where incomplete""",
-    "write_prompts": f"""select course_id, program_id, pair_id as id, md5(prompt) as prompt_md5,
+    "write_prompts": f"""select pair_id as id, md5(prompt) as prompt_md5,
         cast(1500 as bigint) as max_new_tokens from ({PROMPTS}) p""",
     "read_results": """select trim(line) as line, case when json_valid(line) then 'good' else 'quarantined' end as kind
         from @model_result_lines where length(trim(line)) > 0""",
