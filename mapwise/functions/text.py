@@ -23,7 +23,7 @@ def is_upper(t: Column) -> Column:
 
 
 def is_title(t: Column) -> Column:
-    return t.rlike(v.TITLE_CASE) & t.rlike(v.UPPER)
+    return t.rlike(v.UPPER) & ~t.rlike(v.TITLE_BREAK)
 
 
 def word_count(t: Column) -> Column:

@@ -211,7 +211,7 @@ LONE_MARK = r"(?i)^(?:[0-9]+|[ivxlcdm]+)[.)]\s*$"
 SECTION_NUMBER = r"^[0-9]+(?:\.[0-9]+)*[.)]?\s*"
 NUMBERED_TITLE = r"^[0-9]+(?:\.[0-9]+)*[.)]?\s+[A-Z][A-Za-z&/ -]+$"
 UPPER, LOWER = r"\p{Lu}", r"\p{Ll}"
-TITLE_CASE = r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$"
+TITLE_BREAK = r"[\p{Lu}\p{Ll}]\p{Lu}|(?:^|[^\p{Lu}\p{Ll}])\p{Ll}"  # what title case never has
 COURSE_LINE = r"^[A-Z]{4}[ ]?[0-9]{3}"
 TITLE_LABEL = r"(?:Course [Tt]itle|course Title|Course Name)[:\s]*(.*)$"
 TITLE_BEFORE_CODE = r"^.+:\s*[A-Z]{4}\s*[0-9]{3}\s*$"
@@ -223,7 +223,10 @@ DATED_LINE = r"(?i)^(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z
 TOPIC_STAFF = r"(?i)\s*\([^)]*(?:dr\.|instructor|ta|teaching assistant|prof|professor|teacher)[^)]*\)\s*$"
 TOPIC_LABELS = r"(?i)^week\s+[0-9]+\s*-\s*[0-9]+$|^[a-z]?[0-9]+(?:\.[0-9]+)*[.)]?$"
 TOPIC_DEADLINES = r"^quiz unit [0-9]+$|^assignment [0-9]+|(?:^|[^\p{L}\p{N}_])due(?:[^\p{L}\p{N}_]|$)"
-CITATION = r"^[A-Z][A-Za-z'’.-]+(?:[,\s&]+[A-Za-z'’.-]+\.?)*\s+(?:\([0-9]{4}\)|[0-9]{4})\.\s+.+\.?$"
+# Names, commas and ampersands are one character class: a repeated group would recurse on long lines.
+CITATION = (
+    r"^[A-Z][A-Za-z'’.-]+(?:[,\s&][A-Za-z'’.,&\s-]*[A-Za-z'’.-])?\s+(?:\([0-9]{4}\)|[0-9]{4})\.\s+.+\.?$"
+)
 BIBLIOGRAPHY = r"^[A-Z].{0,120},.*(?:\([0-9]{4}\)|(?:^|[^\p{L}\p{N}_])[0-9]{4})\.?\s+.+"
 NUMBERED_ITEM = r"^[0-9]{1,2}[.)]\s+(.+)$"
 PUBLICATION = (

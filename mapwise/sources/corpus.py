@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mapwise.plans.steps import computed_once
+
 LINES_PER_PAGE = 12
 
 _CODE = "case doc_id % 4 when 0 then 'MATH' when 1 then 'HIST' when 2 then 'CHEM' else 'BIOL' end"
@@ -103,15 +105,13 @@ def corpus_lines(documents: DataFrame) -> DataFrame:
     within a document finds its lines in one partition and needs no exchange of its own.
     """
     per_page, body = LINES_PER_PAGE, _BODY
-    staged = (
-        documents.select("doc_id", "source", "text").repartition("doc_id")
-        .selectExpr("doc_id", "source", "text", *_WORDS.replace(", split_part", "|split_part").split("|"))
-        .selectExpr("doc_id", "source", f"{FILE_NAME} as file_name",
-                    f"concat(array_compact(array({_LIST})), split(text, chr(10))) as body")
-        .selectExpr("*", f"cast((size(body) + {body - 1}) div {body} as bigint) as n_pages")
-        .selectExpr("doc_id", "file_name", f"""flatten(transform(sequence(0L, n_pages - 1), p ->
-            concat(array({_HEADER}), slice(body, cast(p * {body} + 1 as int), {body}), array({_FOOTER})))) as lines""")
-    )
+    docs = documents.select("doc_id", "source", "text").repartition("doc_id")
+    words = _WORDS.replace(", split_part", "|split_part").split("|")
+    docs = computed_once(docs, **{f"w{i + 1}": F.expr(w.rsplit(" as ", 1)[0]) for i, w in enumerate(words)})
+    docs = computed_once(docs, body=F.expr(f"concat(array_compact(array({_LIST})), split(text, chr(10)))"))
+    docs = computed_once(docs, file_name=F.expr(FILE_NAME), n_pages=F.expr(f"cast((size(body) + {body - 1}) div {body} as bigint)"))
+    staged = computed_once(docs, lines=F.expr(f"""flatten(transform(sequence(0L, n_pages - 1), p ->
+        concat(array({_HEADER}), slice(body, cast(p * {body} + 1 as int), {body}), array({_FOOTER}))))"""))
     last = F.col("line_no") == F.col("n_lines") - 1
     in_page = F.col("line_no") % per_page
     rel_top = (

@@ -21,7 +21,7 @@ def upper(x: str) -> str:
 
 
 def title(x: str) -> str:
-    return f"(regexp_matches({x}, {q(v.TITLE_CASE)}) and regexp_matches({x}, {q(v.UPPER)}))"
+    return f"(regexp_matches({x}, {q(v.UPPER)}) and not regexp_matches({x}, {q(v.TITLE_BREAK)}))"
 
 
 def words(x: str) -> str:
