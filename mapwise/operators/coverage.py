@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mapwise.functions import rules
-from mapwise.operators.maps import resolved_maps
+from mapwise.operators.maps import mapped_pairs
 from mapwise.operators.programs import Frames, with_scopes
 from mapwise.plans.skew import fan_out_join
 
@@ -161,7 +161,7 @@ def mapping_completeness(t: Frames) -> DataFrame:
     """Expected and actual mapped pairs per (program, course) and whether the program has gaps."""
     plos = t["program_learning_outcomes"].groupBy("program_id").agg(F.count(F.lit(1)).alias("n_plos"))
     actual = (
-        resolved_maps(t).select("program_id", "course_id", "l_outcome_id", "pl_outcome_id").distinct()
+        mapped_pairs(t).select("program_id", "course_id", "l_outcome_id", "pl_outcome_id").distinct()
         .groupBy("program_id", "course_id").agg(F.count(F.lit(1)).alias("actual"))
     )
     rows = (
@@ -186,7 +186,7 @@ def mapping_completeness(t: Frames) -> DataFrame:
 def course_mapped_flag(t: Frames) -> DataFrame:
     """'Yes' when every outcome of the course is mapped to some outcome of the program."""
     mapped = (
-        resolved_maps(t).select("program_id", "course_id", "l_outcome_id").distinct()
+        mapped_pairs(t).select("program_id", "course_id", "l_outcome_id").distinct()
         .groupBy("program_id", "course_id").agg(F.count(F.lit(1)).alias("n_mapped"))
     )
     done = (F.col("n_clos") > 0) & (F.col("n_clos") == F.col("n_mapped"))

@@ -11,8 +11,8 @@ from mapwise.plans.skew import fan_out_join
 CELL = ["program_id", "pl_outcome_id", "course_id"]
 
 
-def resolved_maps(t: Frames, multi: str = "all") -> DataFrame:
-    """Every mapped (CLO, PLO) pair of every program with its scales.
+def mapped_pairs(t: Frames, multi: str = "all") -> DataFrame:
+    """Every mapped (CLO, PLO, scale id) of every program the course belongs to.
 
     ``multi='all'`` keeps each scale of a pair, ``'one'`` the lowest scale id.
     """
@@ -23,14 +23,19 @@ def resolved_maps(t: Frames, multi: str = "all") -> DataFrame:
         maps.join(t["learning_outcomes"].select("l_outcome_id", "course_id"), "l_outcome_id")
         .join(t["program_learning_outcomes"].select("pl_outcome_id", "program_id"), "pl_outcome_id")
         .join(t["course_programs"].select("program_id", "course_id"), ["program_id", "course_id"])
-        .join(t["mapping_scales"].select("map_scale_id", "abbreviation"), "map_scale_id")
-        .select("program_id", "course_id", "l_outcome_id", "pl_outcome_id", "map_scale_id", "abbreviation")
+    )
+
+
+def resolved_maps(t: Frames, multi: str = "all") -> DataFrame:
+    """``mapped_pairs`` with the scale's abbreviation."""
+    return mapped_pairs(t, multi).join(t["mapping_scales"].select("map_scale_id", "abbreviation"), "map_scale_id").select(
+        "program_id", "course_id", "l_outcome_id", "pl_outcome_id", "map_scale_id", "abbreviation"
     )
 
 
 def _cell_scales(t: Frames) -> DataFrame:
-    """Counts per cell and scale, before scopes multiply the rows."""
-    return resolved_maps(t).groupBy(*CELL, "map_scale_id").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per cell and scale; scale rows and scopes are joined to the counts, not to the maps."""
+    return mapped_pairs(t).groupBy(*CELL, "map_scale_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scoped(t: Frames, cells: DataFrame) -> DataFrame:
@@ -39,7 +44,8 @@ def _scoped(t: Frames, cells: DataFrame) -> DataFrame:
 
 def scale_frequency(t: Frames) -> DataFrame:
     """Scale counts per (program, scope, PLO, course)."""
-    return _scoped(t, _cell_scales(t)).select("program_id", "scope", "pl_outcome_id", "course_id", "map_scale_id", "n")
+    known = _cell_scales(t).join(t["mapping_scales"].select("map_scale_id"), "map_scale_id")
+    return _scoped(t, known).select("program_id", "scope", "pl_outcome_id", "course_id", "map_scale_id", "n")
 
 
 def modal_cells(t: Frames) -> DataFrame:
@@ -132,7 +138,7 @@ def cell_outcome_text(t: Frames) -> DataFrame:
     Rows stay long: a cell may rest on any number of outcomes, so none is gathered into one value.
     """
     return (
-        resolved_maps(t).filter(F.col("map_scale_id") != rules.NOT_APPLICABLE)
+        mapped_pairs(t).filter(F.col("map_scale_id") != rules.NOT_APPLICABLE)
         .select(*CELL, "l_outcome_id").distinct()
         .join(t["learning_outcomes"].select("l_outcome_id", "l_outcome"), "l_outcome_id")
         .select(*CELL, "l_outcome_id", "l_outcome")

@@ -165,19 +165,16 @@ def recent_entities(t: Frames, k: int, now: str) -> DataFrame:
     The rank filter becomes a per-task limit before the exchange, so a user with very many entities sends
     only k rows per task.
     """
-    seen = visible_entities(t)
-    dated = seen.filter(F.col("entity") == "course").join(
-        t["courses"].select(F.col("course_id").alias("entity_id"), F.col("course_title").alias("title"), "updated_at"),
-        "entity_id",
-    ).unionByName(
-        seen.filter(F.col("entity") == "program").join(
-            t["programs"].select(F.col("program_id").alias("entity_id"), F.col("program").alias("title"), "updated_at"),
-            "entity_id",
-        )
-    ).unionByName(
-        t["syllabi"].select(F.lit("syllabus").alias("entity"), "user_id", F.col("syllabus_id").alias("entity_id"),
-                            "title", "updated_at")
+    def named(table: str, entity: str, key: str, title: str) -> DataFrame:
+        return t[table].select(F.lit(entity).alias("entity"), F.col(key).alias("entity_id"),
+                               F.col(title).alias("title"), "updated_at")
+
+    titles = named("courses", "course", "course_id", "course_title").unionByName(
+        named("programs", "program", "program_id", "program")
     )
+    syllabi = t["syllabi"].select(F.lit("syllabus").alias("entity"), F.col("syllabus_id").alias("entity_id"),
+                                  "user_id", "title", "updated_at")
+    dated = visible_entities(t).join(titles, ["entity", "entity_id"]).unionByName(syllabi)
     newest = Window.partitionBy("entity", "user_id").orderBy(F.col("updated_at").desc_nulls_last(), "entity_id")
     seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at")
     return (
