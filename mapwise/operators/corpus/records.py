@@ -9,13 +9,17 @@ from mapwise.operators.corpus.assessments import assessment_items
 from mapwise.operators.corpus.fields import course_code, course_term, course_title, strip_headers
 from mapwise.operators.corpus.materials import clean_materials, material_items
 from mapwise.operators.corpus.sections import clean_topics, goal_items, section_text, topic_items
+from mapwise.plans.session import kept
 
 CHILD = ["doc_id", "kind", "position", "name", "detail", "type"]
 
 
-def course_children(lines: DataFrame) -> DataFrame:
-    """Outcomes, assessments, topics and materials of every document, long, with 1-based positions."""
-    body = strip_headers(lines)
+def course_children(lines: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """Outcomes, assessments, topics and materials of every document, long, with 1-based positions.
+
+    ``body`` holds the lines without running headers when the caller has them already.
+    """
+    body = strip_headers(lines) if body is None else body
     none = F.lit(None).cast("string")
 
     def rows(df: DataFrame, kind: str, name: str, detail=none, type_=none) -> DataFrame:
@@ -31,15 +35,20 @@ def course_children(lines: DataFrame) -> DataFrame:
 
 
 def course_records(lines: DataFrame, month: int, year: int) -> DataFrame:
-    """One course row per document with the number of child rows of each kind."""
+    """One course row per document with the number of child rows of each kind.
+
+    Eight extractors read the lines, so they are kept once, by document, instead of being rebuilt for each.
+    """
+    lines = kept(lines)
+    body = kept(strip_headers(lines))
     codes = course_code(lines)
-    children = course_children(lines).groupBy("doc_id").agg(
+    children = course_children(lines, body).groupBy("doc_id").agg(
         *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}s") for kind in ("outcome", "assessment", "topic", "material")]
     )
     counts = [F.coalesce(f"n_{kind}s", F.lit(0)).alias(f"n_{kind}s") for kind in ("outcome", "assessment", "topic", "material")]
     return (
         codes.join(course_title(lines, codes), "doc_id").join(course_term(lines, month, year), "doc_id")
-        .join(section_text(strip_headers(lines)), "doc_id", "left").join(children, "doc_id", "left")
+        .join(section_text(body), "doc_id", "left").join(children, "doc_id", "left")
         .select("doc_id", "code", "number", "title", "term", "year", rules.study_level(F.col("number")).alias("level"),
                 F.coalesce("description", F.lit("")).alias("description"), *counts)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +42,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="mapwise-")
         root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder once, for several consumers; its partitioning is kept.
+
+    Consumers find the rows again after an executor is lost without running the steps before. The step itself
+    runs without adaptive re-planning, whose coalesced partitions consumers could not rely on.
+    """
+    conf = df.sparkSession.conf
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
