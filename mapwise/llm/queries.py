@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import mixing
+from mapwise.llm import mixing, token_files
+from mapwise.plans.session import shared_dir
+
+#: Directory of the tokenizer files; a file in it must be on every executor under the same path.
+TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +21,14 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = shared_dir(spark, "token-files")
+    token_files.write_tokens(_table(spark, folder, "documents"), target, TOKENIZER)
+    return token_files.read_tokens(spark, target)
+
+
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op6_mix_sources": op6_mix_sources,
 }
 
