@@ -31,7 +31,7 @@ from mapwise.llm.words import slices
 END_ID = 1
 #: Ids in a block, and ids from which a file is closed; a document is never split over files.
 BLOCK_IDS, FILE_IDS = 65_536, 1_000_000
-LEVEL = 3
+LEVEL = 1
 MAGIC = b"MWPL"
 _HEAD = struct.Struct("<4sB3xQQQQ")
 
@@ -48,7 +48,7 @@ class WordIds(dict):
 
     TAIL = ".,!?;:%$&*#|"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
