@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +186,10 @@ def unpack(payload: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = rest[n:]
 
 
-_WORDS: dict[str, WordIds] = {}
+@cache
+def worker_words(path: str) -> WordIds:
+    """The words met so far by this Python worker, over all its tasks."""
+    return WordIds(path)
 
 
 def write_tokens(
@@ -205,7 +209,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words = _WORDS.get(tokenizer) or _WORDS.setdefault(tokenizer, WordIds(tokenizer))
+        words = worker_words(tokenizer)
         seq = before = held = 0
         names, sizes, arrays = [], [], []
 
