@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import mixing, token_files
+from mapwise.llm import mixing, near_duplicates, token_files
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -21,6 +21,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), words=4, percent=80)
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_dir(spark, "token-files")
     token_files.write_tokens(_table(spark, folder, "documents"), target, TOKENIZER)
@@ -28,6 +32,7 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
     "op6_mix_sources": op6_mix_sources,
 }

@@ -72,7 +72,7 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     total = np.zeros(n, np.uint64)
     for j in range(size):
-        total = mixed(total + words[j : j + n] + np.uint64(j + 1)) if j else words[:n].copy()
+        total = mixed(total * np.uint64(3) + words[j : j + n] + np.uint64(1))
     return total
 
 
