@@ -230,10 +230,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     buckets = large.select("cid", F.explode(keys).alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z")
-    members = stored(buckets.join(shared.select("key", "a"), "key"), "dedup-buckets")
-
-    stars = members.filter("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    shared = buckets.groupBy("key").agg(
+        F.min("cid").alias("a"), F.max("cid").alias("z"), F.count(F.lit(1)).alias("held")).filter("a < z")
+    members = stored(buckets.join(shared.select("key", "held"), "key"), "dedup-buckets")
+    # The original of a group of near copies is in the fullest buckets; its copies may all be further apart.
+    weights = members.groupBy("cid").agg(F.sum("held").alias("weight"))
+    members = stored(members.join(weights, "cid").select("key", "cid", "weight"), "dedup-members")
+    tops = members.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("a"))
+    stars = members.join(tops, "key").filter("cid != a").groupBy("a", F.col("cid").alias("b")).agg(
+        F.count(F.lit(1)).alias("bands"))
     best = stars.groupBy("b").agg(F.max(F.struct("bands", "a")).alias("best")).select("best.a", "b")
     links = _verified(_estimated(best, large, percent), large, docs, words, percent)
     named = stored(components(links), "dedup-components")
