@@ -23,13 +23,14 @@ from mapwise.llm.words import WordHashes, hashed_words, mixed, shingle_sets, sli
 
 #: Bands of ROWS registers. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**30 = 1.4e-7.
 BANDS, ROWS = 30, 4
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch; the bands are cut from the first ones, the estimates use all.
+REGISTERS = 360
 #: Register value k stands for a minimum in (RATE * BASE**-k, RATE * BASE**(1 - k)], truncated to 0 .. LIMIT.
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
-#: Candidates whose estimate is this many standard errors below the threshold are dropped (3e-7 of true links).
-SIGMAS = 5.0
-#: Links verified against one copy of a shingle set.
-BLOCK = 256
+#: Candidates whose estimate is this many standard errors below the threshold are dropped (3e-6 of links just at it).
+SIGMAS = 4.5
+#: Links verified against one copy of a shingle set; classes of a bucket that are compared in one piece.
+BLOCK, BUCKET_BLOCK = 256, 1024
 
 
 def arrivals(sets: np.ndarray, sizes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -126,16 +127,24 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, cls binary, cid long, regs binary")
 
 
+def _floor(percent: int) -> float:
+    """Least joint estimate of a candidate."""
+    least = percent / 100
+    return least - SIGMAS * np.sqrt(least * (1 - least) / REGISTERS)
+
+
+def _registers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of class ids that may reach the threshold, by sizes and by the joint estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in (2, 3))
+            a, b = _registers(batch.column(2)), _registers(batch.column(3))
             n_a, n_b = (batch.column(k).to_numpy().astype(np.float64) for k in (4, 5))
-            least = percent / 100
-            floor = least - SIGMAS * np.sqrt(least * (1 - least) / REGISTERS)
-            good = pa.array(joint_estimate(a, b, n_a, n_b) >= floor)
+            good = pa.array(joint_estimate(a, b, n_a, n_b) >= _floor(percent))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
@@ -146,6 +155,44 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different parts within a bucket: ``rows`` has (key, cid, part, n, regs, held).
+
+    Buckets are cut into blocks of about ``BUCKET_BLOCK`` classes; two blocks meet in one group, which compares
+    registers as arrays and gives only the pairs that pass the size and estimate filters, each in the first band that
+    the two share. The work of a bucket is spread over its pairs of blocks, and memory is bounded by two blocks.
+    """
+    blocks = F.ceil(F.col("held") / BUCKET_BLOCK).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    met = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select(
+        "key", "band", "cid", "part", "n", "regs", "own",
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        cids, n = group["cid"].to_numpy(), group["n"].to_numpy().astype(np.float64)
+        part = np.array(group["part"].to_pylist(), dtype=object)
+        _, part = np.unique(part, return_inverse=True)
+        regs, band = _registers(group["regs"]), group["band"][0].as_py()
+        bands = np.ascontiguousarray(regs[:, : BANDS * ROWS]).view("<u8")
+        left = group["own"].to_numpy() == group["i"][0].as_py()
+        alone = group["i"][0].as_py() == group["j"][0].as_py()
+        found_a, found_b = [], []
+        for x in np.flatnonzero(left).tolist():
+            ys = np.arange(x + 1, len(cids)) if alone else np.flatnonzero(~left)
+            ys = ys[(part[ys] != part[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+            ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band] if len(ys) else ys
+            if len(ys):
+                many = np.broadcast_to(regs[x], (len(ys), REGISTERS))
+                ys = ys[joint_estimate(many, regs[ys], np.full(len(ys), n[x]), n[ys]) >= _floor(percent)]
+                found_a.append(np.minimum(cids[x], cids[ys]))
+                found_b.append(np.maximum(cids[x], cids[ys]))
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (found_a, found_b)]
+        return pa.table({"a": columns[0], "b": columns[1]})
+
+    return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) of class keys, decided on the full shingle sets of the pairs (a, b).
 
@@ -208,9 +255,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     1. Each class is paired with the least class of each band bucket it is in; of these leaders only the one it shares
        most bands with is verified, and links are joined into components.
-    2. In buckets that still hold several components, every class is paired with the classes of the other components
-       there. A group of near copies has one component by then, so its pairs are not made.
-    3. These pairs are estimated and verified, and all links joined.
+    2. In buckets that still hold several components, the registers of classes of different components are compared in
+       blocks. A group of near copies is one component by then, so it is not compared with itself.
+    3. The pairs whose estimate may reach the threshold are verified, and all links joined.
 
     Sizes and sets are those of 64-bit shingle hashes; classes are told apart by 128 bits. Rows with a null
     ``doc_id`` take part, but do not give their component a name: a component of such rows alone has a null
@@ -229,13 +276,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    buckets = large.select("cid", F.explode(keys).alias("key"))
+    buckets = large.select("cid", F.posexplode(keys).alias("band", "key"))
     shared = buckets.groupBy("key").agg(
         F.min("cid").alias("a"), F.max("cid").alias("z"), F.count(F.lit(1)).alias("held")).filter("a < z")
     members = stored(buckets.join(shared.select("key", "held"), "key"), "dedup-buckets")
     # The original of a group of near copies is in the fullest buckets; its copies may all be further apart.
     weights = members.groupBy("cid").agg(F.sum("held").alias("weight"))
-    members = stored(members.join(weights, "cid").select("key", "cid", "weight"), "dedup-members")
+    members = stored(members.join(weights, "cid").select("key", "band", "cid", "held", "weight"), "dedup-members")
     tops = members.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("a"))
     stars = members.join(tops, "key").filter("cid != a").groupBy("a", F.col("cid").alias("b")).agg(
         F.count(F.lit(1)).alias("bands"))
@@ -245,14 +292,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     part = large.select("cid", "cls").join(named, F.col("cls") == F.col("node"), "left")
     part = stored(part.select("cid", F.coalesce("component", "cls").alias("part")), "dedup-parts")
-    tagged = members.select("key", "cid").join(part, "cid")
+    tagged = members.select("key", "band", "cid", "held").join(part, "cid")
     mixed_keys = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    open_rows = stored(tagged.join(mixed_keys.select("key"), "key"), "dedup-open")
-    left = open_rows.select("key", F.col("cid").alias("a"), F.col("part").alias("part_a"))
-    right = open_rows.select("key", F.col("cid").alias("b"), F.col("part").alias("part_b"))
-    rest = left.join(right, "key").filter("a < b and part_a != part_b").select("a", "b").distinct()
-    rest = rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(_estimated(rest, large, percent), large, docs, words, percent)
+    open_rows = tagged.join(mixed_keys.select("key"), "key").join(large.select("cid", "n", "regs"), "cid")
+    rest = _across(open_rows, percent)
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(tried, ["a", "b"], "left_anti")
+    more = _verified(rest, large, docs, words, percent)
     final = stored(components(links.unionByName(more)), "dedup-components")
 
     owned = classes.select("cls", "rep").join(final, F.col("cls") == F.col("node"), "left")
