@@ -225,6 +225,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     sets = stored(sets.dropDuplicates(["cls"]), "dedup-sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    dealt = stored(dealt.select("a", "b", "block"), "dedup-dealt")
     leaders = dealt.select("a", "block").distinct().join(
         sets.select(F.col("cid").alias("a"), F.col("cls").alias("u"), F.col("own").alias("own_a")), "a")
     members = dealt.select("a", "b", "block").join(
