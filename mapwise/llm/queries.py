@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import mixing, near_duplicates, token_files
+from mapwise.llm import language, mixing, near_duplicates, quality, token_files
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -21,6 +21,14 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rate_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), words=4, percent=80)
 
@@ -32,6 +40,8 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
+    "op5_quality": op5_quality,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_files": op3_token_files,
     "op6_mix_sources": op6_mix_sources,
