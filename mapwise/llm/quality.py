@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.subwords import WordRows, subwords
-from mapwise.llm.words import slices, starts_of
+from mapwise.llm.words import mixed, slices, starts_of
 
 #: Hashed vectors and their length; character n-grams of each word; all taken with the word's own case and marks.
 BUCKETS, DIM, SIZES, AFFIXES = 1 << 17, 12, (3,), (2, 4)
-#: Labelled documents to learn from for each label, and words taken evenly over the whole of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 150
+#: The feature of a word that stands next to itself; other word pairs are hashed.
+AGAIN = 0
+#: Labelled documents to learn from for each label, and the pieces taken evenly over the whole of each.
+SAMPLE_DOCS, PIECES, PIECE_WORDS = 1500, 8, 20
 #: Steps of the vectors against those of the output: a feature gets only its share of a document's mean.
 VECTOR_RATE = 20
 #: Documents scoring less are not predicted good.
@@ -30,14 +32,27 @@ class Embeddings:
     output: np.ndarray
     bias: np.ndarray
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return subwords(words, SIZES, AFFIXES, BUCKETS)
-
     def table(self) -> np.ndarray:
         """What each hashed vector adds to the log odds of label 1: the mean over a text commutes with the output."""
         return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float32)
 
 
+def pairs(codes: np.ndarray) -> np.ndarray:
+    """Feature of each word and the next; ``codes`` are the words' own features."""
+    left, right = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
+    found = mixed(left * np.uint64(BUCKETS) + right + np.uint64(5)) % np.uint64(BUCKETS)
+    return np.where(left == right, AGAIN, found.astype(np.int64))
+
+
+def document_features(words: list[str]) -> np.ndarray:
+    """Hashed character n-grams, words and word pairs of a text."""
+    if not words:
+        return np.zeros(0, np.int64)
+    owner, found = subwords(words, SIZES, AFFIXES, BUCKETS)
+    codes = found[np.searchsorted(owner, np.arange(1, len(words) + 1)) - 1]
+    return np.concatenate([found, pairs(codes)])
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=1, keepdims=True))
     return x / x.sum(axis=1, keepdims=True)
@@ -54,9 +69,7 @@ def fit(rows: list[tuple[int, list[str]]], epochs: int = 5, batch: int = 16, rat
         return None
     draw = np.random.default_rng(seed)
     model = Embeddings(draw.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, 2)), np.zeros(2))
-    docs = []
-    for _, words in rows:
-        docs.append(model.features(words)[1] if words else np.zeros(0, np.int64))
+    docs = [document_features(words) for _, words in rows]
     truth = np.array([y for y, _ in rows])
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -104,8 +117,11 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) ->
             found = []
             for text in batch.column(1).to_pylist():
                 words = text.encode().split()
-                step = max(1.0, len(words) / SAMPLE_WORDS)
-                found.append([words[int(i * step)].decode() for i in range(min(len(words), SAMPLE_WORDS))])
+                if len(words) > PIECES * PIECE_WORDS:
+                    room = len(words) - PIECE_WORDS
+                    begins = [room * i // (PIECES - 1) for i in range(PIECES)]
+                    words = [w for at in begins for w in words[at : at + PIECE_WORDS]]
+                found.append([w.decode() for w in words])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "words"])
 
@@ -129,13 +145,14 @@ def score(docs: DataFrame, model: Embeddings | None, threshold: float = THRESHOL
         table, bias = shared.value or (np.zeros(BUCKETS, np.float32), 0.0)
 
         def rows(words: list[bytes]) -> np.ndarray:
-            out = np.empty((len(words), 2), np.float32)
+            out = np.empty((len(words), 3))
             for begin in range(0, len(words), 20_000):
                 part = [w.decode() for w in words[begin : begin + 20_000]]
                 owner, found = subwords(part, SIZES, AFFIXES, BUCKETS)
                 at = np.searchsorted(owner, np.arange(len(part) + 1))
                 out[begin : begin + len(part), 0] = np.add.reduceat(table[found], at[:-1])
                 out[begin : begin + len(part), 1] = np.diff(at)
+                out[begin : begin + len(part), 2] = found[at[1:] - 1]
             return out
 
         cache = WordRows(rows)
@@ -150,7 +167,13 @@ def score(docs: DataFrame, model: Embeddings | None, threshold: float = THRESHOL
                 has = np.flatnonzero(counts)
                 if len(has):
                     place = cache.places(words)
-                    sums = np.add.reduceat(cache.table[place].astype(np.float64), starts_of(counts)[has], axis=0)
+                    begins = starts_of(counts)[has]
+                    row = cache.table[place]
+                    follows = np.ones(len(row), bool)
+                    follows[begins] = False
+                    row[1:, 0] += np.where(follows[1:], table[pairs(row[:, 2].astype(np.int64))], 0)
+                    row[:, 1] += follows
+                    sums = np.add.reduceat(row[:, :2], begins, axis=0)
                     odds[has] += sums[:, 0] / sums[:, 1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)),
