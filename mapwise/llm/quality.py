@@ -100,7 +100,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[int, list[str]]]:
-    """About ``most`` labelled documents of each label, chosen by a hash of the text: (label, words).
+    """About ``most`` labelled documents of each label, chosen by a hash of the id before any text is read: (label, words).
 
     Labels other than 0 and 1 are ignored; a document with both is not learned from.
     """
@@ -110,7 +110,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) ->
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for y in sorted(counts) for x in (y, min(1.0, most / counts[y]))])
-    chance = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = known.filter(chance < share[F.col("label")])  # about 2 * most rows at any size of the table
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +127,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) ->
                 [batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "words"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(known, "doc_id").filter(chance < share[F.col("label")])
+    rows = texts.join(F.broadcast(chosen), "doc_id")
     rows = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(cut, "label int, words array<string>")
     return [(r.label, r.words) for r in rows.collect()]
 
