@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, language, mixing, near_duplicates, quality, token_files
+from mapwise.llm import decontamination, language, mixing, near_duplicates, quality, repeats, token_files
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -43,7 +43,12 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op7_repeated_passages": op7_repeated_passages,
     "op9_decontamination": op9_decontamination,
     "op1_language_crf": op1_language_crf,
     "op5_quality": op5_quality,
