@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, language, mixing, near_duplicates, quality, repeats, token_files
+from mapwise.llm import decontamination, language, mixing, near_duplicates, neighbours, quality, repeats, token_files
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -47,7 +47,12 @@ def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, folder, "documents"))
 
 
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op7_repeated_passages": op7_repeated_passages,
     "op9_decontamination": op9_decontamination,
     "op1_language_crf": op1_language_crf,
