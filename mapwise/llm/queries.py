@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, language, mixing, near_duplicates, neighbours, quality, repeats, token_files
+from mapwise.llm import decontamination, language, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -51,7 +51,12 @@ def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_table(spark, folder, "embeddings"))
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.filter_urls(_table(spark, folder, "pages"), url_filters.rules_frame(spark))
+
+
 QUERIES = {
+    "op4_url_filters": op4_url_filters,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op7_repeated_passages": op7_repeated_passages,
     "op9_decontamination": op9_decontamination,
@@ -63,5 +68,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_url_filters": url_filters.URL_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
 }
