@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, language, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
+from mapwise.llm import decontamination, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -55,7 +55,12 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, folder, "pages"), url_filters.rules_frame(spark))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op7_repeated_passages": op7_repeated_passages,
