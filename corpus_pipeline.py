@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mapwise.llm import mixing
+from mapwise.llm import decontamination, mixing, near_duplicates, quality, token_files
+from mapwise.llm.queries import TOKENIZER
 from mapwise.llm.storage import stored
+from mapwise.plans.session import shared_dir
+
+
+def _without(docs: DataFrame, gone: DataFrame, purpose: str) -> DataFrame:
+    """``docs`` without the ids of ``gone``; rows with a null id stay.
+
+    The ids are written first, so that Spark knows their size and chooses the join by it.
+    """
+    ids = stored(gone.select(F.col("doc_id").alias("gone_id")).distinct(), purpose)
+    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts good; it learns from the labelled rows that are not held out."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
+    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
+    return _without(docs, found.filter(~F.col("kept")), "pipeline-duplicates")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found, "pipeline-contaminated")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.repeat_documents(docs, mixing.mix_sources(docs))
+    return mixing.mix_documents(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the documents, and per document what is read back from them."""
+    folder = shared_dir(spark, "pipeline-tokens")
+    token_files.write_tokens(docs, folder, TOKENIZER)
+    return token_files.read_tokens(spark, folder)
 
 
-STAGES = [("mix", mix)]
-#: The classifier's score is not an SQL expression.
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
+#: The classifier's score is not an SQL expression; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage, from the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

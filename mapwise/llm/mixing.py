@@ -83,6 +83,14 @@ def extra_below(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return done.unionByName(state.select("source", (F.col("prefix") - F.when(nearer, 0).otherwise(1)).alias("threshold")))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD_PATTERN)))
+    return stored(
+        docs.select("doc_id", "source", words.cast("long").alias("size"), hash_of(F.col("doc_id")).alias("hash")),
+        "mix-sizes",
+    )
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2
 ) -> DataFrame:
@@ -95,11 +103,21 @@ def mix_sources(
     other columns may have any name. Repeated rows each count and share their decision; an empty table gives none.
     A hot source only adds to per-task partial sums: no step gathers its documents.
     """
-    words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD_PATTERN)))
-    sized = stored(
-        docs.select("doc_id", "source", words.cast("long").alias("size"), hash_of(F.col("doc_id")).alias("hash")),
-        "mix-sizes",
+    sized = _sized(docs)
+    plan = mix_plan(sized, weights, share, most)
+    return (
+        sized.join(plan, sized["source"].eqNullSafe(plan["of_source"]))
+        .withColumn("copies", copies_of(F.col("hash"), F.col("plan"), most))
+        .select("doc_id", "source", "size", "plan.source_size", "plan.target", "copies",
+                (F.col("size") * F.col("copies")).alias("taken"))
     )
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """(of_source, plan): each source's size and target, whole rounds, and the hash up to which documents go once more.
+
+    ``sized`` has (source, hash, size). One row per source.
+    """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(mix_targets(totals, weights, share, most), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -107,25 +125,24 @@ def mix_sources(
     budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     limits = extra_below(sized.select("source", "hash", "size"), budgets)
     plan = targets.join(limits, targets["source"].eqNullSafe(limits["source"])).drop(limits["source"])
-    plan = plan.withColumnRenamed("source", "of_source")
-    copies = F.least(F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("long"), F.lit(most).cast("long"))
-    return (
-        sized.join(plan, sized["source"].eqNullSafe(plan["of_source"]))
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies",
-                (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    return plan.select(
+        F.col("source").alias("of_source"), F.struct("source_size", "target", "whole", "threshold").alias("plan"))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` (doc_id, copies) says; rows of a null id follow null ids."""
-    times = mixed.groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("copies").alias("times")).alias("plan")
-    named = docs.alias("docs")
-    return (
-        named.join(times, F.col("docs.doc_id").eqNullSafe(F.col("plan.of_doc")))
-        .select(F.struct("docs.*").alias("row"), F.explode(F.array_repeat(F.lit(0), F.col("plan.times").cast("int"))))
-        .select("row.*")
-    )
+def copies_of(hash: Column, plan: Column, most: int = 2) -> Column:
+    return F.least(plan["whole"] + (hash <= plan["threshold"]).cast("long"), F.lit(most).cast("long"))
+
+
+def mix_documents(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2
+) -> DataFrame:
+    """``docs`` with each row as often as ``mix_sources`` takes it; only the plan of the sources is joined, so no text
+    is shuffled."""
+    plan = stored(mix_plan(_sized(docs), weights, share, most), "mix-plan")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(plan, F.col("row.source").eqNullSafe(F.col("of_source")))
+    times = copies_of(hash_of(F.col("row.doc_id")), F.col("plan"), most).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 MIX_SQL = r"""

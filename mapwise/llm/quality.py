@@ -132,53 +132,65 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) ->
     return [(r.label, r.words) for r in rows.collect()]
 
 
+def _sent(docs: DataFrame, model: Embeddings | None):
+    """The model as one number per hashed feature (512 KB): the mean of vectors and the output layer are both linear."""
+    sent = None if model is None else (model.table(), float(model.bias[1] - model.bias[0]))
+    return docs.sparkSession.sparkContext.broadcast(sent)
+
+
+def _scorer(sent):
+    """A function from UTF-8 texts to scores, with a bounded memory of words."""
+    table, bias = sent or (np.zeros(BUCKETS, np.float32), 0.0)
+
+    def rows(words: list[bytes]) -> np.ndarray:
+        out = np.empty((len(words), 3))
+        for begin in range(0, len(words), 20_000):
+            part = [w.decode() for w in words[begin : begin + 20_000]]
+            owner, found = subwords(part, SIZES, AFFIXES, BUCKETS)
+            at = np.searchsorted(owner, np.arange(len(part) + 1))
+            out[begin : begin + len(part), 0] = np.add.reduceat(table[found], at[:-1])
+            out[begin : begin + len(part), 1] = np.diff(at)
+            out[begin : begin + len(part), 2] = found[at[1:] - 1]
+        return out
+
+    cache = WordRows(rows)
+
+    def scores(texts: list[bytes]) -> np.ndarray:
+        words, counts = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = text.split()
+            counts[i] = len(own)
+            words += own
+        odds = np.full(len(texts), bias)
+        has = np.flatnonzero(counts)
+        if len(has):
+            place = cache.places(words)
+            begins, row = starts_of(counts)[has], cache.table[place]
+            follows = np.ones(len(row), bool)
+            follows[begins] = False
+            row[1:, 0] += np.where(follows[1:], table[pairs(row[:, 2].astype(np.int64))], 0)
+            row[:, 1] += follows
+            sums = np.add.reduceat(row[:, :2], begins, axis=0)
+            odds[has] += sums[:, 0] / sums[:, 1]
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: Embeddings | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text; ``score`` is the probability of label 1.
 
     A text without words, or null, is scored by the bias alone; where nothing could be learned, all score 0.5. Each row
-    is judged by itself, and only ``doc_id`` and ``text`` are read. The model travels as one number per hashed
-    feature (512 KB): the mean of vectors and the output layer are both linear.
+    is judged by itself, and only ``doc_id`` and ``text`` are read.
     """
-    sent = None if model is None else (model.table(), float(model.bias[1] - model.bias[0]))
-    shared = docs.sparkSession.sparkContext.broadcast(sent)
+    shared = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = shared.value or (np.zeros(BUCKETS, np.float32), 0.0)
-
-        def rows(words: list[bytes]) -> np.ndarray:
-            out = np.empty((len(words), 3))
-            for begin in range(0, len(words), 20_000):
-                part = [w.decode() for w in words[begin : begin + 20_000]]
-                owner, found = subwords(part, SIZES, AFFIXES, BUCKETS)
-                at = np.searchsorted(owner, np.arange(len(part) + 1))
-                out[begin : begin + len(part), 0] = np.add.reduceat(table[found], at[:-1])
-                out[begin : begin + len(part), 1] = np.diff(at)
-                out[begin : begin + len(part), 2] = found[at[1:] - 1]
-            return out
-
-        cache = WordRows(rows)
+        scores = _scorer(shared.value)
         for batch in batches:
             for begin, texts in slices(batch.column(1), 3_000_000):
-                words, counts = [], np.zeros(len(texts), np.int64)
-                for i, text in enumerate(texts):
-                    own = text.split()
-                    counts[i] = len(own)
-                    words += own
-                odds = np.full(len(texts), bias)
-                has = np.flatnonzero(counts)
-                if len(has):
-                    place = cache.places(words)
-                    begins = starts_of(counts)[has]
-                    row = cache.table[place]
-                    follows = np.ones(len(row), bool)
-                    follows[begins] = False
-                    row[1:, 0] += np.where(follows[1:], table[pairs(row[:, 2].astype(np.int64))], 0)
-                    row[:, 1] += follows
-                    sums = np.add.reduceat(row[:, :2], begins, axis=0)
-                    odds[has] += sums[:, 0] / sums[:, 1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)),
-                     pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))],
+                    [batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)), pa.array(scores(texts))],
                     ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
@@ -186,6 +198,23 @@ def score(docs: DataFrame, model: Embeddings | None, threshold: float = THRESHOL
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all columns, in one pass; all rows where nothing can be learned."""
+    model = fit(sample_rows(docs, labels))
+    if model is None:
+        return docs
+    shared, place = _sent(docs, model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared.value)
+        for batch in batches:
+            found = [scores(texts) for _, texts in slices(batch.column(place), 3_000_000)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn quality from the labelled rows that are not held out, then score every document (see ``score``)."""
     return score(docs, fit(sample_rows(docs, labels)))
