@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     pairs, so that one document with thousands of near copies is spread over tasks.
     """
     pairs = stored(pairs, "dedup-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     chosen = classes.join(involved, "cid").select(F.col("rep").alias("doc_id"), F.col("cls").alias("expected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
