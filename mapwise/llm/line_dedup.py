@@ -161,7 +161,7 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between class keys: the candidates that reach the threshold on their full token sets."""
     pairs = stored(pairs, "lines-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     places = classes.join(wanted, "cid").groupBy("first.doc_id", "first.tid").agg(
         F.collect_list(F.struct(F.col("first.line").alias("line"), "cls")).alias("lines"))
     places = places.select(F.col("doc_id").alias("at_doc"), F.col("tid").alias("at_tid"), "lines")
