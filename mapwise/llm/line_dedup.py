@@ -79,11 +79,14 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def posting_pairs(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def posting_pairs(
+    tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, marks: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of the posting lists: rows are sorted by (token, size).
 
     Two rows of a token meet if the sizes allow the threshold (length filter) and enough tokens are left after the
-    shared one (positional filter).
+    shared one (positional filter). ``marks`` are 64 parities of each set's tokens: bits that differ are a lower bound
+    of the tokens that only one of the sets has, and drop pairs beyond what the threshold allows.
     """
     found_a, found_b = [], []
     left = np.arange(len(tokens))
@@ -96,7 +99,9 @@ def posting_pairs(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places
         if not len(left):
             break
         rest = 1 + np.minimum(sizes[left] - places[left], sizes[right] - places[right]) - 1
-        good = (rest >= least_overlap(sizes[left], sizes[right], percent)) & (ids[left] != ids[right])
+        least = least_overlap(sizes[left], sizes[right], percent)
+        apart = np.bitwise_count(marks[left] ^ marks[right])
+        good = (rest >= least) & (apart <= sizes[left] + sizes[right] - 2 * least) & (ids[left] != ids[right])
         found_a.append(np.minimum(ids[left[good]], ids[right[good]]))
         found_b.append(np.maximum(ids[left[good]], ids[right[good]]))
         step += 1
@@ -126,11 +131,17 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
                 take = sizes - -(-percent * sizes // 100) + 1
                 keep = use[line] & (place < take[line])
                 rows = line[keep]
+                bits = np.uint64(1) << (sets >> np.uint64(58))
+                marks = np.zeros(len(sizes), np.uint64)
+                has = np.flatnonzero(sizes)
+                if len(has):
+                    marks[has] = np.bitwise_xor.reduceat(bits, starts_of(sizes)[has])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets[order][keep].view(np.int64)),
                      pa.array(np.array([i or 0 for i in ids], np.int64)[rows]),
-                     pa.array(sizes[rows].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
-                    ["token", "cid", "size", "place"])
+                     pa.array(sizes[rows].astype(np.int32)), pa.array(place[keep].astype(np.int32)),
+                     pa.array(marks[rows].view(np.int64))],
+                    ["token", "cid", "size", "place", "marks"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -144,7 +155,7 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            columns = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            columns = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(5))
             held.append(columns)
             n += len(columns[0])
             if n >= TASK_ROWS and held[0][0][0] != columns[0][-1]:
@@ -153,7 +164,7 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
         if n:
             yield made(n)
 
-    rows = docs.select("text").mapInArrow(prefixes, "token long, cid long, size int, place int")
+    rows = docs.select("text").mapInArrow(prefixes, "token long, cid long, size int, place int, marks long")
     rows = rows.repartition("token").sortWithinPartitions("token", "size")
     return rows.mapInArrow(meet, "a long, b long").distinct()
 
