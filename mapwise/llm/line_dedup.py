@@ -100,7 +100,7 @@ def posting_pairs(
             break
         rest = 1 + np.minimum(sizes[left] - places[left], sizes[right] - places[right]) - 1
         least = least_overlap(sizes[left], sizes[right], percent)
-        apart = np.bitwise_count(marks[left] ^ marks[right])
+        apart = np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)).astype(np.int64)
         good = (rest >= least) & (apart <= sizes[left] + sizes[right] - 2 * least) & (ids[left] != ids[right])
         found_a.append(np.minimum(ids[left[good]], ids[right[good]]))
         found_b.append(np.maximum(ids[left[good]], ids[right[good]]))
