@@ -168,8 +168,8 @@ def process_results(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def route_requests(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Where every request goes: failed ones have no results, finished ones the count behind their output path.
 
-    ``results`` has ``output_path``; it is counted per path before the join. A missing output path follows
-    from the input path.
+    ``results`` has ``output_path``; it is counted per path before the join. A missing or empty output
+    path follows from the input path.
     """
     counts = results.groupBy("output_path").agg(F.count(F.lit(1)).alias("n"))
     derived = F.concat(F.replace("input_path", F.lit("batch_inputs"), F.lit("batch_outputs")), F.lit(".out"))
@@ -180,7 +180,7 @@ def route_requests(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
     routed = requests.select(
         "request_id", "course_id", "program_id", route.alias("route"),
-        F.coalesce("output_path", derived).alias("output_path"),
+        F.coalesce(F.nullif(F.col("output_path"), F.lit("")), derived).alias("output_path"),
     )
     n = F.when(F.col("route") == "succeeded", F.coalesce("n", F.lit(0))).when(F.col("route") == "failed", F.lit(0))
     return routed.join(counts, "output_path", "left").select(

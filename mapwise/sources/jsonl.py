@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mapwise.functions import answers
 from mapwise.operators.requests import prompt_payload
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) lines below ``path``; blank lines are dropped, malformed ones are kept apart."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter(F.length("line") > 0)
+    lines = spark.read.text(path).select(answers.strip(F.col("value")).alias("line")).filter(F.length("line") > 0)
     valid = F.try_parse_json("line").isNotNull()
     return lines.filter(valid), lines.filter(~valid)
 
