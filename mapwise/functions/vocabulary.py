@@ -214,6 +214,7 @@ UPPER, LOWER = r"\p{Lu}", r"\p{Ll}"
 TITLE_BREAK = r"[\p{Lu}\p{Ll}]\p{Lu}|(?:^|[^\p{Lu}\p{Ll}])\p{Ll}"  # what title case never has
 COURSE_LINE = r"^[A-Z]{4}[ ]?[0-9]{3}"
 TITLE_LABEL = r"(?:Course [Tt]itle|course Title|Course Name)[:\s]*(.*)$"
+AFTER_DASH, BEFORE_COURSE = r"\s*–.*", r"^.+:\s*"  # around the document's own code
 TITLE_BEFORE_CODE = r"^.+:\s*[A-Z]{4}\s*[0-9]{3}\s*$"
 WEIGHTED = r"([A-Z][\p{L}\p{N}_\s\[\]\-/–():.&@%*=]*?)[:.…\s]*?([0-9]+(?:\.[0-9]+)?)\s*(?:%|points|pts)(?:\s|$)"
 WEIGHT_ALONE = r"^([0-9]+(?:\.[0-9]+)?)\s*(?:%|points|pts)$"

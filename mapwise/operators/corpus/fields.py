@@ -54,12 +54,13 @@ def course_code(lines: DataFrame) -> DataFrame:
     )
 
 
-def course_title(lines: DataFrame, codes: DataFrame) -> DataFrame:
-    """Title: the most frequent labelled or code-adjacent title, cleaned; else the first text line.
+def course_title(lines: DataFrame, codes: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """Title: the most frequent labelled or code-adjacent title, cleaned; else the first text line of the first page.
 
-    ``codes`` holds the code and number per document. Counts tie by first occurrence; candidates that name two
-    of code, section and number are table headings.
+    ``codes`` holds the code and number per document, ``body`` the lines without running headers when the caller has
+    them. Counts tie by first occurrence; candidates that name two of code, section and number are table headings.
     """
+    body = strip_headers(lines) if body is None else body
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     rows = computed_once(lines, t=strip(F.col("text"))).withColumn("_next", F.lead("t").over(doc))
     rows = rows.join(codes.select("doc_id", "code", F.col("number").cast("string").alias("number")), "doc_id")
@@ -68,32 +69,36 @@ def course_title(lines: DataFrame, codes: DataFrame) -> DataFrame:
                       F.coalesce(F.nullif(F.regexp_extract("t", v.TITLE_LABEL, 1), F.lit("")), F.col("_next")))
     rows = computed_once(rows, _course=course, _labelled=labelled)
 
-    def from_code(mark: str) -> Column:
-        at = F.instr("t", F.concat("_course", F.lit(mark)))
-        return F.when(at > 0, F.substr("t", at))
-
-    before_code = F.when(F.col("t").rlike(v.TITLE_BEFORE_CODE), F.col("t"))
-    candidates = F.array_compact(F.array("_labelled", from_code(":"), from_code(" –"), before_code))
-    # Page headers never hold the first text line; page numbers do not count as text.
-    is_text = (F.length("t") > 0) & ~F.col("t").rlike("^[0-9]+$") & (F.col("rel_top").between(0.1, 0.9))
+    at = F.instr("t", F.concat("_course", F.lit(":")))
+    named_here = F.contains("t", "_course")
+    candidates = F.array_compact(F.array(
+        "_labelled",
+        F.when(at > 0, F.substr("t", at)),
+        F.when(named_here, F.regexp_substr("t", F.concat("_course", F.lit(v.AFTER_DASH)))),
+        F.when(named_here & F.rlike("t", F.concat(F.lit(v.BEFORE_COURSE), "_course", F.lit("$"))), F.col("t")),
+        F.when(F.col("t").rlike(v.TITLE_BEFORE_CODE), F.col("t")),
+    ))
     counted = (
-        rows.select("doc_id", "code", "number", "line_no", F.when(is_text, F.col("t")).alias("plain"),
-                    F.posexplode_outer(candidates).alias("at", "title"))
+        rows.select("doc_id", "code", "number", "line_no", F.posexplode_outer(candidates).alias("at", "title"))
         .groupBy("doc_id", "title")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "at")).alias("first"),
-             F.min(F.when(F.col("plain").isNotNull(), F.struct("line_no", "plain"))).alias("line"),
              F.max("code").alias("code"), F.max("number").alias("number"))
     )
+    # Page numbers do not count as text.
+    plain = body.filter("page_no = 0").select("doc_id", "line_no", strip(F.col("text")).alias("t"))
+    plain = plain.filter((F.length("t") > 0) & ~F.col("t").rlike("^[0-9]+$"))
+    first_lines = plain.groupBy("doc_id").agg(F.min_by("t", "line_no").alias("first_line"))
     low = F.lower("title")
     named = sum((low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){w}(?:[^\p{{L}}\p{{N}}_]|$)").cast("int") for w in ("code", "section", "number")), F.lit(0))
     counted = counted.withColumn("_heading", F.coalesce(named > 1, F.lit(False)))
     top = F.max(F.when(F.col("title").isNotNull(), F.col("n")))
     per_doc = counted.groupBy("doc_id").agg(
-        top.alias("top"), F.min("line")["plain"].alias("first_line"), F.max("code").alias("code"), F.max("number").alias("number"),
+        top.alias("top"), F.max("code").alias("code"), F.max("number").alias("number"),
         F.max_by("title", F.when(F.col("title").isNotNull() & ~F.col("_heading"),
                                  F.struct(F.col("n"), -F.col("first.line_no"), -F.col("first.at")))).alias("title"),
         F.max(F.when(~F.col("_heading") & F.col("title").isNotNull(), F.col("n"))).alias("n"),
     )
+    per_doc = per_doc.join(first_lines, "doc_id", "left")
     name = F.concat_ws(" ", "code", "number")
     fallback = F.coalesce("first_line", name)
     bare = F.replace(F.replace("title", F.col("code"), F.lit("")), F.col("number"), F.lit(""))

@@ -17,9 +17,11 @@ CHILD = ["doc_id", "kind", "position", "name", "detail", "type"]
 def course_children(lines: DataFrame, body: DataFrame | None = None) -> DataFrame:
     """Outcomes, assessments, topics and materials of every document, long, with 1-based positions.
 
+    Word documents have no pages to read topics and materials from, so they yield neither.
     ``body`` holds the lines without running headers when the caller has them already.
     """
     body = strip_headers(lines) if body is None else body
+    paged = body.filter(~F.lower("file_name").endswith(".docx"))
     none = F.lit(None).cast("string")
 
     def rows(df: DataFrame, kind: str, name: str, detail=none, type_=none) -> DataFrame:
@@ -29,8 +31,8 @@ def course_children(lines: DataFrame, body: DataFrame | None = None) -> DataFram
     return (
         rows(goal_items(body), "outcome", "goal")
         .unionByName(rows(assessment_items(lines), "assessment", "name", F.col("weight").cast("string")))
-        .unionByName(rows(clean_topics(topic_items(body)), "topic", "topic"))
-        .unionByName(rows(clean_materials(material_items(body)), "material", "name", F.col("description"), F.col("type")))
+        .unionByName(rows(clean_topics(topic_items(paged)), "topic", "topic"))
+        .unionByName(rows(clean_materials(material_items(paged)), "material", "name", F.col("description"), F.col("type")))
     )
 
 
@@ -47,7 +49,7 @@ def course_records(lines: DataFrame, month: int, year: int) -> DataFrame:
     )
     counts = [F.coalesce(f"n_{kind}s", F.lit(0)).alias(f"n_{kind}s") for kind in ("outcome", "assessment", "topic", "material")]
     return (
-        codes.join(course_title(lines, codes), "doc_id").join(course_term(lines, month, year), "doc_id")
+        codes.join(course_title(lines, codes, body), "doc_id").join(course_term(lines, month, year), "doc_id")
         .join(section_text(body), "doc_id", "left").join(children, "doc_id", "left")
         .select("doc_id", "code", "number", "title", "term", "year", rules.study_level(F.col("number")).alias("level"),
                 F.coalesce("description", F.lit("")).alias("description"), *counts)

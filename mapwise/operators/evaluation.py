@@ -39,13 +39,15 @@ def split_sets(df: DataFrame, seed: int) -> DataFrame:
 def attach_predictions(df: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers per (run, id) attached to every labelled row; no answer or no label means prediction 0.
 
-    ``answers`` has run_id, id and map_labels (array). The run names, one per model and prompt variant,
-    are a short list; each run scores the whole labelled set.
+    ``answers`` has run_id, id, position and map_labels (array); of repeated answers the one at the last position
+    counts. The run names, one per model and prompt variant, are a short list; each run scores the whole labelled set.
     """
     runs = answers.agg(F.sort_array(F.collect_set("run_id"))).scalar()
     rows = df.withColumn("run_id", F.explode(runs))
+    last = F.max(F.struct("position", "map_labels"))["map_labels"]
+    final = answers.groupBy("run_id", "id").agg(last.alias("map_labels"))
     labels = F.coalesce("map_labels", F.array().cast("array<string>"))
-    return rows.join(answers, ["run_id", "id"], "left").withColumn("map_labels", labels).withColumn(
+    return rows.join(final, ["run_id", "id"], "left").withColumn("map_labels", labels).withColumn(
         "pred_score", (F.size("map_labels") > 0).cast("long")
     )
 

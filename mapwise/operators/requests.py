@@ -105,8 +105,13 @@ def latest_finished(requests: DataFrame) -> DataFrame:
 
 
 def pending_backlog(requests: DataFrame, now: str) -> DataFrame:
-    """Queue position per program by age, pending requests ahead, and the wait so far in seconds."""
-    waiting = requests.filter(F.col("status") == PENDING).select("request_id", "program_id", "created_at")
+    """Queue position per program by age, pending requests ahead, and the wait so far in seconds.
+
+    Requests without a date have no place in the queue; ``pending_undated`` lists them.
+    """
+    waiting = requests.filter((F.col("status") == PENDING) & F.col("created_at").isNotNull()).select(
+        "request_id", "program_id", "created_at"
+    )
     numbered = number_rows(
         waiting, ["program_id"], [F.col("created_at"), F.col("request_id")],
         F.date_trunc("hour", F.col("created_at")), "position",
@@ -117,6 +122,11 @@ def pending_backlog(requests: DataFrame, now: str) -> DataFrame:
     )
 
 
+def pending_undated(requests: DataFrame) -> DataFrame:
+    """Pending requests that cannot be queued because they have no date."""
+    return requests.filter((F.col("status") == PENDING) & F.col("created_at").isNull()).select("program_id", "request_id")
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Answer fields of every line; stateless, so it runs on streams as well.
 
@@ -134,6 +144,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         found = F.coalesce(answers.variant_field(F.col("_inner"), path, kind), default)
         return F.when(F.col("_object"), found).otherwise(default if scanned is None else F.coalesce(scanned, default))
 
+    # A single label may stand without its list.
+    label = answers.variant_field(F.col("_inner"), "$.mapLabels", "variant")
+    alone = F.when(answers.variant_kind(label) == "STRING", F.array(F.try_variant_get(label, "$", "string")))
+    no_labels = F.coalesce(F.when(F.col("_object"), alone), F.array().cast("array<string>"))
+
     rows = computed_once(rows, _id=either("$.id", "string", answers.scanned(text, "id"), nothing))
     rows = computed_once(rows, clo_id=rules.pair_part(F.col("_id"), 1), plo_id=rules.pair_part(F.col("_id"), 2))
     reason = (
@@ -147,7 +162,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .alias("accreditation_standard"),
         either("$.is_mapped", "boolean", None, F.lit(False)).alias("is_mapped"),
         either("$.explanation", "string", answers.scanned(text, "explanation"), nothing).alias("explanation"),
-        either("$.mapLabels", "array<string>", None, F.array().cast("array<string>")).alias("map_labels"),
+        either("$.mapLabels", "array<string>", None, no_labels).alias("map_labels"),
         "reason",
     )
 
@@ -214,6 +229,7 @@ def explode_answers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of answers that hold one object or a list of them after the reasoning block.
 
     A cut object is repaired first; the reader forgives single quotes, bare keys, comments and trailing commas.
+    Items without an id are rejected by themselves: ``item_no`` is their place from 0, null where nothing was read.
     """
     rows = computed_once(df, _at=F.instr("generated_text", answers.THINK_END))
     has = F.col("_at") > 0
@@ -227,14 +243,15 @@ def explode_answers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     strict = computed_once(rows, _first=F.from_json("_list", _ANSWER, lenient))
     # Trailing commas are dropped only where the text does not read without that.
     untrailed = F.regexp_replace("_list", r",\s*([\]}])", "$1")
-    readable = F.get("_first", F.lit(0))["id"].isNotNull()
+    readable = F.exists("_first", lambda a: a["id"].isNotNull())
     read = computed_once(
         strict, _answers=F.when(readable, F.col("_first")).otherwise(F.from_json(untrailed, _ANSWER, lenient))
     )
     kept = [c for c in df.columns if c != "generated_text"]
-    usable = F.coalesce(F.get("_answers", F.lit(0))["id"].isNotNull(), F.lit(False))
-    rows = read.filter(usable).select(*kept, "reasoning", F.explode("_answers").alias("a")).select(
+    items = read.select(*df.columns, "reasoning", F.posexplode_outer("_answers").alias("item_no", "a"))
+    has_id = F.col("a.id").isNotNull()
+    rows = items.filter(has_id).select(
         *kept, "reasoning", F.col("a.id").alias("id"), F.col("a.explanation").alias("explanation"),
         F.col("a.mapLabels").alias("map_labels"),
     )
-    return rows, read.filter(~usable).select(*df.columns)
+    return rows, items.filter(~has_id).select(*df.columns, F.col("item_no").cast("long").alias("item_no"))

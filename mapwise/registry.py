@@ -70,7 +70,7 @@ def _write_prompts(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "prompts")
     jsonl.write_prompts(_prompts(t)[0], folder)
     record = "id string, inputs string, parameters struct<max_new_tokens:bigint>"
-    lines = t.spark.read.schema("value string, bucket bigint").text(folder)
+    lines = t.spark.read.text(folder)
     return lines.select(F.from_json("value", record).alias("r")).select(
         "r.id", F.md5("r.inputs").alias("prompt_md5"), "r.parameters.max_new_tokens"
     )
@@ -102,29 +102,34 @@ def _scored(t: Tables) -> DataFrame:
 
 
 def _read_labelled_pairs(t: Tables) -> DataFrame:
-    """Write the labelled set as latin-1 CSV the way it is handed in, then read it."""
+    """Write the labelled set as latin-1 CSV the way it is handed in, some texts over two lines, then read it."""
     folder = shared_dir(t.spark, "labelled")
-    text = F.col("id").cast("string")
+    text = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, "\nand more").otherwise(""))
     t["labelled_pairs"].orderBy("id").select(
         F.concat(F.lit("Décrire outcome "), text).alias("Course Learning Objective"),
         F.concat(F.lit('Standard, "'), text, F.lit('"')).alias("SAF standard"),
         F.col("score").alias("Score"), F.col("i_label").alias("I"), F.col("r_label").alias("R"),
         F.col("e_label").alias("E"),
-    ).write.option("header", True).option("encoding", "ISO-8859-1").option("escape", "\\").csv(folder)
+    ).write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(folder)
     return imports.read_labelled_pairs(t.spark, folder)
 
 
-def _import_outcomes(t: Tables) -> DataFrame:
-    """One folder of outcome files per course code and term; blank outcomes are written to be dropped."""
+def _import_outcomes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """One folder of outcome files per course code and term; blank outcomes are written to be dropped.
+
+    Some outcomes hold a line break, and the files of one code and term have no owner.
+    """
     folder = shared_dir(t.spark, "outcomes")
     key = F.concat_ws("-", "course_code", "semester").alias("file_key")
     courses = t["courses"].select("course_id", "course_code", "semester", key)
-    outcome = F.when(F.col("clo_shortphrase").isNull(), "").otherwise(F.col("l_outcome"))
+    whole = F.concat("l_outcome", F.when(F.col("l_outcome_id") % 7 == 0, '\nand "more"').otherwise(""))
+    outcome = F.when(F.col("clo_shortphrase").isNull(), "").otherwise(whole)
     t["learning_outcomes"].join(courses, "course_id").select(
         "file_key", outcome.alias("Learning Outcome"), F.col("clo_shortphrase").alias("Short Phrase")
-    ).write.partitionBy("file_key").option("header", True).csv(folder)
-    owners = courses.select(F.concat(F.lit("file_key="), F.col("file_key")).alias("file_key"), "course_code", "semester").distinct()
-    return imports.import_outcomes(t.spark, folder, owners).select("course_code", "semester", "outcome", "short_phrase")
+    ).write.partitionBy("file_key").option("header", True).option("escape", '"').csv(folder)
+    owned = courses.filter("not (course_code = 'MACH' and semester = 'S2')")
+    owners = owned.select(F.concat(F.lit("file_key="), F.col("file_key")).alias("file_key"), "course_code", "semester").distinct()
+    return imports.import_outcomes(t.spark, folder, owners)
 
 
 def _import_program_outcomes(t: Tables) -> DataFrame:
@@ -137,7 +142,7 @@ def _import_program_outcomes(t: Tables) -> DataFrame:
     rows.select("file_key", "pl_outcome", "plo_shortphrase").write.partitionBy("file_key").option("header", True).csv(folder)
     owners = rows.select(F.concat(F.lit("file_key="), F.col("file_key")).alias("file_key"),
                          F.col("level").alias("program_level"), "category").distinct()
-    return imports.import_outcomes(t.spark, folder, owners)
+    return imports.import_outcomes(t.spark, folder, owners)[0]
 
 
 def _write_reports(t: Tables) -> DataFrame:
@@ -299,6 +304,7 @@ QUERIES: dict[str, Job] = {
     "route_requests": _route_requests,
     "latest_finished": lambda t: requests.latest_finished(t["mapping_requests"]),
     "pending_backlog": lambda t: requests.pending_backlog(t["mapping_requests"], "2026-01-01 00:00:00"),
+    "pending_undated": lambda t: requests.pending_undated(t["mapping_requests"]),
     "chunk_pairs": lambda t: requests.chunk_pairs(_pairs(t)),
     "explode_answers": lambda t: _joined_labels(requests.explode_answers(t["list_answers"])[0]),
     "explode_answers_rejects": lambda t: requests.explode_answers(t["list_answers"])[1],
@@ -311,7 +317,8 @@ QUERIES: dict[str, Job] = {
     "hamming": lambda t: evaluation.hamming(_scored(t)),
     "run_comparison": lambda t: evaluation.run_comparison(_scored(t)),
     "read_labelled_pairs": _read_labelled_pairs,
-    "import_outcomes": _import_outcomes,
+    "import_outcomes": lambda t: _import_outcomes(t)[0].select("course_code", "semester", "outcome", "short_phrase"),
+    "import_outcomes_rejects": lambda t: _import_outcomes(t)[1],
     "import_program_outcomes": _import_program_outcomes,
     "write_reports": _write_reports,
     "replace_pairs": lambda t: merge.replace_pairs(t["outcome_maps"], t["outcome_map_ai_suggestions"]),

@@ -227,9 +227,9 @@ VIEWS: dict[str, str] = {
                     when 'purchase' then 'AWAITING_COMPLETION' when 'error' then 'AWAITING_COMPLETION_FAILED'
                     else 'DONE' end as status,
                'store/batch_inputs/' || cast(event_id as string) || '.jsonl' as input_path,
-               case when event_id % 4 = 0 then null
+               case when event_id % 4 = 0 then null when event_id % 4 = 1 then ''
                     else 'store/batch_outputs/' || cast(event_id as string) || '.jsonl.out' end as output_path,
-               ts as created_at
+               case when event_type = 'view' and event_id % 20 = 7 then null else ts end as created_at
         from @events""",
     "labelled_pairs": """
         select doc_id as id, cast(quality as bigint) as score,
@@ -238,12 +238,13 @@ VIEWS: dict[str, str] = {
                case when quality = 1 and (doc_id @div 4) % 2 = 1 then 'E' end as e_label
         from @labels""",
     "predictions": """
-        select run.run_id, p.doc_id as id,
-               case (p.doc_id * (2 * run.k + 3)) % 8
+        select run.run_id, p.doc_id as id, cast(turn.position as bigint) as position,
+               case (p.doc_id * (2 * run.k + 3) + turn.position) % 8
                     when 0 then '' when 1 then 'I' when 2 then 'r' when 3 then 'I, R' when 4 then 'e'
                     when 5 then 'I,e' when 6 then 'R,E, X' else 'I,R,E' end as map_labels
         from @labels p join (values (0, 'prompt-a'), (1, 'prompt-b'), (2, 'prompt-c')) run(k, run_id)
-          on (p.doc_id + run.k) % 9 <> 0""",
+          on (p.doc_id + run.k) % 9 <> 0
+        join (values (0), (1)) turn(position) on turn.position = 0 or p.doc_id % 5 = 2""",
     "answer_texts": """
         select l_outcome_id, pl_outcome_id, l_outcome_id % 7 as kind,
                'clo-' || cast(l_outcome_id as string) || '__plo-' || cast(pl_outcome_id as string) as pair_id,
@@ -256,12 +257,14 @@ VIEWS: dict[str, str] = {
         from @mapping_scale_programs k join @mapping_scales s on s.map_scale_id = k.map_scale_id
         where not (k.program_id % 5 = 2 and k.program_id % 3 = 0)""",
     "list_answers": """
-        select l_outcome_id, pl_outcome_id, case kind % 3
+        select l_outcome_id, pl_outcome_id, case when kind = 3 then
+                '<think>half</think>[{"mapLabels": ["I"], "explanation": "no id"}, {"id": "' || pair_id
+                || '", "mapLabels": ["R"], "explanation": "kept"}]' else case kind % 3
             when 0 then '<think>' || chr(10) || 'weighing ' || pair_id || chr(10) || '</think>' || chr(10) || chr(10)
                         || '[{"id": "' || pair_id || '", "mapLabels": ["I", "R"], "explanation": "first"}, '
                         || '{"id": "' || pair_id || '-b", "mapLabels": [], "explanation": "second"}]'
             when 1 then '<think>short</think>{"id": "' || pair_id || '", "mapLabels": ["E"], "explanation": "cut off he'
-            else 'no block and no answer' end as generated_text
+            else 'no block and no answer' end end as generated_text
         from @answer_texts""",
     "incoming_standard_maps": """
         select c.course_id, s.standard_id, (c.course_id + s.standard_id + 1) % 4 as standard_scale_id
@@ -280,13 +283,13 @@ VIEWS: dict[str, str] = {
     "model_result_lines": """
         select l_outcome_id, pl_outcome_id, case kind
             when 0 then '{"generated_text": "' || body || '"}'
-            when 1 then '[{"generated_text": "' || body || '"}]'
+            when 1 then '[{"generated_text": "' || replace(replace(body, '[', ''), ']', '') || '"}]'
             when 2 then '{"generated_text": "<think>weighing it</think> ' || body || '"}'
             when 3 then '{"generated_text": "ID: ' || pair_id || bn || 'CLO: Outcome ' || cast(l_outcome_id as string)
                         || bn || 'Explanation: because: yes"}'
             when 4 then '{"generated_text": "{' || q || 'CLO' || q || ': ' || q || 'no id' || q || '}"}'
             when 5 then '{"generated_text": "' || pair_id
-            else case when pl_outcome_id % 2 = 0 then '  ' else '{"other": 1}' end end as line
+            else case when pl_outcome_id % 2 = 0 then chr(9) || ' ' else '{"other": 1}' end end as line
         from (select l_outcome_id, pl_outcome_id, kind, pair_id, chr(92) || '"' as q, chr(92) || 'n' as bn,
                      '{' || chr(92) || '"id' || chr(92) || '": ' || chr(92) || '"' || pair_id || chr(92) || '", '
                      || chr(92) || '"CLO' || chr(92) || '": ' || chr(92) || '"Outcome '

@@ -15,14 +15,11 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines.filter(valid), lines.filter(~valid)
 
 
-def write_prompts(prompts: DataFrame, path: str, folders: int = 32, files_per_folder: int = 4) -> None:
-    """One JSON line per pair, text unescaped, in a bounded number of folders and files.
+def write_prompts(prompts: DataFrame, path: str, pairs_per_file: int = 100_000) -> None:
+    """One JSON line per pair, text unescaped, in files of at most ``pairs_per_file`` lines.
 
-    The lines of a request share the folder ``bucket=`` of its (course, program); one folder per request would
-    make as many small files as there are requests. A folder spreads over several tasks, so a request with
-    very many pairs is not one task's work. The pair id in each line says where its answer belongs.
+    The tasks that build the prompts write them as they are: no exchange, no fixed number of files, and no file per
+    request. The pair id in each line says where its answer belongs.
     """
-    bucket = F.pmod(F.xxhash64("course_id", "program_id"), F.lit(folders)).alias("bucket")
-    payload = prompt_payload(prompts).select(bucket, "value")
-    spread = F.pmod(F.xxhash64("value"), F.lit(files_per_folder))
-    payload.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").text(path)
+    lines = prompt_payload(prompts).select("value")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", pairs_per_file).text(path)

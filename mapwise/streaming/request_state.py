@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mapwise.schemas import SCHEMAS
 from mapwise.streaming import log
 
-KEYS = ["course_id", "program_id"]
+KEYS, ORDER = ["course_id", "program_id"], ["created_at", "request_id", "status"]
 STATE = "course_id bigint, program_id bigint, request_id bigint, status string, created_at timestamp"
 
 
@@ -28,9 +28,17 @@ def stream_request_state(spark: SparkSession, source: str, target: str, files_pe
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    events = spark.readStream.schema(SCHEMAS["mapping_requests"]).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    events = (
+        spark.readStream.schema(SCHEMAS["mapping_requests"]).option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", log.MAX_FILE_AGE).parquet(source)
+    )
     return log.start(request_state(events), target, "update")
 
 
-def current_state(spark: SparkSession, target: str, snapshot: int | None = None) -> DataFrame:
-    return log.current(spark, target, STATE, KEYS, snapshot)
+def current_state(spark: SparkSession, target: str) -> DataFrame:
+    return log.current(spark, target, STATE, KEYS, ORDER)
+
+
+def take_snapshot(spark: SparkSession, target: str) -> int | None:
+    """Fold the states so far, which bounds what later reads open."""
+    return log.take_snapshot(spark, target, STATE, KEYS, ORDER)

@@ -89,15 +89,18 @@ TITLES = f"""
     cand as (select doc_id, line_no, 0 as ix, coalesce(nullif(regexp_extract(t, {q(v.TITLE_LABEL)}, 1), ''), nxt) as title
              from l where regexp_matches(t, {q(v.TITLE_LABEL)})
              union all select doc_id, line_no, 1, substr(t, instr(t, course || ':')) from l where instr(t, course || ':') > 0
-             union all select doc_id, line_no, 2, substr(t, instr(t, course || ' –')) from l where instr(t, course || ' –') > 0
-             union all select doc_id, line_no, 3, t from l where regexp_matches(t, {q(v.TITLE_BEFORE_CODE)})),
+             union all select doc_id, line_no, 2, regexp_extract(t, course || '\\s*–.*') from l
+                       where regexp_matches(t, course || '\\s*–')
+             union all select doc_id, line_no, 3, t from l where regexp_matches(t, '^.+:\\s*' || course || '$')
+             union all select doc_id, line_no, 4, t from l where regexp_matches(t, {q(v.TITLE_BEFORE_CODE)})),
     counted as (select doc_id, title, count(*) as n, min(line_no * 10 + ix) as first, {_NAMED} > 1 as is_heading
                 from cand where title is not null group by doc_id, title),
     best as (select doc_id, title from (select *, max(n) over (partition by doc_id) as top,
                     row_number() over (partition by doc_id, is_heading order by n desc, first) as rn from counted) x
              where not is_heading and rn = 1 and n = top),
-    firsts as (select doc_id, arg_min(t, line_no) as first_line from l
-               where t <> '' and not regexp_matches(t, '^[0-9]+$') and rel_top between 0.1 and 0.9 group by doc_id),
+    firsts as (select doc_id, arg_min(t, line_no) as first_line
+               from (select doc_id, page_no, line_no, {strip('text')} as t from ({STRIPPED}) b) s
+               where t <> '' and not regexp_matches(t, '^[0-9]+$') and page_no = 0 group by doc_id),
     x as (select d.doc_id, d.course, coalesce(f.first_line, d.course) as fallback,
                  {strip("regexp_replace(replace(replace(b.title, d.code, ''), d.number, ''), '[!-/:-@\\[-`{-~]', '', 'g')")} as bare
           from (select distinct doc_id, code, number, course from l) d left join best b using (doc_id) left join firsts f using (doc_id))

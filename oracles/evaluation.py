@@ -6,7 +6,7 @@ SCORED = """
     select r.run_id, l.*, coalesce(p.map_labels, '') as map_labels,
            cast(coalesce(p.map_labels, '') <> '' as bigint) as pred_score
     from @labelled_pairs l cross join (select distinct run_id from @predictions) r
-    left join @predictions p on p.run_id = r.run_id and p.id = l.id"""
+    left join (select run_id, id, arg_max(map_labels, position) as map_labels from @predictions group by run_id, id) p on p.run_id = r.run_id and p.id = l.id"""
 
 LABELLED = f"""
     select *, case when (len(p) = 0) <> (len(t) = 0) then 'none'
@@ -54,12 +54,19 @@ SQL: dict[str, str] = {
         join (select run_id, {_MATCH} from ({LABELLED}) s group by run_id) b using (run_id)
         join ({_HAMMING}) h using (run_id)""",
     "read_labelled_pairs": """
-        select row_number() over (order by id) as id, 'Décrire outcome ' || id as clo, 'Standard, "' || id || '"' as accreditation_standard,
+        select row_number() over (order by id) as id, 'Décrire outcome ' || t as clo, 'Standard, "' || t || '"' as accreditation_standard,
                score, i_label, r_label, e_label
-        from @labelled_pairs""",
+        from (select *, id || case when id % 7 = 0 then chr(10) || 'and more' else '' end as t from @labelled_pairs) x""",
     "import_outcomes": """
-        select course_code, semester, l_outcome as outcome, clo_shortphrase as short_phrase
-        from @learning_outcomes join @courses using (course_id) where clo_shortphrase is not null""",
+        select course_code, semester, l_outcome || case when l_outcome_id % 7 = 0 then chr(10) || 'and "more"' else '' end as outcome,
+               clo_shortphrase as short_phrase
+        from @learning_outcomes join @courses using (course_id)
+        where clo_shortphrase is not null and not (course_code = 'MACH' and semester = 'S2')""",
+    "import_outcomes_rejects": """
+        select 'file_key=MACH-S2' as file_key, l_outcome || case when l_outcome_id % 7 = 0 then chr(10) || 'and "more"' else '' end as outcome,
+               clo_shortphrase as short_phrase
+        from @learning_outcomes join @courses using (course_id)
+        where clo_shortphrase is not null and course_code = 'MACH' and semester = 'S2'""",
     "import_program_outcomes": """
         select program_level, category, pl_outcome as outcome, plo_shortphrase as short_phrase
         from (select p.*, g.level as program_level, 'Sheet ' || coalesce(cast(plo_category_id % 10 as varchar), 'none') as category

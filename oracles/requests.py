@@ -47,8 +47,9 @@ PARSED = f"""
            case when is_object then coalesce(cast(json_extract(inner_json, '$.is_mapped') as boolean), false)
                 else false end as is_mapped,
            {_field('explanation', 'explanation', 'null')} as explanation,
-           case when is_object then coalesce(array_to_string(cast(json_extract(inner_json, '$.mapLabels') as varchar[]), ','), '')
-                else '' end as map_labels,
+           case when not is_object then '' when json_type(inner_json, '$.mapLabels') = 'VARCHAR'
+                then json_extract_string(inner_json, '$.mapLabels')
+                else coalesce(array_to_string(try_cast(json_extract(inner_json, '$.mapLabels') as varchar[]), ','), '') end as map_labels,
            case when outer_json is null then 'malformed line' when txt is null then 'no text'
                 when coalesce(regexp_extract(idt, '^clo-([^_]+)__plo-(.+)', 1), '') = '' then 'bad id' end as reason
     from (select *, {_field('id', 'id', 'null')} as idt
@@ -58,9 +59,9 @@ PARSED = f"""
                             from (select *, coalesce(json_extract_string(outer_json, '$.generated_text'),
                                                      json_extract_string(outer_json, '$[0].generated_text')) as raw
                                   from (select line, case when json_valid(line) then cast(line as json) end as outer_json
-                                        from @model_result_lines where length(trim(line)) > 0) a) b) c) d) e) f"""
+                                        from @model_result_lines where length({_strip('line')}) > 0) a) b) c) d) e) f"""
 
-_PATH = "coalesce(output_path, replace(input_path, 'batch_inputs', 'batch_outputs') || '.out')"
+_PATH = "coalesce(nullif(output_path, ''), replace(input_path, 'batch_inputs', 'batch_outputs') || '.out')"
 
 _REPAIRED = """case when (length(o) - length(replace(o, '"', ''))) % 2 <> 0 then o || '"' else o end"""
 
@@ -72,8 +73,8 @@ SQL: dict[str, str] = {
         where incomplete""",
     "write_prompts": f"""select pair_id as id, md5(prompt) as prompt_md5,
         cast(1500 as bigint) as max_new_tokens from ({PROMPTS}) p""",
-    "read_results": """select trim(line) as line, case when json_valid(line) then 'good' else 'quarantined' end as kind
-        from @model_result_lines where length(trim(line)) > 0""",
+    "read_results": f"""select {_strip('line')} as line, case when json_valid(line) then 'good' else 'quarantined' end as kind
+        from @model_result_lines where length({_strip('line')}) > 0""",
     "process_results": f"""select clo_id, plo_id, clo, accreditation_standard, is_mapped, explanation, map_labels
         from ({PARSED}) p where reason is null""",
     "process_results_rejects": f"select line, reason from ({PARSED}) p where reason is not null",
@@ -94,8 +95,9 @@ SQL: dict[str, str] = {
     "pending_backlog": """
         select program_id, request_id, row_number() over w as position, row_number() over w - 1 as n_ahead,
                epoch(timestamp '2026-01-01 00:00:00')::bigint - floor(epoch(created_at))::bigint as wait_seconds
-        from @mapping_requests where status = 'PENDING'
+        from @mapping_requests where status = 'PENDING' and created_at is not null
         window w as (partition by program_id order by created_at, request_id)""",
+    "pending_undated": "select program_id, request_id from @mapping_requests where status = 'PENDING' and created_at is null",
     "chunk_pairs": f"""
         select request_id, (position - 1) // 5 as chunk_no, count(*) as n_pairs,
                '[' || string_agg(to_json({{'CLO': l_outcome, 'Accreditation_Standard': pl_outcome, 'id': pair_id}})::varchar, ',' order by position) || ']' as payload
@@ -110,9 +112,12 @@ SQL: dict[str, str] = {
               from (select *, case when o1 like '{{%' and o1 not like '%}}' then o1 || '}}' else o1 end as o2
                     from (select *, {_REPAIRED} as o1
                           from (select *, {_strip("substr(generated_text, instr(generated_text, '</think>') + 8)")} as o
-                                from @list_answers where instr(generated_text, '</think>') > 0) p) q) r) s""",
+                                from @list_answers where instr(generated_text, '</think>') > 0) p) q) r) s
+        where json_extract_string(a, '$.id') is not null""",
     "explode_answers_rejects": """
-        select l_outcome_id, pl_outcome_id, generated_text from @list_answers where generated_text like 'no block%'""",
+        select l_outcome_id, pl_outcome_id, generated_text,
+               case when generated_text like 'no block%' then null else cast(0 as bigint) end as item_no
+        from @list_answers where generated_text like 'no block%' or generated_text like '%</think>[{"mapLabels"%'""",
     "stream_results": f"""select clo_id, plo_id, clo, accreditation_standard, is_mapped, explanation, map_labels
         from ({PARSED}) p where reason is null""",
     "stream_request_state": """

@@ -1,11 +1,14 @@
 """Hand-written cases for the rules the generated tables do not single out."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from mapwise.functions import rules
 from mapwise.operators import access, coverage, evaluation, maps, merge, requests
-from mapwise.operators.corpus import assessments, fields, materials, sections
+from mapwise.operators.corpus import assessments, fields, materials, records, sections
 from mapwise.plans.numbering import number_rows
 from mapwise.plans.skew import fan_out_join
 from mapwise.sources import imports, jsonl, sinks, tables
@@ -95,14 +98,16 @@ ANSWERS = [
     r'[{"generated_text": "{\"id\": \"clo-3__plo-4\"}"}]',
     r'{"generated_text": "ID: clo-5__plo-6\nCLO: text\nExplanation: a: b"}',
     r'{"generated_text": "one </think> two </think> {\"id\": \"clo-7__plo-8\"}"}',
-    '{"generated_text": "no id"}', '{"other": 1}', "{broken", "   ", "[]",
+    '{"generated_text": "no id"}', '{"other": 1}', "{broken", "   ", "[]", "\t ",
+    r'{"generated_text": "{\"id\": \"clo-9__plo-9\", \"is_mapped\": true, \"mapLabels\": \"I\"}"}',
 ]
 
 
 def test_answers(spark):
     good, rejects = requests.process_results(spark.createDataFrame([(a,) for a in ANSWERS], "line string"))
     assert rows(good, "clo_id", "plo_id", "clo", "is_mapped", "explanation", "map_labels") == [
-        ("1", "2", "x", True, None, ["I"]), ("3", "4", "", False, None, []), ("5", "6", "text", False, "a: b", [])]
+        ("1", "2", "x", True, None, ["I"]), ("3", "4", "", False, None, []), ("5", "6", "text", False, "a: b", []),
+        ("9", "9", "", True, None, ["I"])]
     assert sorted(r[0] for r in rejects.select("reason").collect()) == [
         "bad id", "bad id", "malformed line", "no text", "no text"]
 
@@ -116,7 +121,41 @@ def test_cut_and_lenient_answers(spark):
     good, rejects = requests.explode_answers(spark.createDataFrame(texts, "n long, generated_text string"))
     assert rows(good, "n", "reasoning", "id", "map_labels") == [
         (1, "why", "a", ["I"]), (2, "w", "b", ["R", "E"]), (2, "w", "c", [])]
-    assert rows(rejects, "n") == [(3,)]
+    assert rows(rejects, "n", "item_no") == [(3, None)]
+
+
+def test_an_item_without_id_leaves_the_others(spark):
+    text = "<think>w</think>[{'mapLabels': ['I']}, {'id': 'b', 'mapLabels': ['R']}, {'explanation': 'x'}]"
+    good, rejects = requests.explode_answers(spark.createDataFrame([(1, text)], "n long, generated_text string"))
+    assert rows(good, "id", "map_labels") == [("b", ["R"])]
+    assert rows(rejects, "n", "item_no") == [(1, 0), (1, 2)]
+
+
+def test_the_last_answer_counts(spark):
+    pairs = spark.createDataFrame([(1, 1), (2, 0)], "id long, score long")
+    answers = spark.createDataFrame([("r", 1, 0, ["I"]), ("r", 1, 1, [])], "run_id string, id long, position long, map_labels array<string>")
+    assert rows(evaluation.attach_predictions(pairs, answers), "id", "pred_score") == [(1, 0), (2, 0)]
+
+
+def test_undated_requests_are_set_aside(spark):
+    df = spark.createDataFrame([(1, 1, "PENDING", None), (2, 1, "PENDING", "2025-12-31 23:59:00"), (3, 1, "PENDING", "2025-12-31 23:00:00")],
+                               "request_id long, program_id long, status string, created_at string")
+    df = df.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert rows(requests.pending_backlog(df, "2026-01-01 00:00:00"), "request_id", "position", "wait_seconds") == [(2, 2, 60), (3, 1, 3600)]
+    assert rows(requests.pending_undated(df), "request_id") == [(1,)]
+
+
+def test_numbering_keeps_nulls(spark):
+    df = spark.createDataFrame([(None, None), (None, 5), (1, None), (1, 70)], "k long, v long")
+    got = number_rows(df, ["k"], [F.col("v")], F.floor(F.col("v") / 64), "n")
+    assert rows(got, "*") == sorted([(None, None, 1), (None, 5, 2), (1, None, 1), (1, 70, 2)], key=str)
+
+
+def test_routes_derive_empty_paths(spark):
+    asked = spark.createDataFrame([(1, 1, 1, "AWAITING_COMPLETION", "s/batch_inputs/1", "")],
+                                  "request_id long, course_id long, program_id long, status string, input_path string, output_path string")
+    found = spark.createDataFrame([("s/batch_outputs/1.out",)], "output_path string")
+    assert rows(requests.route_requests(asked, found), "output_path", "n_results") == [("s/batch_outputs/1.out", 1)]
 
 
 def test_owner_election(spark):
@@ -220,10 +259,10 @@ def test_fan_out_join_equals_plain_join(spark, how):
 def test_import_skips_header_and_blank(spark, tmp_path):
     (tmp_path / "clos.csv").write_text('Learning Outcome,Short Phrase\nKnow x,X\n,Y\n"Apply, y",\n')
     owners = spark.createDataFrame([("clos.csv", 7)], "file_key string, course_id long")
-    got = imports.import_outcomes(spark, str(tmp_path), owners, file_key=r"([^/]+)$")
+    (tmp_path / "other.csv").write_text('Learning Outcome,Short Phrase\n"Know x,\nand ""y""",Z\n')
+    got, rejects = imports.import_outcomes(spark, str(tmp_path), owners, file_key=r"([^/]+)$")
     assert rows(got, "course_id", "outcome", "short_phrase") == [(7, "Apply, y", None), (7, "Know x", "X")]
-    limited = imports.import_outcomes(spark, str(tmp_path), owners, max_rows=2, file_key=r"([^/]+)$")
-    assert rows(limited, "outcome") == [("Know x",)]
+    assert rows(rejects, "file_key", "outcome", "short_phrase") == [("other.csv", 'Know x,\nand "y"', "Z")]
 
 
 def test_wide_sheet(spark):
@@ -248,6 +287,31 @@ def test_course_code(spark, text, name, want):
     assert rows(fields.course_code(lines_of(spark, text, name)), "code", "number") == [want]
 
 
+CPS = [(1, "CPS", 101)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("12\nWidgets and You: CPS 101", "Widgets and You"), ("welcome\nCPS 101   – Widgets", "Widgets"),
+    ("welcome\nCourse Title: Deep Widgets", "Deep Widgets"), ("7\nwelcome", "welcome"),
+])
+def test_course_title(spark, text, want):
+    codes = spark.createDataFrame(CPS, "doc_id long, code string, number long")
+    assert fields.course_title(lines_of(spark, text), codes).first()["title"].strip() == want
+
+
+def test_title_at_the_top_of_the_first_page(spark):
+    data = [(1, "f", 0, 0, 0.05, "Intro to Widgets")] + [(1, "f", p, p + 1, 0.5, f"CPS 101 body {p}") for p in range(3)]
+    lines = spark.createDataFrame(data, "doc_id long, file_name string, page_no long, line_no long, rel_top double, text string")
+    codes = spark.createDataFrame(CPS, "doc_id long, code string, number long")
+    assert rows(fields.course_title(lines, codes), "title") == [("Intro to Widgets",)]
+
+
+def test_word_documents_have_no_topics(spark):
+    text = "Topics\n• First steps\n\nRequired Readings\n• Smith, J. (2019). Field Notes. Wiley."
+    assert records.course_children(lines_of(spark, text)).filter("kind = 'topic'").count() == 1
+    assert records.course_children(lines_of(spark, text, "a.DOCX")).count() == 0
+
+
 @pytest.mark.parametrize("text, name, want", [
     ("Offered Fall 2024", "x.pdf", ("W1", 2024)),
     ("anything", "notes_2023 W2.pdf", ("W2", 2023)),
@@ -299,26 +363,38 @@ def test_long_lines_do_not_overflow(spark):
 
 
 def test_log_replays_and_snapshots(spark, tmp_path):
-    path, schema = str(tmp_path / "log"), "k long, v string"
+    path, schema = str(tmp_path / "log"), "k long, at long, v string"
+    args = (spark, path, schema, ["k"], ["at"])
+    assert log.current(*args).count() == 0 and log.take_snapshot(*args) is None
     sink = log.append(path)
-    sink(spark.createDataFrame([(1, "a"), (2, "b")], schema), 0)
-    sink(spark.createDataFrame([(1, "c")], schema), 1)
-    sink(spark.createDataFrame([(1, "c")], schema), 1)
-    want = [(1, "c"), (2, "b")]
-    assert rows(log.current(spark, path, schema, ["k"]), "k", "v") == want
-    log.take_snapshot(spark, path, schema, ["k"], 1)
-    sink(spark.createDataFrame([(2, "d")], schema), 2)
-    assert rows(log.current(spark, path, schema, ["k"], snapshot=1), "k", "v") == [(1, "c"), (2, "d")]
-
-
-def test_newer_answer_replaces_older(spark, tmp_path):
+    sink(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), 0)
+    sink(spark.createDataFrame([(1, 2, "c")], schema), 1)
+    sink(spark.createDataFrame([(1, 2, "c")], schema), 1)
+    assert rows(log.current(*args), "k", "v") == [(1, "c"), (2, "b")]
+    assert log.take_snapshot(*args) == 1
+    log.prune(spark, path)
+    assert not (tmp_path / "log" / "batches" / "batch_id=0").exists()
+    # An older row that comes late replaces nothing.
+    sink(spark.createDataFrame([(2, 3, "d"), (1, 1, "late")], schema), 2)
+    assert rows(log.current(*args), "k", "v") == [(1, "c"), (2, "d")]
+    opened = log.current(*args).inputFiles()
+    assert opened and not any("batch_id=0" in f or "batch_id=1" in f for f in opened)
+
+
+@pytest.mark.parametrize("age, want", [(-5, "D"), (3600, "I"), (30 * 86400, "I")])
+def test_newer_answer_replaces_older(spark, tmp_path, age, want):
+    """The second file is listed later; it counts only if it is newer, and is read however old it is."""
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    line = '{"generated_text": "{\\"id\\": \\"clo-1__plo-2\\", \\"mapLabels\\": [\\"%s\\"]}"}\n'
+    line = '{"generated_text": "{\\"id\\": \\"clo-1__plo-%d\\", \\"mapLabels\\": [\\"%s\\"]}"}\n'
+    now = int(time.time()) - 100
     for i, label in enumerate(["I", "D"]):
-        (source / f"part-{i}.txt").write_text(line % label + "broken\n")
+        file = source / f"part-{i}.txt"
+        file.write_text(line % (2, label) + line % (3 + i, label) + "broken\n")
+        os.utime(file, (now - age * i, now - age * i))
         results.stream_results(spark, str(source), target).awaitTermination()
-    assert rows(results.suggestions(spark, target), "clo_id", "plo_id", "map_labels") == [("1", "2", ["D"])]
+    assert rows(results.suggestions(spark, target), "clo_id", "plo_id", "map_labels") == [
+        ("1", "2", [want]), ("1", "3", ["I"]), ("1", "4", ["D"])]
 
 
 def test_jsonl_round_trip_keeps_text(spark, tmp_path):
