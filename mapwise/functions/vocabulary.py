@@ -83,12 +83,17 @@ MATERIAL_STOPS = _items("""
 
 # Words.
 GOAL_VERBS = _items("""
-    demonstrate; develop; conduct; describe; understand; outline; diagnose; show; sketch; read; recognize;
-    explain; define; make; produce; utilize; acquire; complete; compare; identify; provide; evaluate; prepare;
-    appreciate; know; perform; create; generate; plan; enhance; explore; apply; analyze; interpret; discuss;
-    suggest; communicate; give; organize; select; design; calculate; incorporate; propose; integrate; derive;
-    solve; illustrate; assess; critically evaluate; display; summarize; choose; become familiar;
-    gain understanding; be able to; will be able to; students will be able to
+    demonstrate; develop; conduct; describe; understand; outline; diagnose; show; sketch; read; recognize; explain;
+    define; make; geocode; produce; utilize; acquire; complete; compare; identify; provide; evaluate; prepare;
+    appreciate; know; proficient; efficiently; perform; create; generate; data handling and analyzing; importexport;
+    managing; plan; enhance; explore; have a thorough understanding; apply; analyze; interpret; discuss; suggest;
+    communicate; give; be able to put; be able to plot; organize; acheive; become familiar; gain a foundation;
+    critically engage; gain understanding; gain specific understanding; to understand; to become; select; design;
+    calculate; incorporate; working in groups; assess the challenges; propose; contrast the evolution;
+    name and describe; integrate; manage large; derive; solve; illustrate; assess; critically evaluate; display;
+    participate in inter-governmental; follow the developments; use simpler procedures; give specific examples;
+    given particular; for each of these; relate these concepts; thoughtfully reflect on;
+    clearly and concisely communicate; summarize; choose; be able to; will be able to; students will be able to
 """)
 STOP_WORDS = _items("""
     i; me; my; we; our; ours; you; your; he; him; his; she; her; it; its; they; them; their; what; which; who;
@@ -124,16 +129,27 @@ MATERIAL_LABELS = _items("""
     optional text for lectures; optional text for labs; digital resources; course materials;
     other course materials; recommended literature sources; textbook and references;
     required documentary / video content; podcast and audio media; websites and online articles;
-    learning materials; learning materials and technology requirements; podcast; online articles;
+    recomended literature sources; learning materials; learning materials and technology requirements; podcast; online articles;
     required and optional readings; video; textbook; primary textbook; primary textbooks; course textbook;
     course textbooks; required course materials; course readings and materials; readings; iclicker;
-    suggested reading materials; other useful books; required equipment
+    suggested reading materials; e-books on r; e-books on choosing and fitting models; other useful books; required equipment
 """)
 MATERIAL_LINE_NOISE = _items("""
     none; n/a; na; not applicable; supplies needed; technology requirements; technology; course resources;
     learning resources; textbook and readings; recommended readings; optional resources; course website; canvas;
     course structure; learning activities; marks; weight; office hours; week; date; lecture; lab; assignment;
-    quiz; quizzes; exam; exams; midterm; final exam; participation; laptop; mobile device; tablet; paper;
+    quiz; quizzes; exam; exams; midterm; final exam; participation;
+    additional readings will be provided through canvas;
+    additional articles, multimedia resources, case studies, and readings will be provided through canvas modules;
+    all updated course information will be available through the canvas course website;
+    only registered students will have access to the course materials hosted through canvas;
+    students should have access to a computer or tablet capable of accessing canvas;
+    there are no mandatory textbook requirements for this course;
+    the following are optional textbooks and resources for review;
+    students experiencing difficulties with course technologies assignments or course materials are encouraged to contact the teaching team early in the term;
+    course materials are intended only for students enrolled in the course and may not be redistributed without permission;
+    all materials in this course are the intellectual property of the course instructor or licensed for educational use;
+    laptop; mobile device; tablet; paper;
     calculator; wifi; internet; textbooks and additional resources
 """)
 MATERIAL_KEYWORDS = _items("""
@@ -143,26 +159,36 @@ MATERIAL_KEYWORDS = _items("""
 GENERIC_KEYWORDS = ["canvas", "readings", "reading", "slides"]
 INSTRUCTION_PHRASES = _items("""
     students can access; students can purchase; hardcopies are also available; most required readings;
-    course canvas website; supplementary readings; all course materials will be posted; use of canvas;
-    note: to download; to download this book; students can read parts of; downloaded from;
-    suggested technical requirements; you will need a laptop; obtain at least one reference book;
-    not be required to purchase; readings can all be accessed; slides for each lecture; available at canvas;
-    learning management system
+    required readings that are not from; course canvas website; supplementary readings;
+    all course materials will be posted; use of canvas; make sure that you can access canvas;
+    sure that you can access canvas; problem, please contact; note: to download; to download this book;
+    students can read parts of; another good overview; downloaded from; suggested technical requirements;
+    course materials are taken directly; you will need a laptop; module 0 on canvas;
+    obtain at least one reference book; also need r reference books; access a number of excellent e-books;
+    recommendations for e-books; not be required to purchase; readings can all be accessed; slides for each lecture;
+    available at canvas; regularly login to your course page; your syllabus, course-lecture slides;
+    announcements, assignments; required and supplementary learning materials; learning management system
 """)
 IGNORED_MATERIALS = _items("""
     none; n/a; na; not applicable; tba; to be announced; see canvas; canvas; canvas site; course website;
-    course textbook and readings; software tools; learning materials;
+    course textbook and readings; software tools;
+    additional readings and case studies will be provided through canvas.; through canvas modules.;
+    throughout the term in canvas modules.;
+    there are no mandatory textbook requirements for this course and all lecture materials will be supplied through canvas.;
+    learning materials;
     learning materials and technology requirements; course materials; other course materials; course resources;
     learning resources; materials and resources; textbook and references; textbook and readings;
     required textbook; required textbooks; optional textbook; optional textbooks; required reading;
     required readings; recommended reading; recommended readings; optional reading; optional readings;
+    recommended literature sources; recommended literature resources;
     digital resources; online resources; web resources; technology requirements; supplies needed; equipment;
     software; calculator; laptop; tablet; mobile device; internet; wifi; course policies; academic integrity;
     student support; communication protocols; assessment; assessments; assignments; schedule; topics; week; date;
     lecture; lab; tutorial; textbook; textbooks
 """)
 GENERIC_CANVAS = _items("""
-    posted on canvas; available on canvas; provided through canvas; will be posted in canvas; canvas modules;
+    posted on canvas; available on canvas; provided through canvas; will be posted on canvas;
+    will be posted in canvas; canvas modules;
     canvas course website; canvas site; class materials; lecture slides; announcements; assignment descriptions;
     readings, assignments
 """)
@@ -173,7 +199,7 @@ GENERIC_LITERATURE = _items("""
 """)
 CONCRETE_TERMS = _items("""
     article; book; textbook; podcast; video; documentary; portal; database; software; dataset; edition; arcgis;
-    qgis; national geographic
+    qgis; e-flora; national geographic; narwhal
 """)
 # In order: the first type named by the material, else by its description.
 MATERIAL_TYPES = _items("""
