@@ -10,26 +10,92 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.storage import stored
-from mapwise.llm.words import WordHashes, hashed_words, slices, starts_of
+from mapwise.llm.words import mixed, slices, starts_of
 
 #: Buckets of the word counts that order tokens by rarity (one array of 64-bit counts), in pieces of CHUNK.
-BUCKETS, CHUNK = 1 << 17, 1 << 10
+BUCKETS, CHUNK = 1 << 20, 1 << 10
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
 #: Rows of posting lists that a task holds at once; a list longer than that is met block by block.
 TASK_ROWS = 400_000
 #: Pairs verified against one copy of a line's tokens.
 BLOCK = 256
+#: Bits of the filter of places whose tokens are to be read, in bytes of CHUNK: a fixed size. A full filter only lets
+#: more lines through to the join that decides.
+FILTER_BITS = 1 << 26
+#: Bits of a set's size in the key of a posting row, below 40 bits of its token. A cut token or size only adds candidates.
+SIZE_BITS = 24
 
 
-def _lines(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct token hashes of every line, the number of them, and the number of lines of each text."""
-    lines = [t.split(b"\n") for t in texts]
-    hashes, counts = hashed_words((x for own in lines for x in own), cache)
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((hashes, line))
-    hashes, line = hashes[order], line[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-    return hashes[fresh], np.bincount(line[fresh], minlength=len(counts)), np.array([len(x) for x in lines], np.int64)
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word of ``texts``, the number of words of each line, and of lines of each text.
+
+    Words are hashed side by side, eight bytes at a time; the few long ones one by one.
+    """
+    n_lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    data = np.frombuffer(b"\n".join([*texts, b"\0" * 8]), np.uint8)
+    seen = data[:-8]
+    inner = np.zeros(len(seen) + 1, np.int8)
+    inner[1:] = ~((seen == 32) | ((seen >= 9) & (seen <= 13)))
+    steps = np.diff(inner)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    counts = np.diff(np.searchsorted(starts, np.flatnonzero(seen == 10)), prepend=0)
+    length = ends - starts
+    eights = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,), writeable=False)
+    hashes = mixed(length.astype(np.uint64))
+    rows = np.flatnonzero(length <= LONG_WORD)
+    at, left = starts[rows], length[rows]
+    while len(rows):
+        part = eights[at] & (~np.uint64(0) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64))
+        hashes[rows] = mixed((hashes[rows] ^ part) + np.uint64(0x9E3779B97F4A7C15))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return hashes, counts, n_lines
+
+
+def _lines(texts: list[bytes], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token hashes of every line, rarest first, the number of them, and the number of lines of each text.
+
+    Words are numbered by rarity once for all texts, so one sort of whole numbers orders all lines.
+    """
+    words, counts, n_lines = _word_hashes(texts)
+    hashes, same = np.unique(words, return_inverse=True)
+    order = np.argsort(often[(hashes % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    places = np.repeat(np.arange(len(counts)) << 32, counts)
+    places += rank[same]
+    places.sort()
+    if len(places):
+        places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+    sizes = np.bincount(places >> 32, minlength=len(counts))
+    return hashes[order][places & 0xFFFFFFFF], sizes, n_lines
+
+
+def _parities(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parities of each line's tokens over at least twice as many bits as tokens: a power of two, 64 or more."""
+    width = np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    begin = starts_of(1 << width)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    spots = begin[line] + (sets >> (64 - width[line]).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(spots, minlength=int((1 << width).sum())) & 1).astype(np.uint8)).tobytes()
+    return [bits[b : b + n] for b, n in zip((begin // 8).tolist(), ((1 << width) // 8).tolist(), strict=True)]
+
+
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the parities of each pair differ; the wider one is folded, which keeps parities."""
+    found = np.zeros(len(a), np.int64)
+    widths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for pair in np.unique(widths, axis=0):
+        rows = np.flatnonzero((widths == pair).all(axis=1))
+        sides = [np.frombuffer(b"".join(side[i] for i in rows), np.uint8).reshape(len(rows), -1) for side in (a, b)]
+        bits = sorted((np.unpackbits(x, axis=1) for x in sides), key=lambda x: x.shape[1])
+        while bits[1].shape[1] > bits[0].shape[1]:
+            bits[1] = bits[1][:, ::2] ^ bits[1][:, 1::2]
+        found[rows] = (bits[0] ^ bits[1]).sum(axis=1)
+    return found
 
 
 def _keys(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
@@ -49,10 +115,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     """How often the words of each hash bucket occur over all lines of ``docs``: an array of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                hashes, _ = hashed_words(texts, cache)
+            for _, texts in slices(batch.column(0), 3_000_000):
+                hashes, _, _ = _word_hashes(texts)
                 total += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         if total.any():
             yield pa.RecordBatch.from_arrays(
@@ -115,10 +181,10 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of classes of lines that share a token of both prefixes and pass the filters."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, often, done = WordHashes(), counts.value, set()
+        often, done = counts.value, set()
         for batch in batches:
             for _, texts in slices(batch.column(0), 3_000_000):
-                sets, sizes, _ = _lines(texts, cache)
+                sets, sizes, _ = _lines(texts, often)
                 ids = _first64(_keys(sets, sizes))
                 # Sets below this size can only equal another, which made them one class.
                 use = np.array([n * (100 - percent) >= percent and i not in done for n, i in zip(sizes.tolist(), ids, strict=True)], bool)
@@ -126,7 +192,6 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
                     done.clear()
                 done.update(i for i, u in zip(ids, use.tolist(), strict=True) if u)
                 line = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((sets, often[(sets % np.uint64(BUCKETS)).astype(np.int64)], line))
                 place = np.arange(len(sets)) - np.repeat(starts_of(sizes), sizes)
                 take = sizes - -(-percent * sizes // 100) + 1
                 keep = use[line] & (place < take[line])
@@ -136,12 +201,12 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
                 has = np.flatnonzero(sizes)
                 if len(has):
                     marks[has] = np.bitwise_xor.reduceat(bits, starts_of(sizes)[has])
+                kept = np.minimum(sizes[rows], (1 << SIZE_BITS) - 1).astype(np.uint64)
+                key = (sets[keep] >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS)) | kept
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets[order][keep].view(np.int64)),
-                     pa.array(np.array([i or 0 for i in ids], np.int64)[rows]),
-                     pa.array(sizes[rows].astype(np.int32)), pa.array(place[keep].astype(np.int32)),
-                     pa.array(marks[rows].view(np.int64))],
-                    ["token", "cid", "size", "place", "marks"])
+                    [pa.array(key.view(np.int64)), pa.array(np.array([i or 0 for i in ids], np.int64)[rows]),
+                     pa.array(place[keep].astype(np.int32)), pa.array(marks[rows].view(np.int64))],
+                    ["key", "cid", "place", "marks"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -149,52 +214,109 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
         def made(upto: int) -> pa.RecordBatch:
             nonlocal held, n
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            a, b = posting_pairs(*(c[:upto] for c in columns), percent)
+            key, ids, places, marks = (c[:upto] for c in columns)
+            a, b = posting_pairs(key >> SIZE_BITS, ids, key & ((1 << SIZE_BITS) - 1), places, marks, percent)
             held = [tuple(c[upto:] for c in columns)]
             n = len(held[0][0])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            columns = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+            columns = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4))
             held.append(columns)
             n += len(columns[0])
-            if n >= TASK_ROWS and held[0][0][0] != columns[0][-1]:
-                tokens = np.concatenate([h[0] for h in held])
+            if n >= TASK_ROWS and held[0][0][0] >> SIZE_BITS != columns[0][-1] >> SIZE_BITS:
+                tokens = np.concatenate([h[0] for h in held]) >> SIZE_BITS
                 yield made(int(np.flatnonzero(tokens != tokens[-1])[-1]) + 1)
         if n:
             yield made(n)
 
-    rows = docs.select("text").mapInArrow(prefixes, "token long, cid long, size int, place int, marks long")
-    rows = rows.repartition("token").sortWithinPartitions("token", "size")
+    rows = docs.select("text").mapInArrow(prefixes, "key long, cid long, place int, marks long")
+    rows = rows.repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
     return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between class keys: the candidates that reach the threshold on their full token sets."""
-    pairs = stored(pairs, "lines-pairs")
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and parities allow the threshold: most of those that reach it, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            apart = _differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            good = pa.array(apart <= n_a + n_b - 2 * least_overlap(n_a, n_b, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    first = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
+    second = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    rows = pairs.join(second, "b").join(first, "a")
+    return rows.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def _spots(tid: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each place."""
+    one = mixed(tid.astype(np.int64).view(np.uint64) + mixed(line.astype(np.uint64) + np.uint64(1)))
+    return (one % np.uint64(FILTER_BITS)).astype(np.int64), (one >> np.uint64(32)).astype(np.int64) % FILTER_BITS
+
+
+def _place_filter(places: DataFrame) -> np.ndarray:
+    """Bytes of a filter that lets the ``places`` (tid, line) through, and few others until it fills."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for spot in _spots(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
+        parts = bits.reshape(-1, CHUNK)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["chunk", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[chunk] = held.get(chunk, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "bits"])
+
+    parts = places.select("tid", "line").mapInArrow(mark, "chunk int, bits binary").repartition("chunk")
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.mapInArrow(join, "chunk int, bits binary").collect():
+        total[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.bits, np.uint8)
+    return total
+
+
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, percent: int) -> DataFrame:
+    """Links (u, v) between class keys: the candidates that reach the threshold on their full token sets.
+
+    The sets are read again from the texts, where a filter of fixed size passes the first lines of the classes that
+    are left in a pair, so that texts are not shuffled.
+    """
+    pairs = stored(_alike(stored(pairs, "lines-pairs"), classes, percent), "lines-alike")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    places = classes.join(wanted, "cid").groupBy("first.doc_id", "first.tid").agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "cls")).alias("lines"))
-    places = places.select(F.col("doc_id").alias("at_doc"), F.col("tid").alias("at_tid"), "lines")
+    wanted = stored(classes.join(wanted, "cid").select("cid", "first.tid", "first.line"), "lines-wanted")
+    passes = docs.sparkSession.sparkContext.broadcast(_place_filter(wanted))  # FILTER_BITS at any size
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        bits, often = passes.value, counts.value
         for batch in batches:
-            out = []
-            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                every = text.encode().split(b"\n")
-                for line in lines:
-                    hashes, _ = hashed_words([every[line["line"]]], cache)
-                    out.append((line["cls"], np.unique(hashes).tobytes()))
-            keys = [k for k, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(_first64(keys), pa.int64()), pa.array([t for _, t in out], pa.binary())],
-                ["cls", "cid", "tokens"])
+            for begin, texts in slices(batch.column(1), 3_000_000):
+                cut = [t.split(b"\n") for t in texts]
+                n_lines = np.array([len(x) for x in cut], np.int64)
+                line = np.arange(n_lines.sum()) - np.repeat(starts_of(n_lines), n_lines)
+                tid = np.repeat(batch.column(0).slice(begin, len(texts)).to_numpy(), n_lines)
+                open_ = np.ones(len(line), bool)
+                for spot in _spots(tid, line):
+                    open_ &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
+                text = np.repeat(np.arange(len(texts)), n_lines)
+                sets, sizes, _ = _lines([cut[text[i]][line[i]] for i in np.flatnonzero(open_)], often)
+                keys = _keys(sets, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(_first64(keys), pa.int64()),
+                     pa.array([sets[b : b + n].tobytes() for b, n in zip(starts_of(sizes).tolist(), sizes.tolist(), strict=True)], pa.binary())],
+                    ["cls", "cid", "tokens"])
 
-    rows = docs.join(places, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tid") == F.col("at_tid")))
-    sets = stored(
-        rows.select("text", "lines").mapInArrow(tokens, "cls binary, cid long, tokens binary").dropDuplicates(["cls"]),
-        "lines-tokens")
+    sets = docs.select("tid", "text").mapInArrow(tokens, "cls binary, cid long, tokens binary")
+    sets = stored(sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid", "cls"]), "lines-tokens")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = stored(
         pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block")), "lines-dealt")
@@ -227,7 +349,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines with equal sets are one class. Tokens are ordered by rarity: by the counts of their hash bucket over all
     lines, then by hash. Two sets that reach the threshold share a token within their prefixes of
     n - ceil(t n) + 1 rarest tokens, so only prefixes are shuffled, by token; in each token's posting list the length and
-    positional filters choose candidates, and every candidate is decided on the full sets. Rare tokens have short lists;
+    positional filters choose candidates. Parities over twice as many bits as tokens drop those that cannot reach the
+    threshold, and every other is decided on the full sets. Rare tokens have short lists;
     a list is read in order of size and never gathered beyond the sizes that can still match.
 
     Null texts have no lines (n_lines 0); an empty text has one empty line. Rows that share id and text are one document; a null ``doc_id`` sorts
@@ -238,26 +361,27 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))  # BUCKETS numbers at any size
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        often = counts.value
         for batch in batches:
             for begin, texts in slices(batch.column(2), 3_000_000):
-                sets, sizes, n_lines = _lines(texts, cache)
+                sets, sizes, n_lines = _lines(texts, often)
                 row = np.repeat(np.arange(len(texts)), n_lines)
                 number = np.arange(len(row)) - np.repeat(starts_of(n_lines), n_lines)
                 at = pa.array(row)
                 keys = _keys(sets, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(texts)).take(at), batch.column(1).slice(begin, len(texts)).take(at),
-                     pa.array(number.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(_first64(keys), pa.int64())],
-                    ["doc_id", "tid", "line", "cls", "cid"])
+                     pa.array(number.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(_first64(keys), pa.int64()),
+                     pa.array(sizes.astype(np.int32)), pa.array(_parities(sets, sizes), pa.binary())],
+                    ["doc_id", "tid", "line", "cls", "cid", "n", "parity"])
 
     lines = stored(
         docs.filter(F.col("text").isNotNull()).select("doc_id", "tid", "text").mapInArrow(
-            split, "doc_id long, tid long, line int, cls binary, cid long"), "lines")
+            split, "doc_id long, tid long, line int, cls binary, cid long, n int, parity binary"), "lines")
     place: Column = F.struct("doc_id", "line", "tid")
     classes = stored(
-        lines.filter(F.col("cls").isNotNull()).groupBy("cls", "cid").agg(F.min(place).alias("first")), "lines-classes")
-    links = _links(docs.filter(F.col("text").isNotNull()), classes, _candidates(docs, counts, percent), percent)
+        lines.filter(F.col("cls").isNotNull()).groupBy("cls", "cid", "n", "parity").agg(F.min(place).alias("first")), "lines-classes")
+    links = _links(docs.filter(F.col("text").isNotNull()), classes, _candidates(docs, counts, percent), counts, percent)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     others = both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy("u").agg(
         F.min("first").alias("other"), F.count(F.lit(1)).alias("links"))
@@ -266,7 +390,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Only classes that remove something or have links need to meet their lines.
     copied = lines.groupBy("cls").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("cls", F.lit(True).alias("copied"))
     acting = earliest.join(copied, "cls", "left").filter("copied or links > 0").drop("copied")
-    marked = lines.join(acting, "cls", "left").withColumn(
+    marked = lines.select("doc_id", "tid", "line", "cls").join(acting, "cls", "left").withColumn(
         "gone", F.coalesce(F.struct("doc_id", "line", "tid") > F.col("earliest"), F.lit(False)))
     # Repeated rows have equal places, so a line counts once.
     own = marked.groupBy("doc_id", "tid").agg(

@@ -64,3 +64,28 @@ def test_whole_table_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert ld.repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_are_cut_as_bytes_split_cuts_them():
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("ab \n\t\r\x0b\x0c\x00é  ") for _ in range(draw.randint(0, 60))).encode() for _ in range(300)]
+    texts += [b"", b"\n", b"x" * 255, b"x" * 256 + b" " + b"x" * 257, b"y" * 1000 + b"\n" + b"y" * 1001, b"abcdefgh abcdefghi abcdefgh"]
+    hashes, counts, n_lines = ld._word_hashes(texts)
+    lines = [x.split() for t in texts for x in t.split(b"\n")]
+    words = [w for x in lines for w in x]
+    assert counts.tolist() == [len(x) for x in lines] and n_lines.tolist() == [t.count(b"\n") + 1 for t in texts]
+    named = dict(zip(words, hashes.tolist(), strict=True))
+    assert [named[w] for w in words] == hashes.tolist() and len(set(named.values())) == len(named)
+
+
+def test_parities_fold_to_the_narrower_width():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for n, m in ((40, 30), (70, 60), (300, 250), (5, 4)):
+        own = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        other = own[: m]
+        a, b = (ld._parities(x, np.array([len(x)])) for x in (own, other))
+        apart = ld._differing(a, b)[0]
+        assert 0 < apart <= len(own) - len(other) and (apart - len(own) + len(other)) % 2 == 0
+        assert ld._differing(a, a)[0] == 0
