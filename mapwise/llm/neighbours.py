@@ -13,6 +13,9 @@ from mapwise.llm.words import mixed
 SHARD, QUERY_BLOCK, LINKS = 8192, 2048, 16
 #: Candidates from which a node's links are chosen, and width of the search.
 BUILD_WIDTH, SEARCH_WIDTH = 48, 80
+#: Queries of a block whose graph answers are held against all vectors of the shard, and the share of hits below which
+#: the whole block looks at all vectors.
+PROBES, LEAST_RECALL = 64, 0.95
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -132,6 +135,32 @@ def search(vectors: np.ndarray, layers: list, queries: np.ndarray, k: int) -> li
     return out
 
 
+def scan(vectors: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """Places of the min(k, all) largest inner products for each query, from all vectors; the first of equal ones."""
+    wide, out = vectors.astype(np.float64), []
+    k = min(k, len(wide))
+    for begin in range(0, len(queries), 256):
+        for scores in queries[begin : begin + 256].astype(np.float64) @ wide.T:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            above = np.flatnonzero(scores > least)
+            out.append(np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]]))
+    return out
+
+
+def answers(vectors: np.ndarray, layers: list, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """Places found for each query: by the graph if it finds what the probes' exact answers hold, else by ``scan``.
+
+    The graph's links are those of near vectors, which large inner products need not be if norms are uneven or the
+    vectors lie in far groups. So some queries of the block are answered both ways first.
+    """
+    some = np.unique(np.linspace(0, len(queries) - 1, PROBES).astype(int))
+    wanted = scan(vectors, queries[some], k)
+    met = sum(len(np.intersect1d(a, b)) for a, b in zip(search(vectors, layers, queries[some], k), wanted, strict=True))
+    if met < LEAST_RECALL * sum(map(len, wanted)):
+        return scan(vectors, queries, max(k, SEARCH_WIDTH))
+    return search(vectors, layers, queries, k)
+
+
 def _usable(vector: str) -> Column:
     """Neither null nor zero, and without null or non-finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -145,7 +174,8 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, b
     ``vec_id``. Equal vectors are one node that carries its k + 1 smallest ids, all that a result can need, so a vector
     that a third of the rows share costs one node. Nodes are dealt to shards by a hash; each shard's graph is built
     from exact neighbours within the shard and stored as flat arrays; blocks of queries meet every shard, and the shards'
-    best are merged. Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows
+    best are merged. A block whose probes the graph of a shard answers too poorly, as with uneven norms, is held
+    against all vectors of that shard. Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows
     with a null ``vec_id``; vectors are only compared with those of their own length. Repeated rows count once.
     Columns other than ``vec_id`` and ``embedding`` are not read.
     """
@@ -189,9 +219,10 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, b
                 (np.frombuffer(a, np.int32), np.frombuffer(b, np.int32).reshape(len(a) // 4, -1))
                 for a, b in zip(graphs["nodes"][0].as_py(), graphs["links"][0].as_py(), strict=True)
             ]
+            queries = queries.sort_by("node")
             asked = np.array(queries["vector"].to_pylist(), np.float32)
             wide, names = vectors.astype(np.float64), queries["node"].to_pylist()
-            for name, one, found in zip(names, asked.astype(np.float64), search(vectors, layers, asked, k + 1), strict=True):
+            for name, one, found in zip(names, asked.astype(np.float64), answers(vectors, layers, asked, k + 1), strict=True):
                 scores = (wide[found] * one).sum(axis=1)
                 hits = sorted((-s, i) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[f])[: k + 1]
                 columns[0] += [name] * len(hits)

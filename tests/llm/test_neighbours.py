@@ -48,5 +48,26 @@ def test_recall_on_whole_table(spark):
     assert hit >= 0.95 * sum(map(len, want.values()))
 
 
+def test_recall_on_uneven_norms(spark):
+    draw = np.random.default_rng(7)
+    vectors = draw.normal(size=(4000, 64)) * np.exp(draw.normal(size=(4000, 1)))
+    rows = list(enumerate(vectors.tolist()))
+    got, want = found(spark, rows), exact(rows)
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in hits}) for q, hits in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_on_one_long_vector_and_on_far_groups():
+    draw = np.random.default_rng(8)
+    long = draw.normal(size=(3000, 32))
+    long[5] *= 1e5
+    far = draw.normal(size=(3000, 32)) * 0.01 + draw.normal(size=(30, 32))[np.arange(3000) % 30]
+    for vectors in (long.astype(np.float32), far.astype(np.float32)):
+        queries = vectors[::10]
+        got = neighbours.answers(vectors, neighbours.build(vectors), queries, 21)
+        want = np.argsort(-(queries.astype(np.float64) @ vectors.T.astype(np.float64)), axis=1)[:, :21]
+        assert sum(len(np.intersect1d(a, b)) for a, b in zip(got, want, strict=True)) >= 0.9 * want.size
+
+
 def test_empty_table(spark):
     assert found(spark, []) == {}
