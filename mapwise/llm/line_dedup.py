@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from mapwise.llm.words import mixed, slices, starts_of
 BUCKETS, CHUNK = 1 << 20, 1 << 10
 #: Bytes from which a word is hashed by itself.
 LONG_WORD = 256
-#: Rows of posting lists that a task holds at once; a list longer than that is met block by block.
-TASK_ROWS = 400_000
+#: Rows of posting lists that a task holds at once, about, and pairs that it looks at side by side.
+TASK_ROWS, TASK_PAIRS = 400_000, 4_000_000
+#: Rows of the longest posting list that one task meets; a longer one is cut into blocks of half as many rows.
+HOT = 2048
 #: Pairs verified against one copy of a line's tokens.
 BLOCK = 256
 #: Bits of the filter of places whose tokens are to be read, in bytes of CHUNK: a fixed size. A full filter only lets
@@ -145,15 +148,25 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _may_match(first: tuple, second: tuple, percent: int) -> np.ndarray:
+    """Which pairs of rows (ids, sizes, places, marks) of one token may reach the threshold.
+
+    The sizes allow it (length filter) and enough tokens are left after the shared one (positional filter). ``marks``
+    are 64 parities of each set's tokens: bits that differ are a lower bound of the tokens that only one of the sets
+    has, and drop pairs beyond what the threshold allows.
+    """
+    (ids_a, sizes_a, places_a, marks_a), (ids_b, sizes_b, places_b, marks_b) = first, second
+    both = sizes_a + sizes_b
+    least = least_overlap(sizes_a, sizes_b, percent)
+    apart = np.bitwise_count((marks_a ^ marks_b).view(np.uint64)).astype(np.int64)
+    fits = 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
+    return fits & (np.minimum(sizes_a - places_a, sizes_b - places_b) >= least) & (apart <= both - 2 * least) & (ids_a != ids_b)
+
+
 def posting_pairs(
     tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, marks: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of the posting lists: rows are sorted by (token, size).
-
-    Two rows of a token meet if the sizes allow the threshold (length filter) and enough tokens are left after the
-    shared one (positional filter). ``marks`` are 64 parities of each set's tokens: bits that differ are a lower bound
-    of the tokens that only one of the sets has, and drop pairs beyond what the threshold allows.
-    """
+    """Candidate pairs of the posting lists: rows are sorted by (token, size). All pairs are held at once."""
     found_a, found_b = [], []
     left = np.arange(len(tokens))
     step = 1
@@ -164,10 +177,7 @@ def posting_pairs(
         left, right = left[fits], right[fits]  # larger ones only follow, so a row that fails is through
         if not len(left):
             break
-        rest = 1 + np.minimum(sizes[left] - places[left], sizes[right] - places[right]) - 1
-        least = least_overlap(sizes[left], sizes[right], percent)
-        apart = np.bitwise_count((marks[left] ^ marks[right]).view(np.uint64)).astype(np.int64)
-        good = (rest >= least) & (apart <= sizes[left] + sizes[right] - 2 * least) & (ids[left] != ids[right])
+        good = _may_match(*(tuple(c[side] for c in (ids, sizes, places, marks)) for side in (left, right)), percent)
         found_a.append(np.minimum(ids[left[good]], ids[right[good]]))
         found_b.append(np.maximum(ids[left[good]], ids[right[good]]))
         step += 1
@@ -177,7 +187,95 @@ def posting_pairs(
     return pairs[:, 0], pairs[:, 1]
 
 
-def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
+def _met(batches: Iterator[pa.RecordBatch], percent: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the posting lists of at most ``hot`` rows; of longer lists the rows themselves, for ``_hot_pairs``.
+
+    ``batches`` are (key, cid, place, marks) in the order of (key, cid). Of equal rows, which come from several tasks,
+    one is used. A long list is passed on as it is read, and pairs are handed on after about ``TASK_PAIRS``.
+    """
+    held: list[np.ndarray] = []
+    passing = 1 << 62  # token of a long list that is not at its end; tokens have 40 bits
+    names = ["a", "b", "key", "place", "marks"]
+
+    def made(end: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, passing
+        rows = np.concatenate(held)
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+        tokens = rows[:, 0] >> SIZE_BITS
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        length = np.diff(np.append(first, len(rows)))
+        long = (length > hot) | (tokens[first] == passing)
+        upto = len(rows) if end else len(rows) - 1 if long[-1] else int(first[-1])
+        held, passing = [rows[upto:]], int(tokens[-1]) if long[-1] else 1 << 62
+        passed = np.repeat(long, length)[:upto]
+        key, ids, places, marks = rows[:upto][passed].T.copy()
+        if len(key):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(places.astype(np.int32)), pa.array(marks)], names)
+        run = np.repeat(np.cumsum(length * (length - 1) // 2 * ~long) // TASK_PAIRS, length)[:upto][~passed]
+        key, ids, places, marks = rows[:upto][~passed].T.copy()
+        for cut in np.split(np.arange(len(key)), np.flatnonzero(np.diff(run)) + 1):
+            a, b = posting_pairs(key[cut] >> SIZE_BITS, ids[cut], key[cut] & ((1 << SIZE_BITS) - 1), places[cut], marks[cut], percent)
+            none = [pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names)
+
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1))
+        if sum(map(len, held)) >= TASK_ROWS:
+            yield from made(False)
+    if sum(map(len, held)):
+        yield from made(True)
+
+
+def _hot_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of long posting lists: ``rows`` has (token, size, cid, place, marks).
+
+    A list is cut by ranges of size so wide that a set can only match sets of its own range and the two beside it, and a
+    range by a hash into blocks of about ``block`` rows. Two blocks that can match meet in one group, so the work of a
+    list is spread over its pairs of blocks, and memory is bounded by two blocks and their pairs.
+    """
+    width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)  # a little more, for rounded logarithms
+    ranged = rows.withColumn("range", F.floor(F.log("size") / width).cast("int"))
+    counts = stored(ranged.groupBy("token", "range").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "lines-hot")
+    higher = counts.select("token", (F.col("range") - 1).alias("range"), F.col("blocks").alias("above"))
+    lower = counts.select("token", (F.col("range") + 1).alias("range"), F.col("blocks").alias("below"))
+    around = counts.join(higher, ["token", "range"], "left").join(lower, ["token", "range"], "left")
+    cut = ranged.join(around, ["token", "range"]).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+
+    def groups(n: str, made) -> Column:
+        return F.coalesce(F.transform(F.sequence(F.lit(0), F.col(n) - 1), made), F.array())
+
+    def group(low, up: int, i, j, left) -> Column:
+        return F.struct(low.alias("low"), F.lit(up).alias("up"), i.alias("i"), j.alias("j"), left.alias("left"))
+
+    own, here = F.col("own"), F.col("range")
+    meets = F.concat(
+        groups("blocks", lambda x: group(here, 0, F.least(own, x), F.greatest(own, x), own <= x)),
+        groups("above", lambda x: group(here, 1, own, x, F.lit(True))),
+        groups("below", lambda x: group(here - 1, 1, x, own, F.lit(False))))
+    met = cut.select("token", "size", "cid", "place", "marks", F.explode(meets).alias("met")).select(
+        "token", "met.*", "size", "cid", "place", "marks")
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table[c].to_numpy().astype(np.int64) for c in ("cid", "size", "place", "marks")]
+        left = table["left"].to_numpy().astype(bool)
+        alone = left.all() and not table["up"][0].as_py() and table["i"][0].as_py() == table["j"][0].as_py()
+        side = [c[left] for c in columns]
+        other = tuple(c[None, :] for c in (side if alone else [c[~left] for c in columns]))
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(side[0]), 256):
+            some = tuple(c[begin : begin + 256, None] for c in side)
+            good = _may_match(some, other, percent)
+            x, y = np.nonzero(good & (some[0] < other[0]) if alone else good)
+            a, b = some[0][x, 0], other[0][0, y]
+            found_a.append(np.minimum(a, b))
+            found_b.append(np.maximum(a, b))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    return met.groupBy("token", "low", "up", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _candidates(docs: DataFrame, counts, percent: int, hot: int = HOT) -> DataFrame:
     """Candidate pairs (a, b) of classes of lines that share a token of both prefixes and pass the filters."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,31 +306,14 @@ def _candidates(docs: DataFrame, counts, percent: int) -> DataFrame:
                      pa.array(place[keep].astype(np.int32)), pa.array(marks[rows].view(np.int64))],
                     ["key", "cid", "place", "marks"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def made(upto: int) -> pa.RecordBatch:
-            nonlocal held, n
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            key, ids, places, marks = (c[:upto] for c in columns)
-            a, b = posting_pairs(key >> SIZE_BITS, ids, key & ((1 << SIZE_BITS) - 1), places, marks, percent)
-            held = [tuple(c[upto:] for c in columns)]
-            n = len(held[0][0])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            columns = tuple(batch.column(k).to_numpy().astype(np.int64) for k in range(4))
-            held.append(columns)
-            n += len(columns[0])
-            if n >= TASK_ROWS and held[0][0][0] >> SIZE_BITS != columns[0][-1] >> SIZE_BITS:
-                tokens = np.concatenate([h[0] for h in held]) >> SIZE_BITS
-                yield made(int(np.flatnonzero(tokens != tokens[-1])[-1]) + 1)
-        if n:
-            yield made(n)
-
     rows = docs.select("text").mapInArrow(prefixes, "key long, cid long, place int, marks long")
-    rows = rows.repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+    rows = rows.repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key", "cid")
+    met = stored(
+        rows.mapInArrow(lambda batches: _met(batches, percent, hot), "a long, b long, key long, place int, marks long"), "lines-met")
+    long = met.filter(F.col("key").isNotNull()).select(
+        F.shiftright("key", SIZE_BITS).alias("token"), F.col("key").bitwiseAND((1 << SIZE_BITS) - 1).alias("size"),
+        F.col("a").alias("cid"), "place", "marks")
+    return met.filter(F.col("key").isNull()).select("a", "b").unionByName(_hot_pairs(long, percent, max(1, hot // 2))).distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +419,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, percen
     return stored(both.mapInArrow(decide, "u binary, v binary"), "lines-links")
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, hot: int = HOT) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines, n_links): lines that resemble an earlier line.
 
     A line (cut at line feeds) is the set of its words. It is removed if a line at an earlier place, in the order of
@@ -350,8 +431,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines, then by hash. Two sets that reach the threshold share a token within their prefixes of
     n - ceil(t n) + 1 rarest tokens, so only prefixes are shuffled, by token; in each token's posting list the length and
     positional filters choose candidates. Parities over twice as many bits as tokens drop those that cannot reach the
-    threshold, and every other is decided on the full sets. Rare tokens have short lists;
-    a list is read in order of size and never gathered beyond the sizes that can still match.
+    threshold, and every other is decided on the full sets. A list of
+    at most ``hot`` rows is met in order of size by one task; a longer one is never held whole: it is cut by size and hash
+    into blocks, and each two blocks whose sizes can match meet by themselves. Each candidate pair is one row until it is
+    decided, so lines of which all resemble each other still cost the square of their number.
 
     Null texts have no lines (n_lines 0); an empty text has one empty line. Rows that share id and text are one document; a null ``doc_id`` sorts
     first. Tokens are compared by 64 bits, classes by 128. Other columns are not read.
@@ -381,7 +464,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     place: Column = F.struct("doc_id", "line", "tid")
     classes = stored(
         lines.filter(F.col("cls").isNotNull()).groupBy("cls", "cid", "n", "parity").agg(F.min(place).alias("first")), "lines-classes")
-    links = _links(docs.filter(F.col("text").isNotNull()), classes, _candidates(docs, counts, percent), counts, percent)
+    links = _links(docs.filter(F.col("text").isNotNull()), classes, _candidates(docs, counts, percent, hot), counts, percent)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     others = both.join(classes.select(F.col("cls").alias("v"), "first"), "v").groupBy("u").agg(
         F.min("first").alias("other"), F.count(F.lit(1)).alias("links"))

@@ -54,6 +54,44 @@ def test_equals_brute_force(spark):
             assert kept[d] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in want[d][2])
 
 
+def test_hot_posting_lists_equal_brute_force(spark):
+    draw = random.Random(6)
+    rows = [(d, f"one line template of eight words with v{d} inside\nthe same head {' '.join(f'x{i}' for i in range(d % 40))} u{d % 7}")
+            for d in range(150)]
+    rows += [(d, " ".join(draw.sample([f"y{i}" for i in range(14)], draw.randint(5, 13)))) for d in range(200, 320)]
+    docs = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert collected(ld.repeated_lines(docs, hot=10)) == want and sum(x[3] for x in want.values()) > 150 * 149
+    assert collected(ld.repeated_lines(docs, percent=50, hot=6)) == brute(rows, 50)
+
+
+def test_a_long_posting_list_is_passed_on_and_not_held():
+    import numpy as np
+    import pyarrow as pa
+
+    n, step = 1_000_000, 10_000
+    every = [(7, i // 2) for i in range(n)] + [(8, 1), (8, 1), (8, 2)]  # (token, cid); each row of the long list twice
+    key, cid = (np.array(c, np.int64) for c in zip(*every, strict=True))
+    key, zero = (key << ld.SIZE_BITS) | 9, np.zeros(len(key), np.int64)
+    batches, read = [], 0
+    for b in range(0, len(key), step):
+        cut = [pa.array(c[b : b + step]) for c in (key, cid, zero, zero)]
+        batches.append(pa.RecordBatch.from_arrays(cut, ["key", "cid", "place", "marks"]))
+
+    def reading():
+        nonlocal read
+        for batch in batches:
+            read += batch.num_rows
+            yield batch
+
+    passed, pairs = [], []
+    for out in ld._met(reading(), 80, 2048):
+        passed += [a for a, k in zip(out["a"].to_pylist(), out["key"].to_pylist(), strict=True) if k is not None]
+        pairs += [(a, b) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True) if b is not None]
+        assert read // 2 - len(passed) <= 2 * ld.TASK_ROWS
+    assert passed == list(range(n // 2)) and pairs == [(1, 2)]
+
+
 def test_whole_table_equals_brute_force(spark):
     from mapwise.llm.queries import op10_line_dedup
 
