@@ -76,10 +76,14 @@ MATERIAL_STOPS = _items("""
     communication protocols; contacts; contact; teaching team; instructional staff; copyright; course structure;
     learning activities; course structure and learning activities; course objectives; expectations;
     paper discussions; quizzes; participation; project; learning objectives; learning outcomes;
-    course learning objectives; course learning outcomes; academic conduct
-""") + [h for h in TOPIC_HEADINGS if h not in (
-    "lectures", "lecture and lab schedule", "topics and schedule", "course topics and schedule",
-    "learning topics and important dates", "list of topics to be covered")]
+    course learning objectives; course learning outcomes; schedule of topics; topics; course topics; schedule;
+    schedule of learning topics; course schedule; lecture schedule; tentative lecture schedule;
+    tentative schedule; schedule of topics and assessments; course contents; course content; lecture topics;
+    weekly schedule; weekly course schedule; course outline; class schedule; class topics; lecture outline;
+    course calendar; weekly topics; weekly modules; modules; course modules; units; course units;
+    weekly readings and topics; schedule of classes; schedule of lectures; lecture and lab schedule;
+    course and lab schedule; academic conduct; academict misconduct
+""")
 
 # Words.
 GOAL_VERBS = _items("""
@@ -96,12 +100,17 @@ GOAL_VERBS = _items("""
     clearly and concisely communicate; summarize; choose; be able to; will be able to; students will be able to
 """)
 STOP_WORDS = _items("""
-    i; me; my; we; our; ours; you; your; he; him; his; she; her; it; its; they; them; their; what; which; who;
-    this; that; these; those; am; is; are; was; were; be; been; being; have; has; had; do; does; did; a; an; the;
-    and; but; if; or; because; as; until; while; of; at; by; for; with; about; between; into; through; during;
-    before; after; above; below; to; from; up; down; in; out; on; off; over; under; again; then; once; here;
-    there; when; where; why; how; all; any; both; each; few; more; most; other; some; such; no; nor; not; only;
-    own; same; so; than; too; very; can; will; just; should; now
+    i; me; my; myself; we; our; ours; ourselves; you; you're; you've; you'll; you'd; your; yours; yourself;
+    yourselves; he; him; his; himself; she; she's; her; hers; herself; it; it's; its; itself; they; them; their;
+    theirs; themselves; what; which; who; whom; this; that; that'll; these; those; am; is; are; was; were; be;
+    been; being; have; has; had; having; do; does; did; doing; a; an; the; and; but; if; or; because; as; until;
+    while; of; at; by; for; with; about; against; between; into; through; during; before; after; above; below;
+    to; from; up; down; in; out; on; off; over; under; again; further; then; once; here; there; when; where; why;
+    how; all; any; both; each; few; more; most; other; some; such; no; nor; not; only; own; same; so; than; too;
+    very; s; t; can; will; just; don; don't; should; should've; now; d; ll; m; o; re; ve; y; ain; aren; aren't;
+    couldn; couldn't; didn; didn't; doesn; doesn't; hadn; hadn't; hasn; hasn't; haven; haven't; isn; isn't; ma;
+    mightn; mightn't; mustn; mustn't; needn; needn't; shan; shan't; shouldn; shouldn't; wasn; wasn't; weren;
+    weren't; won; won't; wouldn; wouldn't
 """)
 ASSESSMENT_NOISE = _items("""
     late; penalty; deduct; approximately; student; please; may; passing; it; must; percentage; deadline; their;

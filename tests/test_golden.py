@@ -349,6 +349,19 @@ def test_materials(spark):
         (2, "data textbook", "textbook", "longer text")]
 
 
+@pytest.mark.parametrize("stop", ["Lecture and Lab Schedule", "Academict Misconduct"])
+def test_materials_end_at_every_stop(spark, stop):
+    text = f"Required Readings\n• Smith, J. (2019). Field Notes. Wiley.\n{stop}\nsecond textbook: see week 2"
+    got = materials.clean_materials(materials.material_items(lines_of(spark, text)))
+    assert rows(got, "position", "name") == [(1, "Smith, J. (2019). Field Notes. Wiley.")]
+
+
+@pytest.mark.parametrize("heading", ["Policies against Cheating", "Whom to Ask", "Don't Miss"])
+def test_stop_words_do_not_hide_a_heading(spark, heading):
+    lines = lines_of(spark, f"Course Description\nA long look at methods.\n{heading}\nnot part of it")
+    assert rows(sections.section_text(lines), "description") == [("A long look at methods.",)]
+
+
 def test_running_headers_are_dropped_everywhere(spark):
     data = [(1, "f", p, p * 3 + i, top, text) for p in range(3) for i, (top, text) in enumerate(
         [(0.02, f"Page {p} of 3"), (0.5, f"body {p}"), (0.95, "footer" if p else "other")])]
