@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.graph import components
 from mapwise.llm.storage import stored
@@ -98,8 +98,14 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return (low + high) / 2
 
 
+def row_key() -> Column:
+    """Hash of a row's id and text: equal for equal rows only, whether or not the id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cls, cid, regs): set size, key of the set, its first 64 bits, and registers (null if too small).
+    """(doc_id, row, n, cls, cid, regs): ``row_key``, set size, key of the set, its first 64 bits, and registers
+    (null if too small).
 
     ``cls`` is a 128-bit hash of the whole sorted set, the same for documents with equal sets; null without words.
     """
@@ -119,12 +125,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     firsts.append(int.from_bytes(key[:8], "little", signed=True) if n else None)
                     regs.append(values[i * wide : (i + 1) * wide] if n else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), pa.array(sizes), pa.array(keys, pa.binary()),
-                     pa.array(firsts, pa.int64()), pa.array(regs, pa.binary())],
-                    ["doc_id", "n", "cls", "cid", "regs"])
+                    [batch.column(0).slice(begin, len(texts)), batch.column(2).slice(begin, len(texts)), pa.array(sizes),
+                     pa.array(keys, pa.binary()), pa.array(firsts, pa.int64()), pa.array(regs, pa.binary())],
+                    ["doc_id", "row", "n", "cls", "cid", "regs"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, cls binary, cid long, regs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, n long, cls binary, cid long, regs binary")
 
 
 def _floor(percent: int) -> float:
@@ -201,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """
     pairs = stored(pairs, "dedup-pairs")
     involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = classes.join(involved, "cid").select(F.col("rep").alias("doc_id"), F.col("cls").alias("expected"))
+    chosen = classes.join(involved, "cid").select("row", F.col("cls").alias("expected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -213,14 +219,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 expected = batch.column(1).slice(begin, len(texts)).to_pylist()
                 for at, n, key in zip(starts_of(sizes).tolist(), sizes.tolist(), expected, strict=True):
                     own = sets[at : at + n].tobytes()
-                    if xxhash.xxh3_128_digest(own) == key:  # another row may have the same doc_id
+                    if xxhash.xxh3_128_digest(own) == key:  # another row may have the same key
                         found.append((int.from_bytes(key[:8], "little", signed=True), key, own))
                 for row in found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())],
                         ["cid", "cls", "own"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    rows = docs.select(row_key().alias("row"), "text").join(chosen, "row")
     sets = rows.select("text", "expected").mapInArrow(run, "cid long, cls binary, own binary")
     sets = stored(sets.dropDuplicates(["cls"]), "dedup-sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -268,8 +274,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = stored(sketches(docs, words), "dedup-sketches")
     classes = stored(
         rows.filter("n > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cid").alias("cid"),
-            F.first("regs").alias("regs")),
+            F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("read"), F.first("n").alias("n"), F.first("cid").alias("cid"),
+            F.first("regs").alias("regs")).select("*", "read.row").drop("read"),
         "dedup-classes")
     # A set of three or fewer can only equal another, which made them one class.
     smallest = -(-percent // (100 - percent)) if percent < 100 else 1 << 62

@@ -53,5 +53,17 @@ def test_equals_brute_force(spark):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_a_row_without_id_links_two_documents(spark):
+    words = [f"w{i}" for i in range(100)]
+    far = [f"x{i}" for i in range(100)]
+    bridge, one, two = words[:], ["p"] * 8 + words[8:], words[:92] + ["q"] * 8
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (None, " ".join(bridge)), (3, " ".join(far)), (None, " ".join(far[:96]))]
+    assert [nd_top for _, nd_top in brute([(9 if d is None else d, t) for d, t in rows[:3]]).values()] == [1, 1, 1]
+    assert [nd_top for _, nd_top in brute(rows[:2]).values()] == [1, 2]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r.component_id, r.doc_id or 0, r.kept) for r in got) == [
+        (1, 0, False), (1, 1, True), (1, 2, False), (3, 0, False), (3, 3, True)]
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
