@@ -10,13 +10,10 @@ from mapwise.llm.storage import stored
 from mapwise.plans.session import shared_dir
 
 
-def _without(docs: DataFrame, gone: DataFrame, purpose: str) -> DataFrame:
-    """``docs`` without the ids of ``gone``; rows with a null id stay.
-
-    The ids are written first, so that Spark knows their size and chooses the join by it.
-    """
-    ids = stored(gone.select(F.col("doc_id").alias("gone_id")).distinct(), purpose)
-    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (row), which is stored, so that Spark chooses the join by its size."""
+    keyed = docs.withColumn("_row", near_duplicates.row_key())
+    return keyed.join(gone.withColumnRenamed("row", "_gone"), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +22,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
-    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
-    return _without(docs, found.filter(~F.col("kept")), "pipeline-duplicates")
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id.
+
+    Of rows with that id one is kept; a group of rows with null ids keeps one of them. Rows without words all stay.
+    """
+    found = stored(near_duplicates.grouped(docs, words=5, percent=80).filter("n_shingles > 0"), "pipeline-grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    best = found.groupBy("component").agg(first.alias("best"))
+    gone = stored(found.join(best, "component").filter("row != best").select("row").distinct(), "pipeline-duplicates")
+    again = found.groupBy("row").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("row")
+    again = stored(again.join(gone, "row", "left_anti"), "pipeline-repeated")
+    # Of equal rows that stay, which are few if any, one is taken.
+    keyed = docs.withColumn("_row", near_duplicates.row_key())
+    one = keyed.join(again.withColumnRenamed("row", "_again"), F.col("_row") == F.col("_again"), "left_semi")
+    return _without(docs, gone.union(again)).unionByName(one.dropDuplicates(["_row"]).drop("_row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found, "pipeline-contaminated")
+    keyed = docs.select(near_duplicates.row_key().alias("doc_id"), "text")
+    found = decontamination.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, stored(found.select(F.col("doc_id").alias("row")).distinct(), "pipeline-contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

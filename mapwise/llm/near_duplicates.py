@@ -271,6 +271,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``component_id``, and none of its rows is kept. Repeated rows give repeated results. Columns other than
     ``doc_id`` and ``text`` are not read. An empty table gives no rows.
     """
+    found = grouped(docs, words, percent)
+    name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", name.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, row, n_shingles, component, component_id): as ``near_duplicates``, with ``row_key`` and the component's own key."""
     rows = stored(sketches(docs, words), "dedup-sketches")
     classes = stored(
         rows.filter("n > 0").groupBy("cls").agg(
@@ -311,8 +319,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     owned = classes.select("cls", "rep").join(final, F.col("cls") == F.col("node"), "left")
     owned = owned.select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = owned.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = owned.join(least, "component").select("cls", "component_id")
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(labels, "cls", "left")
-    name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", name.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    labels = owned.join(least, "component").select("cls", "component", "component_id")
+    found = rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "cls").join(labels, "cls", "left")
+    return found.drop("cls")

@@ -53,3 +53,18 @@ def test_stages(spark, tmp_path):
         if name == "tokens":
             assert after.count() == docs.count() and after.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
         docs = after
+
+
+def test_stages_act_by_row_not_by_id(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    rows = [(None, texts[0]), (1, texts[0] + " end"), (2, texts[1]), (2, texts[1]), (2, texts[1] + " end"), (None, texts[2]),
+            (None, texts[2] + " end"), (None, None), (5, "")]
+    kind = "doc_id long, text string"
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, kind), str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 2, None, None, 5])
+    assert len({r.text for r in got}) == 5
+    rows = [(None, item), (3, item), (3, "clean"), (None, "clean too"), (4, None)]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, kind), str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, "clean"), (None, "clean too"), (4, None)])
