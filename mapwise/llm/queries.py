@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
+from mapwise.llm import decontamination, importance, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
 from mapwise.plans.session import shared_dir
 
 #: Directory of the tokenizer files; a file in it must be on every executor under the same path.
@@ -59,7 +59,12 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.repeated_lines(_table(spark, folder, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op11_importance_resampling": op11_importance_resampling,
     "op10_line_dedup": op10_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op8_nearest_vectors": op8_nearest_vectors,
@@ -73,6 +78,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op11_importance_resampling": importance.RESAMPLE_SQL,
     "op4_url_filters": url_filters.URL_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
 }
