@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, importance, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_files, url_filters
+from mapwise.llm import decontamination, importance, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_counts, token_files, url_filters
 from mapwise.plans.session import shared_dir
 
-#: Directory of the tokenizer files; a file in it must be on every executor under the same path.
-TOKENIZERS = "/opt/tokenizers"
-TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+#: Tokenizer files, which must be on every executor under the same path.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,7 +64,12 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"), BYTE_TOKENIZER)
+
+
 QUERIES = {
+    "op12_token_counts": op12_token_counts,
     "op11_importance_resampling": op11_importance_resampling,
     "op10_line_dedup": op10_line_dedup,
     "op4_url_filters": op4_url_filters,
