@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwise.llm import decontamination, importance, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, token_counts, token_files, url_filters
+from mapwise.llm import decontamination, importance, language, line_dedup, mixing, near_duplicates, neighbours, quality, repeats, runs, token_counts, token_files, url_filters
 from mapwise.plans.session import shared_dir
 
 #: Tokenizer files, which must be on every executor under the same path.
@@ -68,7 +68,13 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), BYTE_TOKENIZER)
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.collapse_runs(_table(spark, folder, "documents"), tail=runs.periodic_tail)
+    return found.drop("n_words")
+
+
 QUERIES = {
+    "op13_periodic_runs": op13_periodic_runs,
     "op12_token_counts": op12_token_counts,
     "op11_importance_resampling": op11_importance_resampling,
     "op10_line_dedup": op10_line_dedup,
@@ -84,6 +90,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op13_periodic_runs": runs.RUNS_SQL,
     "op11_importance_resampling": importance.RESAMPLE_SQL,
     "op4_url_filters": url_filters.URL_SQL,
     "op6_mix_sources": mixing.MIX_SQL,
