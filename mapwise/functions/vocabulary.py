@@ -85,6 +85,55 @@ MATERIAL_STOPS = _items("""
     course and lab schedule; academic conduct; academict misconduct
 """)
 
+# Headings of table columns, and the sections that hold topic tables.
+TOPIC_PAGE_HEADINGS = [*TOPIC_HEADINGS, "draft course schedule", "tenative lecture schedule"]
+TOPIC_PAGE_STOPS = [
+    "assessment", "assessments", "assessment of learning", "assessments of learning", "assessment of student learning",
+    "assessment methods", "assessment schedule", "breakdown of marks", "mark breakdown", "grade breakdown",
+    "graded activities", "grading scheme", "grading", "course grading", "course grade", "evaluation", "evaluations",
+    "examinations assignments and grading", "examinations", "assignments", "course assignments", "learning materials",
+    "course materials", "learning materials and technology requirements", "course materials and learning resources",
+    "course structure & learning materials", "learning resources", "course policies", "university policies",
+    "academic integrity", "student support", "student wellbeing", "academic accommodations", "accessibility",
+    "communication protocols", "contacts", "contact", "teaching team", "instructional staff", "copyright",
+    "course objectives", "learning objectives", "learning outcomes", "course learning objectives",
+    "course learning outcomes", "test schedule",
+]
+TITLE_TABLE_COLUMNS = ["course title"]
+ASSESSMENT_NAME_COLUMNS = [
+    "item", "assessment", "graded activities", "component", "activity", "assignment", "category", "components", "module",
+    "type", "grading component", "evaluations", "learning assessment", "grade component", "graded activities/assignments",
+    "winter term I", "winter term II", "exams and problem sets",
+]
+ASSESSMENT_MARK_COLUMNS = [
+    "mark", "percentage", "marks", "weight (%)", "weight", "% of final grade", "total weight", "percentage of final grade",
+    "assignment weight", "%", "weighting", "pts (/100)", "percent of final grade", "% final mark", "percent of grade",
+    "grade weight",
+]
+TOPIC_COLUMNS = [
+    "topic", "topics", "lecture", "lecture topic", "lecture topics", "lab topic", "lab topics", "class topic",
+    "class topics", "course topic", "course topics", "module topics", "weekly topics", "weekly topic", "topic speaker",
+    "topic and speaker", "topics and speakers", "speaker topic", "speaker and topic", "topic presenter",
+    "topic facilitator", "learning topic", "learning topics", "topics covered", "topic description", "theme",
+    "topic covered", "topic of lecture", "module",
+]
+TITLE_COLUMNS = ["title", "name", "topic name", "topic title", "topics title"]
+SCHEDULE_COLUMNS = ["week", "date", "dates", "module", "unit", "lecture"]
+MODULE_COLUMNS = ["module", "module name", "course module"]
+THEME_COLUMNS = ["theme", "themes"]
+IGNORED_COLUMNS = [
+    "reading", "readings", "readings deadlines", "readings and deadlines", "deadline", "deadlines", "due date",
+    "assessment", "assessments", "activity", "activities", "mark", "marks", "weight", "weight %", "percentage", "%",
+    "number", "#", "week", "in-class", "in class", "work",
+]
+ASSESSMENT_COLUMNS = [
+    "item", "mark", "marks", "weight", "due date", "assessment", "assessments", "assignment", "assignments",
+]
+ITINERARY_COLUMNS = [
+    "activity", "activities", "transpo", "transportation", "accoms", "accommodations", "meals", "meals provided",
+    "course deliverables", "course deliverables and notes",
+]
+
 # Words.
 GOAL_VERBS = _items("""
     demonstrate; develop; conduct; describe; understand; outline; diagnose; show; sketch; read; recognize; explain;
@@ -165,6 +214,7 @@ MATERIAL_KEYWORDS = _items("""
     textbook; edition; readings; reading; slides; canvas; software; arcgis; qgis; calculator; journal articles;
     case studies; documentary; video; podcast; website; portal; articles; article; book
 """)
+SKIPPED_START, SUGGESTED = "technology requirements", "suggested reading materials"
 GENERIC_KEYWORDS = ["canvas", "readings", "reading", "slides"]
 INSTRUCTION_PHRASES = _items("""
     students can access; students can purchase; hardcopies are also available; most required readings;
@@ -277,3 +327,27 @@ TEXTBOOK_IS = (
 NO_TEXTBOOK = r"no textbook|there is no textbook|no required textbook|no mandatory textbook"
 DATE_LINE = r"(?i)^(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+[0-9]{1,2}(?:[^0-9]|$)"
 PUBLISHER_IN_NAME = r"springer|cambridge university press|routledge|university press"
+
+# Patterns of table cells.
+CLASS_TIMES = [
+    "hours per week", "hours per term", "class time", "room", "monday", "tuesday", "wednesday", "thursday", "friday",
+]
+ROOM_NUMBER = r"orch\s+[0-9]+"
+TOPIC_SIGNALS = (
+    r"(?:^|[^\p{L}\p{N}_])(?:module|topic|topics|theme|seminar|lecture topic|weekly topics)(?:[^\p{L}\p{N}_]|$)"
+)
+MODULE_LABEL = r"(?i)^(?:module|unit|week)\s+(?:[0-9]+|[ivxlcdm]+)$"
+_EDGE = r"(?:^|[^\p{L}\p{N}_])(?:%s)(?:[^\p{L}\p{N}_]|$)"
+NOT_TOPIC_CELLS = [  # of a cell in lower case
+    r"^(?:day|week|module|unit)\s*[0-9ivxlcdm/ -]+$", _EDGE % r"[0-9]{1,2}:[0-9]{2}",
+    _EDGE % "mon|tue|wed|thu|fri|monday|tuesday|wednesday|thursday|friday|jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec",
+    _EDGE % (
+        "canvas|reading|readings|assignment|assignments|due|quiz|exam|test|prep|slide|slides|http|www|room|location|mark|weight"
+    ),
+    r"(?:^|[^\p{L}\p{N}_])(?:\([0-9]{4}\)|[0-9]{4})\.",
+]
+TOPIC_WORD = r"\p{L}{2,}(?:[-‐‑–—]\p{L}{2,})*"
+CELL_ADMIN = r"(?i)^(?:time$|(?:note:|(?:midterm|mid term|final exam|exam|quiz)(?:[^\p{L}\p{N}_]|$)))"
+CELL_NO_LABS = r"(?i)^no labs?\s*\((.+)\)$"
+CELL_LIST_MARK = r"^(?:[0-9]+[.)]|[-•*])\s+"
+CELL_MODULE = r"(?i)^module\s+[0-9]+:"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mapwise.functions import rules, vocabulary as v
 from mapwise.functions.text import strip
+from mapwise.operators.corpus.pages import table_titles
 from mapwise.plans.steps import computed_once
 
 NO_CODE, NO_NUMBER = "TEST", 999
@@ -55,7 +56,8 @@ def course_code(lines: DataFrame) -> DataFrame:
 
 
 def course_title(lines: DataFrame, codes: DataFrame, body: DataFrame | None = None) -> DataFrame:
-    """Title: the most frequent labelled or code-adjacent title, cleaned; else the first text line of the first page.
+    """Title: the one in a table; else the most frequent labelled or code-adjacent title, cleaned; else the first text
+    line of the first page.
 
     ``codes`` holds the code and number per document, ``body`` the lines without running headers when the caller has
     them. Counts tie by first occurrence; candidates that name two of code, section and number are table headings.
@@ -109,7 +111,8 @@ def course_title(lines: DataFrame, codes: DataFrame, body: DataFrame | None = No
         .when(F.lower("_bare").isin("course code number", "course code"), F.col("_name"))
         .otherwise(F.coalesce(F.nullif(strip(F.regexp_replace("_bare", "^–", "")), F.lit("")), F.col("_fallback")))
     )
-    return rows.select("doc_id", title.alias("title"))
+    tabled = table_titles(lines).select("doc_id", F.col("title").alias("_tabled"))
+    return rows.join(tabled, "doc_id", "left").select("doc_id", F.coalesce("_tabled", title).alias("title"))
 
 
 def course_term(lines: DataFrame, month: int, year: int) -> DataFrame:

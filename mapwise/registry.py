@@ -8,8 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from mapwise.operators import access, coverage, evaluation, maps, merge, programs, reports, requests
-from mapwise.operators.corpus import assessments, fields, materials, records, sections
-from mapwise.plans.session import shared_dir
+from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
+from mapwise.plans.session import kept, shared_dir
 from mapwise.sources import corpus, imports, jsonl, sinks, tables
 from mapwise.sources.adapter import Tables
 from mapwise.streaming import request_state, results
@@ -218,6 +218,11 @@ def _body(t: Tables) -> DataFrame:
     return fields.strip_headers(t["corpus_lines"])
 
 
+def _kept_body(t: Tables) -> DataFrame:
+    """The lines without running headers, written once for extractors that read them several times."""
+    return kept(_body(t))
+
+
 def _load_corpus(t: Tables) -> DataFrame:
     """All blocks of the documents; texts as digests."""
     blocks = corpus.load_corpus(t.spark, f"{t.folder}/documents.parquet")
@@ -344,12 +349,16 @@ QUERIES: dict[str, Job] = {
     "load_corpus": _load_corpus,
     "section_text": lambda t: sections.section_text(_body(t)),
     "goal_items": lambda t: sections.goal_items(_body(t)),
-    "topic_items": lambda t: sections.topic_items(_body(t)),
-    "clean_topics": lambda t: sections.clean_topics(sections.topic_items(_body(t))),
-    "assessment_items": lambda t: assessments.assessment_items(t["corpus_lines"]),
+    "topic_items": lambda t: sections.topic_items(_kept_body(t)),
+    "clean_topics": lambda t: sections.clean_topics(sections.topic_items(_kept_body(t))),
+    "table_cells": lambda t: pages.table_cells(t["corpus_lines"]),
+    "table_titles": lambda t: pages.table_titles(t["corpus_lines"]),
+    "table_weights": lambda t: pages.table_weights(t["corpus_lines"]),
+    "table_topics": lambda t: pages.table_topics(_kept_body(t)),
+    "assessment_items": lambda t: assessments.assessment_items(kept(t["corpus_lines"])),
     "material_items": lambda t: materials.material_items(_body(t)),
     "clean_materials": lambda t: materials.clean_materials(materials.material_items(_body(t))),
-    "course_children": lambda t: records.course_children(t["corpus_lines"]),
+    "course_children": lambda t: records.course_children(kept(t["corpus_lines"]), _kept_body(t)),
     "course_records": lambda t: records.course_records(t["corpus_lines"], month=1, year=2026),
     "stream_results": _stream_results,
     "stream_request_state": _stream_request_state,

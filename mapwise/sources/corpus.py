@@ -24,6 +24,8 @@ _INJECTED = [
     ("doc_id % 6 = 1", f"{_COURSE} || ': Foundations of ' || w1"),
     ("doc_id % 6 = 3", "'Course Title:'"),
     ("doc_id % 6 = 3", "'Topics in ' || w2"),
+    ("doc_id % 10 = 4", "'Course Code     Course Title        Credits'"),
+    ("doc_id % 10 = 4", f"rpad({_COURSE}, 16, ' ') || rpad('Studies of ' || w1, 20, ' ') || '3'"),
     ("doc_id % 3 = 0", "'Offered in Fall 20' || cast(20 + doc_id % 5 as string)"),
     ("doc_id % 3 = 1", "'Classes run January 15, 2024 to April 8, 2024'"),
     ("doc_id % 3 = 1 and doc_id % 2 = 0", "'Grades are due in May 2025 and July 2025 and July 2024'"),
@@ -43,6 +45,12 @@ _INJECTED = [
     ("doc_id % 7 = 3", "'Percentage'"),
     ("doc_id % 7 = 3", "'40%'"),
     ("doc_id % 7 = 3", "'60%'"),
+    ("doc_id % 7 = 5", "'Component           Due date     Weight'"),
+    ("doc_id % 7 = 5", "'Field report        March 1      25%'"),
+    ("doc_id % 7 = 5", "'Group project                    35%'"),
+    ("doc_id % 7 = 5", "'                    and talk     5%'"),
+    ("doc_id % 7 = 5", "'Written test        April 20     35 pts'"),
+    ("doc_id % 7 = 5", "'All of the course   -            100%'"),
     ("doc_id % 7 <> 3", "'Midterm: 30%'"),
     ("doc_id % 7 <> 3", "'Final Exam (70%)'"),
     ("doc_id % 7 <> 3 and doc_id % 5 = 1", "'Project'"),
@@ -59,12 +67,30 @@ _INJECTED = [
     ("doc_id % 3 = 2", "'Module 1: ' || w1 || ' overview'"),
     ("doc_id % 3 = 2", "'Sept. 12, ' || w2 || ' review of models'"),
     ("doc_id % 3 = 2", "'some plain topic line'"),
+    ("doc_id % 12 = 2", "'Week    Topic                         Readings'"),
+    ("doc_id % 12 = 2", "'1       ' || rpad(w1 || ' and its history', 30, ' ') || 'Chapter 1'"),
+    ("doc_id % 12 = 2", "'2       ' || rpad('Methods of ' || w2, 30, ' ') || 'Chapter 2'"),
+    ("doc_id % 12 = 2", "'        used in the field             Notes'"),
+    ("doc_id % 12 = 2", "'3       Final exam                    None'"),
+    ("doc_id % 12 = 2", "'4       1. Models of growth           Chapter 3'"),
+    ("doc_id % 12 = 2", "'        2. Maps of ' || w3"),
+    ("doc_id % 12 = 8", "'Week    Topics                          Room'"),
+    ("doc_id % 12 = 8", "'1                ' || rpad(w1 || ' systems in depth', 23, ' ') || 'B1'"),
+    ("doc_id % 12 = 8", "'2                Water and its cycles   B2'"),
+    ("doc_id % 12 = 8", "'3                Soil of many lands     B3'"),
+    ("doc_id % 12 = 11", "'Date      Theme                  Assignment'"),
+    ("doc_id % 12 = 11", "'May 3     ' || rpad('Rivers of ' || w3, 23, ' ') || 'Essay'"),
+    ("doc_id % 12 = 11", "'May 10    Lakes and wetlands     Report'"),
+    ("doc_id % 12 = 11", "'May 17    Module 1: Ice          Report'"),
+    ("doc_id % 12 = 11", "'          Module 2: Snow cover   -'"),
     ("true", "'Course Policies'"),
     ("doc_id % 4 <> 3", "'Required Readings'"),
     ("doc_id % 4 <> 3", "'• Smith, J. (2019). Studies of the basics. Wiley.'"),
     ("doc_id % 4 <> 3", "'second part of the entry'"),
     ("doc_id % 4 <> 3", "'1. Handbook of methods, Springer 2015'"),
     ("doc_id % 4 <> 3", "'• Optional reading: Another article on models'"),
+    ("doc_id % 8 = 1", "'Technology requirements for this course: mapping software'"),
+    ("doc_id % 8 = 1", "'Some suggested reading materials for the term:'"),
     ("doc_id % 4 <> 3", "'• QGIS software guide'"),
     ("doc_id % 4 <> 3", "'free to install'"),
     ("doc_id % 4 <> 3", "'Field textbook: short text'"),

@@ -2,57 +2,8 @@
 
 from mapwise.functions import vocabulary as v
 from mapwise.functions.text import any_of
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def among(items) -> str:
-    return "(" + ", ".join(q(i) for i in items) + ")"
-
-
-def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-def upper(x: str) -> str:
-    return f"(regexp_matches({x}, {q(v.UPPER)}) and not regexp_matches({x}, {q(v.LOWER)}))"
-
-
-def title(x: str) -> str:
-    return f"(regexp_matches({x}, {q(v.UPPER)}) and not regexp_matches({x}, {q(v.TITLE_BREAK)}))"
-
-
-def words(x: str) -> str:
-    return f"(case when length({x}) = 0 then 0 else len(regexp_split_to_array({x}, '\\s+')) end)"
-
-
-def label(x: str) -> str:
-    return f"regexp_replace(lower({x}), ':+$', '')"
-
-
-def heading(x: str) -> str:
-    return f"regexp_replace({label(x)}, {q(v.SECTION_NUMBER)}, '')"
-
-
-def heading_of(x: str, items) -> str:
-    n = heading(x)
-    return f"""({n} in {among(items)} or (instr({n}, ':') > 0 and {strip(f"substr({n}, instr({n}, ':') + 1)")} in {among(items)}))"""
-
-
-def boundary(x: str, stops, expected) -> str:
-    n = heading(x)
-    return f"""(length({n}) > 0 and {n} not in {among(expected)} and ({n} in {among(stops)} or ({words(strip(n))} <= 6
-               and ({upper(x)} or regexp_matches({x}, {q(v.NUMBERED_TITLE)})))))"""
-
-
-def bullet_class(x: str) -> str:
-    m = f"regexp_extract({x}, {q(v.BULLET)}, 1)"
-    return f"""case when length({m}) = 0 then null
-        when regexp_matches({m}, '^[(]?[0-9]') then 'number' || cast(length({m}) - length(replace({m}, '.', '')) as varchar)
-        when regexp_matches({m}, '^\\(') then 'letter' else {m} end"""
-
+from oracles import pages
+from oracles.text import among, boundary, bullet_class, heading_of, label, q, strip, title, upper, words
 
 STRIPPED = f"""
     select doc_id, file_name, page_no, line_no, rel_top, text
@@ -101,10 +52,12 @@ TITLES = f"""
     firsts as (select doc_id, arg_min(t, line_no) as first_line
                from (select doc_id, page_no, line_no, {strip('text')} as t from ({STRIPPED}) b) s
                where t <> '' and not regexp_matches(t, '^[0-9]+$') and page_no = 0 group by doc_id),
-    x as (select d.doc_id, d.course, coalesce(f.first_line, d.course) as fallback,
+    tabled as ({pages.table_titles('select * from @corpus_lines')}),
+    x as (select d.doc_id, d.course, tabled.title as tabled, coalesce(f.first_line, d.course) as fallback,
                  {strip("regexp_replace(replace(replace(b.title, d.code, ''), d.number, ''), '[!-/:-@\\[-`{-~]', '', 'g')")} as bare
-          from (select distinct doc_id, code, number, course from l) d left join best b using (doc_id) left join firsts f using (doc_id))
-    select doc_id, case when bare is null then fallback when lower(bare) in ('course code number', 'course code') then course
+          from (select distinct doc_id, code, number, course from l) d left join best b using (doc_id) left join firsts f using (doc_id)
+          left join tabled using (doc_id))
+    select doc_id, case when tabled is not null then tabled when bare is null then fallback when lower(bare) in ('course code number', 'course code') then course
            else coalesce(nullif({strip("regexp_replace(bare, '^–', '')")}, ''), fallback) end as title from x"""
 
 
@@ -221,6 +174,11 @@ TOPICS = f"""
                  when {_m('t', v.DATED_LINE)} then {strip(_rx('t', v.DATED_LINE))}
                  when {words('t')} between 3 and 12 and not ends_with(t, '.') then t end as topic from e)
     select doc_id, line_no, topic from f where length(topic) > 0"""
+TEXT_TOPICS, TABLE_TOPICS = TOPICS, pages.table_topics(STRIPPED)
+TOPICS = f"""
+    with tabled as ({TABLE_TOPICS})
+    select * from tabled union all
+    select * from ({TEXT_TOPICS}) t where doc_id not in (select doc_id from tabled)"""
 
 _UNMARKED = strip(f"regexp_replace({strip('topic')}, {q(v.BULLET)}, '')")
 _UNSTARRED = strip(f"regexp_replace(regexp_replace({_UNMARKED}, '[–—]', '-', 'g'), '\\*+$', '')")
@@ -259,8 +217,19 @@ ASSESSMENTS = f"""
     ww as (select doc_id, page_no, t, row_number() over (partition by doc_id, page_no order by line_no) - 1 as ix from m where line_no > f1 and broken = 0),
     ll as (select nn.doc_id, nn.f1 as line_no, nn.ix, nn.t as name, regexp_extract(ww.t, '([0-9]+\\.?[0-9]*)', 1) as weight
            from nn join ww using (doc_id, page_no, ix)),
-    al as (select * from items union all select doc_id, line_no, ix, name, cast(weight as double) from ll
-           where {_USABLE} and doc_id not in (select doc_id from items))
+    lists as (select doc_id, line_no, ix, name, cast(weight as double) as weight from ll where {_USABLE} and doc_id not in (select doc_id from items)),
+    tabled as ({pages.table_weights('select * from @corpus_lines')}),
+    -- The page at which the text is accepted, or at which its components stand when it has given nothing before.
+    ends as (select doc_id, min(page_no) as page_no from (
+               select doc_id, accepted as page_no from g where accepted is not null
+               union all select c.doc_id, c.page_no from (
+                 select doc_id, page_no from a group by doc_id, page_no
+                 having bool_or(contains(lower(t), 'component')) and bool_or(contains(lower(t), 'percentage'))) c
+                 where not exists (select 1 from u where u.doc_id = c.doc_id and u.page_no <= c.page_no)) e group by doc_id),
+    first_table as (select tabled.* from tabled left join ends using (doc_id) where ends.page_no is null or tabled.page_no <= ends.page_no),
+    al as (select doc_id, nth as line_no, 0 as ix, name, weight from first_table
+           union all select * from items where doc_id not in (select doc_id from first_table)
+           union all select * from lists where doc_id not in (select doc_id from first_table))
     select doc_id, row_number() over (partition by doc_id order by line_no, ix) as position, name, weight from al"""
 
 _NAMED_KEYS = [k for k in v.MATERIAL_KEYWORDS if k not in v.GENERIC_KEYWORDS]
@@ -275,7 +244,9 @@ MATERIALS = f"""
     e as (select *, case when t = '' then 'blank' when lab in {among(v.MATERIAL_LABELS)} then 'label'
             when line_no = opened or lab in {among(v.MATERIAL_HEADINGS)} then 'heading'
             when {boundary('t', v.MATERIAL_STOPS, v.MATERIAL_HEADINGS)} then 'end'
-            when lab in {among(v.MATERIAL_LINE_NOISE)} or starts_with(lab, 'http') or {_m('lab', any_of(v.INSTRUCTION_PHRASES))} then 'skip'
+            when lab in {among(v.MATERIAL_LINE_NOISE)} or starts_with(lab, {q(v.SKIPPED_START)}) then 'skip'
+            when contains(lab, {q(v.SUGGESTED)}) then 'label'
+            when starts_with(lab, 'http') or {_m('lab', any_of(v.INSTRUCTION_PHRASES))} then 'skip'
             when {_m('t', v.BIBLIOGRAPHY)} and not regexp_matches(t, '^G\\s+') and not bul then 'bibliography'
             when {_m('t', v.NUMBERED_ITEM)} then 'numbered'
             when bul and coalesce(lower(lft) in {among(v.MATERIAL_LABELS)}, false) then 'labelled'
@@ -291,7 +262,8 @@ MATERIALS = f"""
                  kind in ('textbook', 'colon label', 'colon named', 'keyword', 'other') as soft from g),
     i as (select *, last_value(case when opn then 'open' when not soft then 'closed' end ignore nulls) over w as state,
                  sum(cast(opn as int)) over w as entry,
-                 last_value(case when kind = 'label' then regexp_replace(t, ':+$', '') end ignore nulls) over w as under,
+                 last_value(case when kind = 'label' then case when lab in {among(v.MATERIAL_LABELS)} then regexp_replace(t, ':+$', '')
+                   else {q(v.SUGGESTED)} end end ignore nulls) over w as under,
                  lag(kind) over w as pk, lead(kind) over w as nk, lead(t) over w as nt
           from h window w as (partition by doc_id order by line_no rows between unbounded preceding and current row)),
     j as (select *, soft and coalesce(state, 'closed') = 'open' as cont from i),
@@ -357,6 +329,10 @@ SQL.update({
     "section_text": DESCRIPTIONS,
     "goal_items": GOALS,
     "topic_items": TOPICS,
+    "table_cells": pages.table_cells("select * from @corpus_lines"),
+    "table_titles": pages.table_titles("select * from @corpus_lines"),
+    "table_weights": pages.table_weights("select * from @corpus_lines"),
+    "table_topics": TABLE_TOPICS,
     "clean_topics": CLEAN_TOPICS,
     "assessment_items": ASSESSMENTS,
     "material_items": MATERIALS,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mapwise.functions import rules
 from mapwise.operators import access, coverage, evaluation, maps, merge, requests
-from mapwise.operators.corpus import assessments, fields, materials, records, sections
+from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
 from mapwise.plans.numbering import number_rows
 from mapwise.plans.skew import fan_out_join
 from mapwise.sources import imports, jsonl, sinks, tables
@@ -340,6 +340,110 @@ def test_assessments(spark):
     assert rows(assessments.assessment_items(lines_of(spark, text)), "name", "weight") == [("essay", 40.0), ("quiz set", 60.0)]
 
 
+def paged(spark, *texts):
+    """Lines of one document with the given pages."""
+    lines = [(p, line) for p, text in enumerate(texts) for line in text.split("\n")]
+    data = [(1, "outline.pdf", p, i, 0.5, line) for i, (p, line) in enumerate(lines)]
+    return spark.createDataFrame(data, "doc_id long, file_name string, page_no long, line_no long, rel_top double, text string")
+
+
+SCHEDULE = """Course Schedule
+Week    Topic                     Readings
+1       History of rocks          Chapter 1
+2       Methods of soil           Chapter 2
+        used in the field         Notes
+3       Final exam                None
+4       1. Models of growth       Chapter 3
+        2. Maps of water"""
+
+
+def test_columns_are_the_gaps_that_all_lines_share(spark):
+    cells = pages.table_cells(paged(spark, SCHEDULE + "\nplain text\nA line  with a gap\n\nno table"))
+    table = rows(cells.filter("table_no = 1 and row_no in (1, 3, 5)"), "row_no", "col_no", "cell")
+    assert table == [
+        (1, 1, "Week"), (1, 2, "Topic"), (1, 3, "Readings"), (3, 1, "2"), (3, 2, "Methods of soil\nused in the field"),
+        (3, 3, "Chapter 2\nNotes"), (5, 1, "4"), (5, 2, "1. Models of growth\n2. Maps of water"), (5, 3, "Chapter 3")]
+    assert rows(cells.filter("table_no = 2"), "row_no", "col_no", "cell") == [(1, 1, "A line"), (1, 2, "with a gap")]
+    # One line without the common gap takes it from the whole run.
+    assert pages.table_cells(paged(spark, "a  b\nlong  b\nwider line  b")).select("col_no").distinct().count() == 2
+    assert pages.table_cells(paged(spark, "ab  cd\n  ab  cd")).count() == 0
+    assert pages.table_cells(paged(spark, "a\tb\nc\td")).count() == 4
+    assert pages.table_cells(paged(spark, "x  " + "y" * 500)).count() == 0 and pages.table_cells(paged(spark, "")).count() == 0
+
+
+def test_topics_come_from_tables_before_text(spark):
+    lines = paged(spark, SCHEDULE, "5       Ice and snow              Chapter 4\n6       Rivers and lakes          Chapter 5\nGrading\n"
+                  "Week    Topic\n9       Not a topic here")
+    want = ["History of rocks", "Methods of soil used in the field", "Models of growth", "Maps of water", "Ice and snow",
+            "Rivers and lakes", "Not a topic here"]
+    got = [t for _, t in rows(pages.table_topics(lines), "line_no", "topic")]
+    # The page on which the next section opens still belongs to the topics, as in the reference's rules; later ones do not.
+    assert got == want
+    lines = paged(spark, SCHEDULE, "Grading", "Week    Topic\n9       Not a topic here")
+    assert [t for _, t in rows(sections.topic_items(lines), "line_no", "topic")] == want[:4]
+    only_text = paged(spark, "Topics\n• First steps\n• Second steps")
+    assert [t for _, t in rows(sections.topic_items(only_text), "line_no", "topic")] == ["First steps", "Second steps"]
+
+
+def test_a_header_cut_off_by_the_page_end_names_the_columns(spark):
+    # The first row of the page after is taken for the header's place.
+    lines = paged(spark, "Topics\nWeek    Theme                Room", "1       Rivers of old        B1\n2       Lakes and ponds      B2\n3       Ice ages             B3")
+    assert [t for _, t in rows(pages.table_topics(lines), "line_no", "topic")] == ["Lakes and ponds", "Ice ages"]
+
+
+def test_a_topic_column_beside_its_header_is_rescued(spark):
+    lines = paged(spark, "Topics\nWeek   Topics                      Room\n1               Water and rocks    B1\n2               Soil of old lands  B2\n3               Maps of the sea    B3")
+    assert [t for _, t in rows(pages.table_topics(lines), "line_no", "topic")] == ["Water and rocks", "Soil of old lands", "Maps of the sea"]
+
+
+def test_grading_tables_hold_no_topics(spark):
+    text = SCHEDULE + "\n\nItem            Weight\nLong essay      60%\nShort essay     40%\n\n7       Ice and snow              Chapter 4\n8       Wind and rain             Chapter 5"
+    assert [t for _, t in rows(pages.table_topics(paged(spark, text)), "line_no", "topic")][-1] == "Maps of water"
+    assert pages.table_topics(paged(spark, "Topics\nItem            Weight\nLong essay      60%")).count() == 0
+
+
+def test_modules_and_lists_in_cells_are_topics_of_their_own(spark):
+    text = "Topics\nDate     Module Name\nMay 3    Module 1: Ice\n         Module 2: Snow cover\nMay 9    No labs (Urban trees 1)\n         Note: bring a pen\nMay 12   The wide open sea"
+    assert [t for _, t in rows(pages.table_topics(paged(spark, text)), "line_no", "topic")] == [
+        "Module 1: Ice", "Module 2: Snow cover", "Urban trees 1", "The wide open sea"]
+
+
+def test_pages_of_class_times_and_contents_open_no_section(spark):
+    table = "Week    Topic\n1       Water and rocks\n2       Soil and maps"
+    assert pages.table_topics(paged(spark, "Schedule\nMonday 9:00\n\n" + table.replace("Topic", "Title"))).count() == 0
+    assert pages.table_topics(paged(spark, "Schedule\nMonday 9:00\n\n" + table)).count() == 2
+    assert pages.table_topics(paged(spark, "Table of contents\nTopics\n" + table)).count() == 0
+    assert pages.table_topics(paged(spark, "Course structure\nLectures\n" + table)).count() == 2  # by the course structure
+    assert pages.table_topics(paged(spark, table)).count() == 0
+
+
+def test_titles_and_weights_come_from_tables_before_text(spark):
+    text = ("Course Title: Some Words\nCode      Course Title      Credits\nBIO 100   Studies of Life   3\n\n"
+            "Component        Due        Weight\nField report     March      25%\nGroup project              35%\n"
+            "Written test     April      20%\n                 May        10.5\nAll              -          100%\nEssay: 60%\nTalk: 40%")
+    lines = paged(spark, text)
+    assert rows(pages.table_titles(lines), "title") == [("Studies of Life",)]
+    codes = fields.course_code(lines)
+    assert rows(fields.course_title(lines, codes), "title") == [("Studies of Life",)]
+    # Blank cells close up, so the project has no weight below 'Weight'; the second line of the last row has no name.
+    want = [("Field report", 25.0), ("Written test", 20.0)]
+    assert rows(pages.table_weights(lines), "name", "weight") == want
+    assert rows(assessments.assessment_items(lines), "name", "weight") == want
+    # Text accepted on an earlier page comes before the table.
+    lines = paged(spark, "Essay: 60%\nTalk: 40%", "Item           Mark\nField report   100 points\nTest           50%")
+    assert rows(assessments.assessment_items(lines), "name", "weight") == [("Essay", 60.0), ("Talk", 40.0)]
+    lines = paged(spark, "Essay: 20%", "Item           Mark\nField report   30\nTest           50%")
+    assert rows(assessments.assessment_items(lines), "name", "weight") == [("Field report", 30.0), ("Test", 50.0)]
+
+
+def test_technology_lines_are_skipped_and_suggested_readings_describe(spark):
+    text = ("Required Readings\n• Smith, J. (2019). Field Notes. Wiley.\nTechnology requirements for this course: software\n"
+            "Suggested reading materials for the term:\n• Hikes of the north")
+    got = materials.material_items(lines_of(spark, text))
+    assert rows(got, "name", "description") == [
+        ("Hikes of the north", "suggested reading materials"), ("Smith, J. (2019). Field Notes. Wiley.", "Required Readings")]
+
+
 def test_materials(spark):
     text = ("Required Readings\n• Smith, J. (2019). Field Notes. Wiley.\nvolume two\n\nData textbook: short\n\ndata textbook: longer text\n"
             "ACADEMIC INTEGRITY\nbook")
