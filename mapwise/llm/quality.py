@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.subwords import WordRows, subwords
-from mapwise.llm.words import mixed, slices, starts_of
+from mapwise.llm.words import mixed, release_memory, slices, starts_of
 
 #: Hashed vectors and their length; character n-grams of each word; all taken with the word's own case and marks.
 BUCKETS, DIM, SIZES, AFFIXES = 1 << 17, 12, (3,), (2, 4)
@@ -211,6 +211,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             found = [scores(texts) for _, texts in slices(batch.column(place), 3_000_000)]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+        del scores
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

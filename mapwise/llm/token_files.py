@@ -26,10 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mapwise.llm.words import slices
+from mapwise.llm.words import release_memory, slices
 
 #: Appended to each document.
 END_ID = 1
+#: Words that a Python worker keeps with their ids, about 170 bytes each; the memory is emptied when full.
+KEPT_WORDS = 600_000
 #: Ids in a block, and ids from which a file is closed; a document is never split over files.
 BLOCK_IDS, FILE_IDS = 65_536, 1_000_000
 LEVEL = 1
@@ -49,7 +51,7 @@ class WordIds(dict):
 
     TAIL = ".,!?;:%$&*#|"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = KEPT_WORDS):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -209,6 +211,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        release_memory()
         words = worker_words(tokenizer)
         seq = before = held = 0
         names, sizes, arrays = [], [], []

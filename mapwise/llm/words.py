@@ -5,6 +5,8 @@ A word is a run of ``[^\\x20\\x09-\\x0D]``, which is exactly how ``bytes.split()
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -98,3 +100,12 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.n
         found.append(own)
         sizes.append(len(own))
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
+
+
+def release_memory() -> None:
+    """Give back to the system what earlier work of this Python worker has freed; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
