@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from mapwise.operators import access, coverage, evaluation, maps, merge, programs, reports, requests
+from mapwise.operators import access, coverage, evaluation, grant_support, maps, merge, programs, reports, requests
 from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
 from mapwise.plans.session import kept, shared_dir
 from mapwise.sources import corpus, imports, jsonl, sinks, tables
@@ -44,6 +44,20 @@ def _stale_grants(t: Tables) -> DataFrame:
     return access.stale_grants(now, access.expand_grants(t))
 
 
+def _grants_by_support(t: Tables) -> DataFrame:
+    """Grants and the pairs that justify each, kept up while one head in three steps down and a tenth of the courses leave
+    their programs."""
+    later = {name: t[name] for name in [*ACCESS_TABLES, "program_directors"]}
+    later["department_head"] = t["department_head"].filter("user_id % 3 <> 0")
+    later["course_programs"] = t["course_programs"].filter("course_id % 10 <> 0")
+    before, after = grant_support.scopes(t), grant_support.scopes(later)
+    store = grant_support.GrantSupport(t.spark, shared_dir(t.spark, "grant-support"))
+    store.apply(0, *(side.withColumn("sign", F.lit(1)) for side in before))
+    store.apply(1, None, grant_support.signed_difference(before[1], after[1]))
+    store.apply(2, grant_support.signed_difference(before[0], after[0]), None)
+    return store.current(2)
+
+
 def _pending(t: Tables) -> DataFrame:
     return t["mapping_requests"].filter(F.col("status") == requests.PENDING)
 
@@ -297,6 +311,7 @@ QUERIES: dict[str, Job] = {
     "effective_permission": access.effective_permission,
     "expand_grants": access.expand_grants,
     "stale_grants": _stale_grants,
+    "grants_by_support": _grants_by_support,
     "course_owners": lambda t: access.elect_owner(t["course_users"], "course_id"),
     "recent_entities": partial(reports.recent_entities, k=5, now="2026-01-01 00:00:00"),
     "request_pairs": _pairs,

@@ -13,7 +13,9 @@ FACULTY_COURSES = f"""
 DEPARTMENTS = f"""(select department_id, department, f.* from @departments d join {FACULTIES} f using (faculty_id))"""
 
 
-def grants(head: str = "true", director_wide: str = "has_access_to_all_courses_in_faculty") -> str:
+def grants(
+    head: str = "true", director_wide: str = "has_access_to_all_courses_in_faculty", links: str = "@course_programs"
+) -> str:
     """One branch per rule; the arguments limit the assignments taken into account."""
     holder = f"""(select user_id from @role_user join @roles using (role_id)
                   where role = 'administrator')"""
@@ -29,7 +31,7 @@ def grants(head: str = "true", director_wide: str = "has_access_to_all_courses_i
           from {heads} h join {DEPARTMENTS} d using (department_id) join @programs x {in_department}
     union select 'course', cp.course_id, h.user_id, 'department head', x.program_id, d.department_id
           from {heads} h join {DEPARTMENTS} d using (department_id) join @programs x {in_department}
-          join @course_programs cp on cp.program_id = x.program_id
+          join {links} cp on cp.program_id = x.program_id
     union select 'course', x.course_id, h.user_id, 'department head', null, d.department_id
           from {heads} h join {DEPARTMENTS} d using (department_id) join @courses x {in_department}
           where not h.has_access_to_all_courses_in_faculty
@@ -39,7 +41,7 @@ def grants(head: str = "true", director_wide: str = "has_access_to_all_courses_i
           where h.has_access_to_all_courses_in_faculty
     union select 'program', program_id, user_id, 'program director', program_id, null from {directors} h
     union select 'course', cp.course_id, h.user_id, 'program director', h.program_id, null
-          from {directors} h join @course_programs cp on cp.program_id = h.program_id
+          from {directors} h join {links} cp on cp.program_id = h.program_id
     union select 'course', x.course_id, h.user_id, 'program director', h.program_id, null
           from {directors} h join @programs p on p.program_id = h.program_id
           join {FACULTIES} f on f.faculty = p.faculty and f.campus = p.campus
@@ -80,6 +82,9 @@ SQL: dict[str, str] = {
     "expand_grants": grants(),
     "stale_grants": f"""select * from ({grants()}) a except
         select * from ({grants(head="not has_access_to_all_courses_in_faculty", director_wide="false")}) b""",
+    "grants_by_support": "select *, count(*) as support from (" + grants(
+        head="user_id % 3 <> 0", links="(select * from @course_programs where course_id % 10 <> 0)"
+    ).replace("union select", "union all select") + ") g group by all",
     "course_owners": """
         select course_id, user_id, cast(case when row_number() over (partition by course_id
                order by created_at nulls last, user_id) = 1 then 1 else 2 end as bigint) as permission

@@ -1,13 +1,14 @@
 """Hand-written cases for the rules the generated tables do not single out."""
 
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from mapwise.functions import rules
-from mapwise.operators import access, coverage, evaluation, maps, merge, requests
+from mapwise.operators import access, coverage, evaluation, grant_support, maps, merge, requests
 from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
 from mapwise.plans.numbering import number_rows
 from mapwise.plans.skew import fan_out_join
@@ -207,6 +208,30 @@ def test_stale_grants_are_the_unjustified_ones(spark):
     assert access.stale_grants(now, kept).count() == 0
 
 
+def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
+    draw = random.Random(8)
+    store = grant_support.GrantSupport(spark, str(tmp_path / "support"))
+    tables, before = grants_tables(spark, True), None
+    for batch in range(4):
+        now = grant_support.scopes(tables)
+        if before is None:
+            changes = [side.withColumn("sign", F.lit(1)) for side in now]
+        else:
+            changes = [grant_support.signed_difference(a, b) for a, b in zip(before, now, strict=True)]
+        for _ in range(1 + batch % 2):  # a batch that runs again counts once
+            changed = store.apply(batch, *changes)
+        want = {tuple(r) for r in access.expand_grants(tables).collect()}
+        held = {tuple(r)[:6]: r.support for r in store.current(batch).collect()}
+        assert set(held) == want and min(held.values()) > 0
+        news = {tuple(r)[:6] for r in changed.filter("before = 0").collect()}
+        gone = {tuple(r)[:6] for r in changed.filter("after = 0").collect()}
+        assert batch == 0 or (news == want - last and gone == last - want)
+        last, before = want, now
+        pick = lambda df: df.filter(F.col(df.columns[0]).isin(draw.sample(range(1, 5), 3)))
+        tables = {**grants_tables(spark, batch % 2 == 0), "course_programs": pick(grants_tables(spark, True)["course_programs"]),
+                  "department_head": pick(grants_tables(spark, batch % 2 == 0)["department_head"])}
+
+
 def test_replace_pairs_is_idempotent(spark):
     schema = "l_outcome_id long, pl_outcome_id long, map_scale_id long"
     base = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 3)], schema)
