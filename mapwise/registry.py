@@ -237,6 +237,11 @@ def _kept_body(t: Tables) -> DataFrame:
     return kept(_body(t))
 
 
+def _course_title(t: Tables) -> DataFrame:
+    lines = kept(t["corpus_lines"])
+    return fields.course_title(lines, fields.course_code(lines))
+
+
 def _load_corpus(t: Tables) -> DataFrame:
     """All blocks of the documents; texts as digests."""
     blocks = corpus.load_corpus(t.spark, f"{t.folder}/documents.parquet")
@@ -359,7 +364,7 @@ QUERIES: dict[str, Job] = {
     "corpus_lines": lambda t: t["corpus_lines"],
     "strip_headers": lambda t: fields.strip_headers(t["corpus_lines"]),
     "course_code": lambda t: fields.course_code(t["corpus_lines"]),
-    "course_title": lambda t: fields.course_title(t["corpus_lines"], fields.course_code(t["corpus_lines"])),
+    "course_title": _course_title,
     "course_term": lambda t: fields.course_term(t["corpus_lines"], month=1, year=2026),
     "load_corpus": _load_corpus,
     "section_text": lambda t: sections.section_text(_body(t)),
