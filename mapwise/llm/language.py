@@ -16,8 +16,8 @@ from mapwise.llm.words import slices, starts_of
 
 #: Hashed weights per label; n-grams anywhere, and affixes at a word's ends, with its boundary marks.
 BUCKETS, SIZES, AFFIXES = 1 << 17, (2, 3), (4,)
-#: Labelled texts to learn from (over all languages), pieces taken over the whole of each, and words of a piece.
-SAMPLE_TEXTS, PIECES, PIECE_WORDS = 2000, 8, 8
+#: Distinct labelled texts to learn from (over all languages), and words of the pieces that these whole texts are cut into.
+SAMPLE_TEXTS, PIECE_WORDS = 800, 8
 #: Most frequent words of each language in the sample that make up its lexicon.
 LEXICON = 2000
 UNKNOWN = "und"
@@ -66,16 +66,18 @@ class Field:
         return out
 
 
-def marginals(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, first: np.ndarray, step: int = 128) -> np.ndarray:
-    """Probability of each label at each word, by forward-backward, for many texts laid one after the other.
+def forward_backward(
+    scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, first: np.ndarray, step: int = 128
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward weights up to each word, backward weights after it, and its own weights, for many texts laid one after the other.
 
-    ``firsts`` marks the first word of each text; the chain starts anew there. The run of words is cut into equal
-    pieces whose transfer matrices are multiplied side by side, then joined in turn, so the result is that of the
-    whole sequences while the loops are over ``step`` words, not over texts.
+    Each row is right up to a factor. ``firsts`` marks the first word of each text; the chain starts anew there. The run
+    of words is cut into equal pieces whose transfer matrices are multiplied side by side, then joined in turn, so the
+    result is that of the whole sequences while the loops are over ``step`` words, not over texts.
     """
     n, k = scores.shape
     if not n:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((0, k)), np.zeros((0, k))
     pieces = -(-n // step)
     e = np.ones((pieces * step, k))
     e[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -109,10 +111,32 @@ def marginals(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, first:
         seen = e[:, t] * now
         now = np.where(anew[:, t, None], (seen * start).sum(axis=1, keepdims=True), seen @ go.T)
         now = now / now.sum(axis=1, keepdims=True)
-    both = (ahead * behind).reshape(-1, k)[:n]
+    return tuple(weights.reshape(-1, k)[:n] for weights in (ahead, behind, e))
+
+
+def marginals(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, first: np.ndarray, step: int = 128) -> np.ndarray:
+    """Probability of each label at each word; see ``forward_backward``."""
+    ahead, behind, _ = forward_backward(scores, firsts, moves, first, step)
+    both = ahead * behind
     return both / both.sum(axis=1, keepdims=True)
 
 
+def slopes(
+    scores: np.ndarray, firsts: np.ndarray, right: np.ndarray, moves: np.ndarray, first: np.ndarray, step: int = 128
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the negative log-likelihood of the labels ``right`` by ``scores``, ``moves`` and ``first``."""
+    k = scores.shape[1]
+    ahead, behind, e = forward_backward(scores, firsts, moves, first, step)
+    error = ahead * behind
+    error /= error.sum(axis=1, keepdims=True)
+    error[np.arange(len(right)), right] -= 1
+    steps = np.flatnonzero(~firsts)
+    pair = ahead[steps - 1][:, :, None] * np.exp(moves - moves.max()) * (e * behind)[steps][:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    seen = np.bincount(right[steps - 1] * k + right[steps], minlength=k * k).reshape(k, k)
+    return error, pair.sum(axis=0) - seen, error[firsts].sum(axis=0)
+
+
 def fit(pieces: list[tuple[str, list[str]]], epochs: int = 6, length: int = 32, rate: float = 0.3, seed: int = 1) -> Field | None:
     """Train a field on (language, words) pieces; None without any.
 
@@ -151,25 +175,16 @@ def fit(pieces: list[tuple[str, list[str]]], epochs: int = 6, length: int = 32,
             used = features[spread]
             scores = np.add.reduceat(field.weights[used], starts_of(sizes), axis=0).astype(np.float64)
             firsts = np.arange(len(words)) % length == 0
-            post = marginals(scores, firsts, field.moves, field.first, step=length)
-            error = post.copy()
-            error[np.arange(len(words)), right] -= 1
+            error, by_moves, by_first = slopes(scores, firsts, right, field.moves, field.first, step=length)
             slope = np.stack([np.bincount(used, np.repeat(error[:, j], sizes), len(field.weights)) for j in range(k)], 1)
             touched = np.unique(used)
             grad = (slope[touched] / length).astype(np.float32)
             squares[touched] += grad**2
             field.weights[touched] -= rate * grad / np.sqrt(squares[touched])
-            # Pairwise marginals of the steps within sequences, from the two neighbours' posteriors.
-            steps = np.flatnonzero(~firsts)
-            go = np.exp(field.moves)
-            pair = post[steps - 1][:, :, None] * go * post[steps][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            seen = np.zeros((k, k))
-            np.add.at(seen, (right[steps - 1], right[steps]), 1)
-            grad = (pair.sum(axis=0) - seen) / max(1, len(steps))
+            grad = by_moves / max(1, len(firsts) - firsts.sum())
             move_squares += grad**2
             field.moves -= rate * grad / np.sqrt(move_squares)
-            grad = error[firsts].mean(axis=0)
+            grad = by_first / firsts.sum()
             first_squares += grad**2
             field.first -= rate * grad / np.sqrt(first_squares)
     return field
@@ -181,34 +196,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample_pieces(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> list[tuple[str, list[str]]]:
-    """About ``texts`` / number of languages texts of each language, chosen by a hash of the text, as short pieces.
+    """About ``texts`` / number of languages distinct whole texts of each language, cut into pieces of ``PIECE_WORDS`` words.
 
-    The pieces lie evenly over the whole of each text. What reaches the driver is bounded by the parameters.
+    Texts are counted and chosen once however often they are copied, so copies neither crowd out the other texts of a
+    language nor reach the driver, and a language of few texts gives them all. The number of texts that reach the
+    driver follows ``texts``, not the table.
     """
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mark = F.xxhash64("text", F.lit(17))
+    marks = docs.select("lang", mark.alias("mark")).distinct()
+    counts = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = {lang: min(1.0, texts / len(counts) / n) for lang, n in counts.items()}
     parts = F.create_map(*[F.lit(x) for lang in sorted(share) for x in (lang, share[lang])])
-    chance = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = letters(text)
-                for i in range(PIECES):
-                    at = (max(0, len(words) - PIECE_WORDS) * i) // max(1, PIECES - 1)
-                    if i and at < last + PIECE_WORDS:  # a short text gives fewer pieces
-                        continue
-                    last = at
-                    langs.append(lang)
-                    found.append(words[at : at + PIECE_WORDS])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
-
-    rows = docs.filter(chance < parts[F.col("lang")]).select("lang", "text").mapInArrow(cut, "lang string, words array<string>")
-    return [(r.lang, r.words) for r in rows.collect()]
+            found = [letters(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
+
+    rows = docs.filter(chance < parts[F.col("lang")]).select("lang", "text").distinct()
+    rows = rows.mapInArrow(cut, "lang string, words array<string>").collect()
+    return [(r.lang, r.words[at : at + PIECE_WORDS]) for r in rows for at in range(0, len(r.words), PIECE_WORDS)]
 
 
 def label(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -216,7 +226,7 @@ def label(docs: DataFrame, field: Field | None) -> DataFrame:
 
     ``score`` is that mean. A null text or one without a letter gives ``und`` and 0, as does every text where nothing
     could be learned; ties go to the label first in order. Each row is judged by itself, so repeated rows agree, and
-    no column but ``doc_id`` and ``text`` is read.
+    no column but ``doc_id`` and ``text`` is read. Texts of any length are scored whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(field)  # bounded: see Field

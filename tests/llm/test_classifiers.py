@@ -36,6 +36,45 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[begin:end], want / total)
 
 
+def test_slopes_equal_finite_differences():
+    import itertools
+
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    values = [draw.normal(size=(7, 3)), draw.normal(size=(3, 3)), draw.normal(size=3)]
+    firsts, right = np.array([1, 0, 0, 0, 1, 0, 0], bool), draw.integers(0, 3, 7)
+
+    def loss(scores, moves, first):
+        total = 0.0
+        for begin, end in ((0, 4), (4, 7)):
+            weigh = lambda path: (first[path[0]] + sum(scores[begin + i, y] for i, y in enumerate(path))
+                                  + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            every = [weigh(path) for path in itertools.product(range(3), repeat=end - begin)]
+            total += np.log(np.exp(every).sum()) - weigh(right[begin:end].tolist())
+        return total
+
+    got = language.slopes(values[0], firsts, right, values[1], values[2], step=2)
+    for which, slope in enumerate(got):
+        for at in np.ndindex(slope.shape):
+            ends = []
+            for shift in (1e-5, -1e-5):
+                moved = [v.copy() for v in values]
+                moved[which][at] += shift
+                ends.append(loss(*moved))
+            assert abs((ends[0] - ends[1]) / 2e-5 - slope[at]) < 1e-6
+
+
+def test_copies_neither_hide_a_language_nor_come_more_than_once(spark):
+    rows = [("de", "der hund und die katze")] * 3000 + [("en", f"the dog number {'x' * (i % 50)}{i} and the cat") for i in range(3000)]
+    rows += [("fr", "le chien et le chat " * 2000)]
+    pieces = language.sample_pieces(spark.createDataFrame(rows, "lang string, text string"), texts=200)
+    words = {lang: [w for own, piece in pieces if own == lang for w in piece] for lang in ("de", "en", "fr")}
+    assert words["de"] == ["der", "hund", "und", "die", "katze"] and words["fr"] == ["le", "chien", "et", "le", "chat"] * 2000
+    assert 30 < words["en"].count("dog") < 120
+    assert language.fit(pieces).labels == ["de", "en", "fr"]
+
+
 def test_words_of_mixed_text(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang is not null")
     field = language.fit(language.sample_pieces(docs.select("lang", "text")))
