@@ -29,8 +29,8 @@ REGISTERS = 360
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 #: Candidates whose estimate is this many standard errors below the threshold are dropped (3e-6 of links just at it).
 SIGMAS = 4.5
-#: Links verified against one copy of a shingle set; classes of a bucket that are compared in one piece.
-BLOCK, BUCKET_BLOCK = 256, 1024
+#: Links verified against one copy of a shingle set; classes of a bucket that are compared in one piece, and their words.
+BLOCK, BUCKET_BLOCK, BLOCK_WORDS = 256, 1024, 1 << 20
 
 
 def arrivals(sets: np.ndarray, sizes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -161,53 +161,89 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different parts within a bucket: ``rows`` has (key, cid, part, n, regs, held).
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, cid, partners): the classes of each pair of blocks that have a candidate of another part there.
 
-    Buckets are cut into blocks of about ``BUCKET_BLOCK`` classes; two blocks meet in one group, which compares
-    registers as arrays and gives only the pairs that pass the size and estimate filters, each in the first band that
-    the two share. The work of a bucket is spread over its pairs of blocks, and memory is bounded by two blocks.
+    ``rows`` has (key, band, cid, part, tried, n, regs, held, words). Buckets are cut into blocks of about
+    ``BUCKET_BLOCK`` classes and ``BLOCK_WORDS`` words; two blocks meet in one group, which compares registers as arrays.
+    A candidate passes the filters by size and estimate, is met in the first band that the two share, and is not the
+    leader with which a class was ``tried`` before. A group gives a row for each class with a candidate, with the other
+    ends as a list at one of the two, so there is no row for a pair and a list is no longer than a block.
     """
-    blocks = F.ceil(F.col("held") / BUCKET_BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("held") / BUCKET_BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
     cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     met = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(
-        "key", "band", "cid", "part", "n", "regs", "own",
+        "key", "band", "cid", "part", "tried", "n", "regs", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        cids, n = group["cid"].to_numpy(), group["n"].to_numpy().astype(np.float64)
+        cids, tried, n = (group[c].to_numpy() for c in ("cid", "tried", "n"))
+        n = n.astype(np.float64)
         part = np.array(group["part"].to_pylist(), dtype=object)
         _, part = np.unique(part, return_inverse=True)
         regs, band = _registers(group["regs"]), group["band"][0].as_py()
         bands = np.ascontiguousarray(regs[:, : BANDS * ROWS]).view("<u8")
         left = group["own"].to_numpy() == group["i"][0].as_py()
         alone = group["i"][0].as_py() == group["j"][0].as_py()
-        found_a, found_b = [], []
+        partners: dict[int, np.ndarray] = {}
+        needed = np.zeros(len(cids), bool)
         for x in np.flatnonzero(left).tolist():
             ys = np.arange(x + 1, len(cids)) if alone else np.flatnonzero(~left)
             ys = ys[(part[ys] != part[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+            ys = ys[(tried[ys] != cids[x]) & (cids[ys] != tried[x])]
             ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == band] if len(ys) else ys
             if len(ys):
                 many = np.broadcast_to(regs[x], (len(ys), REGISTERS))
                 ys = ys[joint_estimate(many, regs[ys], np.full(len(ys), n[x]), n[ys]) >= _floor(percent)]
-                found_a.append(np.minimum(cids[x], cids[ys]))
-                found_b.append(np.maximum(cids[x], cids[ys]))
-        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (found_a, found_b)]
-        return pa.table({"a": columns[0], "b": columns[1]})
+            if len(ys):
+                partners[x] = cids[ys]
+                needed[x] = needed[ys] = True
+        given = np.flatnonzero(needed)
+        lists = [partners.get(x, ()) for x in given.tolist()]
+        return pa.table({
+            **{c: group[c].take(pa.array(given)) for c in ("key", "i", "j", "cid")},
+            "partners": pa.array(lists, pa.list_(pa.int64()))})
 
-    return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return met.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, cid long, partners array<long>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) of class keys, decided on the full shingle sets of the pairs (a, b).
+def _joined(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of class keys that join what ``near`` holds: full sets meet in its groups, see ``_near``.
 
-    Only texts of classes in a pair are shuffled. The set of a class with many pairs is copied once per ``BLOCK``
-    pairs, so that one document with thousands of near copies is spread over tasks.
+    A pair that the group's links so far already connect is not decided, so a group gives a spanning forest: fewer links
+    than classes. Memory is bounded by the sets of two blocks.
     """
-    pairs = stored(pairs, "dedup-pairs")
-    involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = classes.join(involved, "cid").select("row", F.col("cls").alias("expected"))
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, place = group["cls"].to_pylist(), {c: x for x, c in enumerate(group["cid"].to_pylist())}
+        own = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["own"]]
+        above = list(range(len(keys)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        found = []
+        for x, whom in enumerate(group["partners"].to_pylist()):
+            for y in [place[c] for c in whom if c in place]:
+                if top(x) != top(y):
+                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if 100 * both >= percent * (len(own[x]) + len(own[y]) - both):
+                        above[top(x)] = top(y)
+                        found.append((keys[x], keys[y]))
+        return pa.table({
+            "u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    met = near.join(sets, "cid").select("key", "i", "j", "cid", "partners", "cls", "own")
+    return stored(met.groupBy("key", "i", "j").applyInArrow(run, "u binary, v binary"), "dedup-links")
+
+
+def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, cls, own): the full shingle sets of the classes in ``cids``; only their texts are shuffled."""
+    chosen = classes.join(cids, "cid").select("row", F.col("cls").alias("expected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -228,7 +264,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
     rows = docs.select(row_key().alias("row"), "text").join(chosen, "row")
     sets = rows.select("text", "expected").mapInArrow(run, "cid long, cls binary, own binary")
-    sets = stored(sets.dropDuplicates(["cls"]), "dedup-sets")
+    return stored(sets.dropDuplicates(["cls"]), "dedup-sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) of class keys, decided on the full shingle sets of the pairs (a, b).
+
+    The set of a class with many pairs is copied once per ``BLOCK`` pairs, so that one document with thousands of near
+    copies is spread over tasks.
+    """
+    pairs = stored(pairs, "dedup-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), classes, docs, words)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     dealt = stored(dealt.select("a", "b", "block"), "dedup-dealt")
@@ -264,7 +310,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        most bands with is verified, and links are joined into components.
     2. In buckets that still hold several components, the registers of classes of different components are compared in
        blocks. A group of near copies is one component by then, so it is not compared with itself.
-    3. The pairs whose estimate may reach the threshold are verified, and all links joined.
+    3. The full sets of classes with a pair whose estimate may reach the threshold meet in the same groups; each group
+       gives links that join what belongs together, fewer than its classes, and all links are joined.
 
     Sizes and sets are those of 64-bit shingle hashes; classes are told apart by 128 bits. Rows with a null
     ``doc_id`` take part, but do not give their component a name: a component of such rows alone has a null
@@ -301,19 +348,20 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tops = members.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("a"))
     stars = members.join(tops, "key").filter("cid != a").groupBy("a", F.col("cid").alias("b")).agg(
         F.count(F.lit(1)).alias("bands"))
-    best = stars.groupBy("b").agg(F.max(F.struct("bands", "a")).alias("best")).select("best.a", "b")
+    best = stored(stars.groupBy("b").agg(F.max(F.struct("bands", "a")).alias("best")).select("best.a", "b"), "dedup-best")
     links = _verified(_estimated(best, large, percent), large, docs, words, percent)
     named = stored(components(links), "dedup-components")
 
-    part = large.select("cid", "cls").join(named, F.col("cls") == F.col("node"), "left")
-    part = stored(part.select("cid", F.coalesce("component", "cls").alias("part")), "dedup-parts")
+    part = large.select("cid", "cls", "n").join(named, F.col("cls") == F.col("node"), "left")
+    part = stored(part.select("cid", "n", F.coalesce("component", "cls").alias("part")), "dedup-parts")
     tagged = members.select("key", "band", "cid", "held").join(part, "cid")
-    mixed_keys = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    open_rows = tagged.join(mixed_keys.select("key"), "key").join(large.select("cid", "n", "regs"), "cid")
-    rest = _across(open_rows, percent)
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, large, docs, words, percent)
+    mixed_keys = tagged.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum("n").alias("words"))
+    mixed_keys = mixed_keys.filter("p < q").select("key", "words")
+    leaders = large.select("cid", "regs").join(best.select(F.col("b").alias("cid"), F.col("a").alias("tried")), "cid", "left")
+    leaders = leaders.withColumn("tried", F.coalesce("tried", "cid"))
+    open_rows = tagged.join(mixed_keys, "key").join(leaders, "cid")
+    near = stored(_near(open_rows, percent), "dedup-near")
+    more = _joined(near, _sets(near.select("cid").distinct(), large, docs, words), percent)
     final = stored(components(links.unionByName(more)), "dedup-components")
 
     owned = classes.select("cls", "rep").join(final, F.col("cls") == F.col("node"), "left")
