@@ -53,6 +53,22 @@ def test_equals_brute_force(spark):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_blocks_of_few_classes_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BUCKET_BLOCK", 4)
+    draw = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(60):  # changes at a few places, so that copies of different leaders are linked late
+        own = list(base)
+        for _ in range(draw.randint(3, 7)):
+            own[draw.randrange(len(own))] = f"v{draw.randrange(40)}"
+        rows.append((d, " ".join(own)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 1
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got) and len(got) == 60
+
+
 def test_a_row_without_id_links_two_documents(spark):
     words = [f"w{i}" for i in range(100)]
     far = [f"x{i}" for i in range(100)]
