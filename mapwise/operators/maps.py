@@ -49,11 +49,16 @@ def scale_frequency(t: Frames) -> DataFrame:
 
 
 def modal_cells(t: Frames) -> DataFrame:
-    """Most frequent scale per cell; ties joined by ' / ' in scale order and shown white.
+    """Most frequent scale per cell; ties joined by ' / ' in scale order and shown white."""
+    return modal(_cell_scales(t), t["mapping_scales"])
+
+
+def modal(counts: DataFrame, scales: DataFrame) -> DataFrame:
+    """As ``modal_cells``, of counts per cell and scale.
 
     A cell gathers at most one entry per scale of the scale table, whatever the number of maps behind it.
     """
-    counted = _cell_scales(t).join(t["mapping_scales"].select("map_scale_id", "abbreviation", "colour"), "map_scale_id")
+    counted = counts.join(scales.select("map_scale_id", "abbreviation", "colour"), "map_scale_id")
     entry = F.struct("map_scale_id", "abbreviation", "colour", "n")
     cells = counted.groupBy(*CELL).agg(F.max("n").alias("top"), F.sort_array(F.collect_list(entry)).alias("scales"))
     winners = F.filter("scales", lambda s: s["n"] == F.col("top"))
@@ -71,9 +76,12 @@ def modal_cells(t: Frames) -> DataFrame:
 
 def program_map(t: Frames) -> DataFrame:
     """The program map for every scope."""
-    return _scoped(t, modal_cells(t)).select(
-        "program_id", "scope", "pl_outcome_id", "course_id", "label", "is_tie", "colour", "n"
-    )
+    return scoped_map(t, modal_cells(t))
+
+
+def scoped_map(t: Frames, cells: DataFrame) -> DataFrame:
+    """Modal cells for every scope their course has in the program."""
+    return _scoped(t, cells).select("program_id", "scope", "pl_outcome_id", "course_id", "label", "is_tie", "colour", "n")
 
 
 def cell_frequencies(t: Frames) -> DataFrame:

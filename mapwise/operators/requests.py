@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mapwise.functions import answers, rules
 from mapwise.plans.numbering import number_rows
@@ -127,6 +127,59 @@ def pending_undated(requests: DataFrame) -> DataFrame:
     return requests.filter((F.col("status") == PENDING) & F.col("created_at").isNull()).select("program_id", "request_id")
 
 
+def waiting_spans(requests: DataFrame, now: str) -> DataFrame:
+    """(program_id, course_id, request_id, begun, ended), in whole seconds: a pending request waits until the next request of
+    its course and program, by date and id, or until ``now``.
+
+    Requests without a date, from ``now`` on, or that wait for less than a second are left out. The next one is looked for
+    within a day first, then among the first ones of the days, so that a busy pair is not sorted in one task.
+    """
+    dated = requests.filter(F.col("created_at").isNotNull()).select(
+        "request_id", "status", F.struct("program_id", "course_id", F.to_date("created_at").alias("day")).alias("_key"),
+        F.unix_timestamp("created_at").alias("begun"), "created_at")
+    days = dated.groupBy("_key").agg(F.min("begun").alias("_first"))
+    later = Window.partitionBy("_key.program_id", "_key.course_id").orderBy("_key.day")
+    days = days.select("_key", F.lead("_first").over(later).alias("_later"))
+    within = Window.partitionBy("_key").orderBy("created_at", "request_id")
+    rows = dated.withColumn("_next", F.lead("begun").over(within)).filter(F.col("status") == PENDING).join(days, "_key")
+    end = F.unix_timestamp(F.lit(now).cast("timestamp"))
+    return rows.select(
+        "_key.program_id", "_key.course_id", "request_id", "begun",
+        F.least(F.coalesce("_next", "_later", end), end).alias("ended")).filter("ended > begun")
+
+
+def backlog_over_time(requests: DataFrame, now: str) -> DataFrame:
+    """Queue length of each program over time: its peak, when it was first reached and for how many seconds it held, the
+    seconds waited by all requests, and the mean length from the first start to the last end.
+
+    A sweep over starts and ends as signed events. Events of one second are added up first; running sums go within
+    (program, hour), and only one sum per hour meets in a program. What is gathered per program then is one row for each
+    length that its queue had.
+    """
+    spans = waiting_spans(requests, now)
+    events = spans.select("program_id", F.inline(F.array(
+        F.struct(F.col("begun").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("sign")))))
+    steps = events.groupBy("program_id", "at").agg(F.sum("sign").alias("change")).select(
+        F.struct("program_id", F.floor(F.col("at") / 3600).alias("hour")).alias("_key"), "at", "change")
+    program = Window.partitionBy("_key.program_id").orderBy("_key.hour")
+    hours = steps.groupBy("_key").agg(F.sum("change").alias("_sum"), F.min("at").alias("_first")).select(
+        "_key", F.lead("_first").over(program).alias("_after"),
+        F.coalesce(F.sum("_sum").over(program.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    hour = Window.partitionBy("_key").orderBy("at")
+    lengths = steps.withColumn("_run", F.sum("change").over(hour.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_next", F.lead("at").over(hour)).join(hours, "_key")
+    lengths = lengths.select(
+        "_key.program_id", "at", (F.col("_before") + F.col("_run")).alias("n"),
+        (F.coalesce("_next", "_after", F.col("at")) - F.col("at")).alias("held"))
+    levels = lengths.groupBy("program_id", "n").agg(F.sum("held").alias("held"), F.min("at").alias("first_at"))
+    top = F.max(F.struct("n", "held", "first_at"))
+    whole, waited = F.sum("held"), F.sum(F.col("n") * F.col("held"))
+    return levels.groupBy("program_id").agg(top.alias("top"), waited.alias("waited_seconds"), whole.alias("_whole")).select(
+        "program_id", F.col("top.n").alias("peak"), F.timestamp_seconds("top.first_at").alias("peak_at"),
+        F.col("top.held").alias("peak_seconds"), "waited_seconds",
+        F.round(F.col("waited_seconds") / F.col("_whole"), 6).alias("mean_length"))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Answer fields of every line; stateless, so it runs on streams as well.
 

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from mapwise.operators import access, coverage, evaluation, grant_support, maps, merge, programs, reports, requests
+from mapwise.operators import access, coverage, evaluation, grant_support, map_feed, maps, merge, programs, reports, requests
 from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
 from mapwise.plans.session import kept, shared_dir
 from mapwise.sources import corpus, imports, jsonl, sinks, tables
@@ -221,6 +221,24 @@ def _reset(t: Tables) -> dict[str, DataFrame]:
     )
 
 
+def _program_map_feed(t: Tables) -> DataFrame:
+    """The program map kept up while suggestions replace pairs, finished courses leave their programs and the programs of
+    masters are reset."""
+    masters = t["programs"].filter(F.col("level") == "Masters").select("program_id")
+    gone = t["course_programs"].filter(F.col("map_status") == 2)
+    feed = map_feed.ProgramMapFeed(t.spark, shared_dir(t.spark, "program-map"))
+    names = ["outcome_maps", "course_programs", "courses", "learning_outcomes", "program_learning_outcomes", "mapping_scales"]
+    now = {name: t[name] for name in names}
+    feed.apply(0, now, *map_feed.first_rows(now))
+    incoming = t["outcome_map_ai_suggestions"]
+    feed.apply(1, now, *map_feed.replaced(now, incoming))
+    now["outcome_maps"] = merge.replace_pairs(now["outcome_maps"], incoming)
+    feed.apply(2, now, *map_feed.detached(now, gone))
+    now.update(merge.detach(now, gone))
+    feed.apply(3, now, *map_feed.reset(now, masters))
+    return maps.scoped_map(now, feed.cells(3))
+
+
 def _split_legacy(t: Tables) -> DataFrame:
     categories, links = merge.split_legacy_program(t["legacy_courses"])
     return categories.select(F.lit("category").alias("kind"), "course_id", F.col("standard_category_id").alias("value")).unionByName(
@@ -317,6 +335,7 @@ QUERIES: dict[str, Job] = {
     "expand_grants": access.expand_grants,
     "stale_grants": _stale_grants,
     "grants_by_support": _grants_by_support,
+    "program_map_feed": _program_map_feed,
     "course_owners": lambda t: access.elect_owner(t["course_users"], "course_id"),
     "recent_entities": partial(reports.recent_entities, k=5, now="2026-01-01 00:00:00"),
     "request_pairs": _pairs,
@@ -330,6 +349,8 @@ QUERIES: dict[str, Job] = {
     "latest_finished": lambda t: requests.latest_finished(t["mapping_requests"]),
     "pending_backlog": lambda t: requests.pending_backlog(t["mapping_requests"], "2026-01-01 00:00:00"),
     "pending_undated": lambda t: requests.pending_undated(t["mapping_requests"]),
+    "waiting_spans": lambda t: requests.waiting_spans(t["mapping_requests"], "2026-01-01 00:00:00"),
+    "backlog_over_time": lambda t: requests.backlog_over_time(t["mapping_requests"], "2026-01-01 00:00:00"),
     "chunk_pairs": lambda t: requests.chunk_pairs(_pairs(t)),
     "explode_answers": lambda t: _joined_labels(requests.explode_answers(t["list_answers"])[0]),
     "explode_answers_rejects": lambda t: requests.explode_answers(t["list_answers"])[1],

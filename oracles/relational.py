@@ -39,6 +39,17 @@ MODAL = f"""
           from ({CELL_COUNTS}) x join @mapping_scales s using (map_scale_id)) y
     where n = top group by program_id, pl_outcome_id, course_id"""
 
+# Pairs replaced by suggestions, without those of courses that left and of programs that were reset.
+_FED = """
+    select a.* from (
+        select l_outcome_id, pl_outcome_id, map_scale_id from @outcome_maps b where not exists (
+            select 1 from @outcome_map_ai_suggestions i where i.l_outcome_id = b.l_outcome_id and i.pl_outcome_id = b.pl_outcome_id)
+        union all select distinct l_outcome_id, pl_outcome_id, map_scale_id from @outcome_map_ai_suggestions) a
+    left join @learning_outcomes l using (l_outcome_id) left join @program_learning_outcomes p using (pl_outcome_id)
+    where not exists (select 1 from @course_programs d
+                      where d.map_status = 2 and d.course_id = l.course_id and d.program_id = p.program_id)
+      and not exists (select 1 from @programs g where g.level = 'Masters' and g.program_id = p.program_id)"""
+
 DOMINANT = f"""
     select program_id, pl_outcome_id, course_id, abbreviation as label, map_scale_id
     from (select x.*, row_number() over (partition by x.program_id, pl_outcome_id, course_id
@@ -222,6 +233,10 @@ SQL: dict[str, str] = {
     "program_map": f"""
         select program_id, scope, pl_outcome_id, course_id, label, is_tie, colour, n
         from ({MODAL}) m join ({SCOPES}) s using (program_id, course_id)""",
+    "program_map_feed": f"""
+        select program_id, scope, pl_outcome_id, course_id, label, is_tie, colour, n
+        from ({MODAL}) m join ({SCOPES}) s using (program_id, course_id)""".replace(
+        "@course_programs", "(select * from @course_programs where map_status <> 2)").replace("@outcome_maps", f"({_FED})"),
     "cell_frequencies": f"""
         select program_id, scope, pl_outcome_id, course_id, frequencies
         from (select program_id, pl_outcome_id, course_id,

@@ -65,7 +65,28 @@ _PATH = "coalesce(nullif(output_path, ''), replace(input_path, 'batch_inputs', '
 
 _REPAIRED = """case when (length(o) - length(replace(o, '"', ''))) % 2 <> 0 then o || '"' else o end"""
 
+_WAITING = """
+    select * from (
+        select program_id, course_id, request_id, begun, least(coalesce(next, epoch(timestamp '2026-01-01 00:00:00')::bigint),
+               epoch(timestamp '2026-01-01 00:00:00')::bigint) as ended, status
+        from (select *, lead(begun) over (partition by course_id, program_id order by created_at, request_id) as next
+              from (select *, floor(epoch(created_at))::bigint as begun from @mapping_requests where created_at is not null) a) b) c
+    where status = 'PENDING' and ended > begun"""
+
 SQL: dict[str, str] = {
+    "waiting_spans": f"select program_id, course_id, request_id, begun, ended from ({_WAITING}) w",
+    "backlog_over_time": f"""
+        with lengths as (
+            select program_id, moment, sum(change) over w as n, coalesce(lead(moment) over w, moment) - moment as held
+            from (select program_id, moment, sum(sign) as change
+                  from (select program_id, begun as moment, 1 as sign from ({_WAITING}) x
+                        union all select program_id, ended, -1 from ({_WAITING}) y) e group by all) s
+            window w as (partition by program_id order by moment)),
+        tops as (select program_id, max(n) as peak, sum(n * held) as waited, sum(held) as whole from lengths group by program_id)
+        select t.program_id, cast(t.peak as bigint) as peak, make_timestamp(min(l.moment) * 1000000) as peak_at,
+               cast(sum(l.held) as bigint) as peak_seconds, cast(min(t.waited) as bigint) as waited_seconds,
+               round(min(t.waited)::double / min(t.whole)::double, 6) as mean_length
+        from tops t join lengths l on l.program_id is not distinct from t.program_id and l.n = t.peak group by t.program_id, t.peak""",
     "request_pairs": PAIRS,
     "build_prompts": f"select request_id, course_id, program_id, pair_id, length(prompt) as n_chars, md5(prompt) as prompt_md5 from ({PROMPTS}) p",
     "build_prompts_rejects": f"""

@@ -3,12 +3,13 @@
 import os
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from mapwise.functions import rules
-from mapwise.operators import access, coverage, evaluation, grant_support, maps, merge, requests
+from mapwise.operators import access, coverage, evaluation, grant_support, map_feed, maps, merge, requests
 from mapwise.operators.corpus import assessments, fields, materials, pages, records, sections
 from mapwise.plans.numbering import number_rows
 from mapwise.plans.skew import fan_out_join
@@ -232,6 +233,90 @@ def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
                   "department_head": pick(grants_tables(spark, batch % 2 == 0)["department_head"])}
 
 
+def test_program_map_follows_its_change_feed(spark, tmp_path):
+    draw = random.Random(5)
+    scales = [(0, "N/A", None), (1, "I", "#111111"), (2, "D", "#222222"), (3, "A", "#333333")]
+    t = {
+        "mapping_scales": spark.createDataFrame(scales, "map_scale_id long, abbreviation string, colour string"),
+        "learning_outcomes": spark.createDataFrame([(10 * c + k, c) for c in range(1, 5) for k in range(3)], "l_outcome_id long, course_id long"),
+        "program_learning_outcomes": spark.createDataFrame([(100 * p + k, p) for p in (1, 2) for k in range(2)], "pl_outcome_id long, program_id long"),
+        "course_programs": spark.createDataFrame(
+            [(c, p, 1, 2) for c in range(1, 5) for p in (1, 2) if c + p != 6], "course_id long, program_id long, course_required long, map_status long"),
+        "outcome_maps": spark.createDataFrame(
+            [(10 * c + k, 100 * p + j, s) for c in range(1, 5) for k in range(3) for p in (1, 2) for j in range(2)
+             for s in draw.sample(range(4), 2)] + [(None, 100, 1), (999, 100, 1), (10, 100, 77)], "l_outcome_id long, pl_outcome_id long, map_scale_id long"),
+        "mapping_scale_programs": spark.createDataFrame([], "map_scale_id long, program_id long"),
+    }
+    feed = map_feed.ProgramMapFeed(spark, str(tmp_path / "feed"), buckets=8)
+    cells = ["program_id", "pl_outcome_id", "course_id", "label", "is_tie", "colour", "n"]
+
+    def step(batch, changes):
+        for _ in range(1 + batch % 2):  # a batch that runs again counts once
+            touched = feed.apply(batch, t, *changes)
+        return touched
+
+    def agrees(batch):
+        assert rows(feed.cells(batch), *cells) == rows(maps.modal_cells(t), *cells)
+
+    step(0, map_feed.first_rows(t))
+    agrees(0)
+    for batch in (1, 2):
+        incoming = spark.createDataFrame(
+            [(10 * c, 100 * p, draw.randrange(4)) for c in draw.sample(range(1, 5), 2) for p in (1, 2)] * 2,
+            "l_outcome_id long, pl_outcome_id long, map_scale_id long")
+        touched = step(batch, map_feed.replaced(t, incoming))
+        t["outcome_maps"] = merge.replace_pairs(t["outcome_maps"], incoming)
+        agrees(batch)
+        written = {int(p.name.split("=")[1]) for p in (tmp_path / f"feed/modes/batch={batch}").glob("bucket=*")}
+        assert written <= touched and len(touched) < 8
+    gone = spark.createDataFrame([(2, 1), (2, 2), (9, 9)], "course_id long, program_id long")
+    step(3, map_feed.detached(t, gone))
+    t.update(merge.detach(t, gone))
+    agrees(3)
+    before = t["outcome_maps"]
+    step(4, map_feed.reset(t, spark.createDataFrame([(1,)], "program_id long")))
+    t["outcome_maps"] = before.filter("pl_outcome_id is null or pl_outcome_id >= 200")
+    agrees(4)
+    back = map_feed.signed_difference(t["outcome_maps"], before)  # what was reset comes again, a course returns with it
+    more = spark.createDataFrame([(1, 2, 1)], "program_id long, course_id long, sign int")
+    step(5, (back, more))
+    t["outcome_maps"] = before
+    t["course_programs"] = t["course_programs"].union(spark.createDataFrame([(2, 1, 1, 2)], t["course_programs"].schema))
+    agrees(5)
+    step(6, (None, None))
+    agrees(6)
+
+
+def test_backlog_over_time_against_every_second(spark):
+    draw = random.Random(9)
+    begin = datetime(2025, 3, 1, 22, 50)
+    events = [
+        (i, draw.choice([1, 2, None]), draw.choice([7, 7, 7, 8, None]), draw.choice(["PENDING", "PENDING", "IN_PROGRESS", "AWAITING_COMPLETION"]),
+         None if i % 13 == 0 else begin + timedelta(seconds=draw.randrange(9000)))
+        for i in range(120)]
+    df = spark.createDataFrame(events, "request_id long, course_id long, program_id long, status string, created_at timestamp")
+    end = begin + timedelta(seconds=8000)
+    spans = []
+    dated = sorted((e for e in events if e[4]), key=lambda e: (e[4], e[0]))
+    for n, e in enumerate(dated):
+        later = [x[4] for x in dated[n + 1:] if x[1:3] == e[1:3]]
+        stop = min([end, *later[:1]])
+        if e[3] == "PENDING" and stop > e[4]:
+            spans.append((e[2], e[0], int((e[4] - begin).total_seconds()), int((stop - begin).total_seconds())))
+    now = str(end)
+    base = spark.sql("select unix_timestamp(timestamp '2025-03-01 22:50:00')").first()[0]
+    got = {(r.program_id, r.request_id, r.begun - base, r.ended - base) for r in requests.waiting_spans(df, now).collect()}
+    assert got == set(spans)
+    want = {}
+    for program in {s[0] for s in spans}:
+        own = [s for s in spans if s[0] == program]
+        length = [sum(s[2] <= at < s[3] for s in own) for at in range(min(s[2] for s in own), max(s[3] for s in own))]
+        first = min(s[2] for s in own) + length.index(max(length))
+        want[program] = (max(length), begin + timedelta(seconds=first), length.count(max(length)), sum(length), round(sum(length) / len(length), 6))
+    assert {r[0]: tuple(r)[1:] for r in requests.backlog_over_time(df, now).collect()} == want
+    assert requests.backlog_over_time(df.limit(0), now).count() == 0
+
+
 def test_replace_pairs_is_idempotent(spark):
     schema = "l_outcome_id long, pl_outcome_id long, map_scale_id long"
     base = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 3)], schema)
