@@ -43,9 +43,10 @@ def mix_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     )
 
 
-def hash_of(doc_id: Column) -> Column:
-    """60-bit hash of a document id; the same in every run. A null id hashes as an empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """60-bit hash of a document's id and text; the same in every run. Null ids and texts hash as empty ones."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def extra_below(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def extra_below(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 def _sized(docs: DataFrame) -> DataFrame:
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD_PATTERN)))
     return stored(
-        docs.select("doc_id", "source", words.cast("long").alias("size"), hash_of(F.col("doc_id")).alias("hash")),
+        docs.select("doc_id", "source", words.cast("long").alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash")),
         "mix-sizes",
     )
 
@@ -97,9 +98,9 @@ def mix_sources(
     """How often each document is taken: (doc_id, source, size, source_size, target, copies, taken).
 
     A document's size is its number of words (null text: 0). Each is taken ``floor(target / source size)`` times,
-    and once more up to the place, in the order of the ids' hashes, where the running size of its source comes
-    nearest to the rest of the target: a source misses its target by at most half of one document (of one group of
-    rows that share an id). Null sources are one source, last in order. Only ``doc_id``, ``text`` and ``source`` are read, so
+    and once more up to the place, in the order of the hashes of ids and texts, where the running size of its source
+    comes nearest to the rest of the target: a source misses its target by at most half of one document (of one group of
+    rows equal in id and text; null or repeated ids alone do not bind rows together). Null sources are one source, last in order. Only ``doc_id``, ``text`` and ``source`` are read, so
     other columns may have any name. Repeated rows each count and share their decision; an empty table gives none.
     A hot source only adds to per-task partial sums: no step gathers its documents.
     """
@@ -141,7 +142,7 @@ def mix_documents(
     plan = stored(mix_plan(_sized(docs), weights, share, most), "mix-plan")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(plan, F.col("row.source").eqNullSafe(F.col("of_source")))
-    times = copies_of(hash_of(F.col("row.doc_id")), F.col("plan"), most).cast("int")
+    times = copies_of(hash_of(F.col("row.doc_id"), F.col("row.text")), F.col("plan"), most).cast("int")
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
@@ -149,7 +150,7 @@ MIX_SQL = r"""
 with sized as (
   select doc_id, source, cast(case when text is null then 0 else
            len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as bigint) as h
   from documents),
 totals as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as place

@@ -27,6 +27,14 @@ def test_mix_equals_sql(spark):
     assert mixing.mix_sources(docs.filter("false")).count() == 0
 
 
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    rows = [(None, f"{i} " + "w " * (i % 9 + 1), "a") for i in range(300)] + [(7, f"{i} x y", "b") for i in range(300)]
+    found = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "ab":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2
+
+
 def test_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
