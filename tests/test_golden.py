@@ -317,6 +317,20 @@ def test_backlog_over_time_against_every_second(spark):
     assert requests.backlog_over_time(df.limit(0), now).count() == 0
 
 
+def test_outcome_imports_stop_at_max_rows(spark, tmp_path):
+    for name, n in (("long", 40), ("short", 5)):
+        (tmp_path / name).mkdir()
+        lines = ["outcome,phrase"] + [('"two\nlines",p' if k == 2 else ",p" if k == 3 else f"o{k},p") for k in range(1, n + 1)]
+        (tmp_path / name / "a.csv").write_text("\n".join(lines) + "\n")
+    owners = spark.createDataFrame([("long", 1), ("short", 2)], "file_key string, course_id long")
+    capped = imports.import_outcomes(spark, f"{tmp_path}/*/*.csv", owners, max_rows=30)[0]
+    want = [k for k in range(1, 30) if k != 3]  # 29 rows below the header, one of them blank
+    got = {r.outcome for r in capped.filter("course_id = 1").collect()}
+    assert got == {"two\nlines" if k == 2 else f"o{k}" for k in want}
+    assert capped.filter("course_id = 2").count() == 4
+    assert imports.import_outcomes(spark, f"{tmp_path}/*/*.csv", owners)[0].filter("course_id = 1").count() == 39
+
+
 def test_replace_pairs_is_idempotent(spark):
     schema = "l_outcome_id long, pl_outcome_id long, map_scale_id long"
     base = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 3)], schema)
