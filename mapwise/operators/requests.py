@@ -40,12 +40,15 @@ def request_pairs(requests: DataFrame, clos: DataFrame, plos: DataFrame) -> Data
 
     Outcomes stay rows, so no request is gathered into one value; requests of one large program are spread.
     """
+    # The salts copy the requests, which are short, not the texts of the outcomes.
     mine = fan_out_join(
-        requests.select("request_id", "course_id", "program_id"),
-        clos.select("course_id", "l_outcome_id", "l_outcome"), ["course_id"],
+        clos.select("course_id", "l_outcome_id", "l_outcome"),
+        requests.select("request_id", "course_id", "program_id"), ["course_id"],
     )
-    return fan_out_join(mine, plos.select("program_id", "pl_outcome_id", "pl_outcome"), ["program_id"]).withColumn(
-        "pair_id", rules.pair_id(F.col("l_outcome_id"), F.col("pl_outcome_id"))
+    pairs = fan_out_join(mine, plos.select("program_id", "pl_outcome_id", "pl_outcome"), ["program_id"])
+    return pairs.select(
+        "program_id", "course_id", "request_id", "l_outcome_id", "l_outcome", "pl_outcome_id", "pl_outcome",
+        rules.pair_id(F.col("l_outcome_id"), F.col("pl_outcome_id")).alias("pair_id"),
     )
 
 
