@@ -162,8 +162,8 @@ def course_listing(t: Frames) -> dict[str, DataFrame]:
 def recent_entities(t: Frames, k: int, now: str) -> DataFrame:
     """The k last updated courses, programs and syllabi of every user with an age phrase.
 
-    The rank filter becomes a per-task limit before the exchange, so a user with very many entities sends
-    only k rows per task.
+    Scopes open their k newest entities only, so a role brings a user k rows for each scope, not all that it opens. The rank
+    filter becomes a per-task limit before the exchange.
     """
     def named(table: str, entity: str, key: str, title: str) -> DataFrame:
         return t[table].select(F.lit(entity).alias("entity"), F.col(key).alias("entity_id"),
@@ -174,7 +174,7 @@ def recent_entities(t: Frames, k: int, now: str) -> DataFrame:
     )
     syllabi = t["syllabi"].select(F.lit("syllabus").alias("entity"), F.col("syllabus_id").alias("entity_id"),
                                   "user_id", "title", "updated_at")
-    dated = visible_entities(t).join(titles, ["entity", "entity_id"]).unionByName(syllabi)
+    dated = visible_entities(t, titles, k).join(titles, ["entity", "entity_id"]).unionByName(syllabi)
     newest = Window.partitionBy("entity", "user_id").orderBy(F.col("updated_at").desc_nulls_last(), "entity_id")
     seconds = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at")
     return (

@@ -47,5 +47,60 @@ def test_merged_partitions_stay_small(spark):
     tune(spark)
     conf = spark.conf
     assert conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
-    assert int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1000
+    assert int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 200
     assert conf.get("spark.sql.files.maxPartitionBytes") == "8m"
+
+
+def small_access(spark):
+    """Users 1 (administrator), 2 (head with the faculty's courses, twice) and 3 (director of program 0 and its faculty)."""
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    org = "campus string, faculty string, department string"
+    return {
+        "campuses": table([(0, "O")], "campus_id long, campus string"),
+        "faculties": table([(0, "F", 0)], "faculty_id long, faculty string, campus_id long"),
+        "departments": table([(5, 0, "D")], "department_id long, faculty_id long, department string"),
+        "faculty_course_codes": table([("MATH", 0)], "course_code string, faculty_id long"),
+        "programs": table([(0, "O", "F", "D")], f"program_id long, {org}"),
+        "courses": table([(i, "MATH", "O", "F", "D") for i in (10, 11, 12)], f"course_id long, course_code string, {org}"),
+        "course_programs": table([(10, 0), (10, 0), (11, 0)], "course_id long, program_id long"),
+        "roles": table([(1, "administrator")], "role_id long, role string"),
+        "role_user": table([(1, 1)], "user_id long, role_id long"),
+        "department_head": table([(2, 5, True), (2, 5, True), (2, 5, False)],
+                                 "user_id long, department_id long, has_access_to_all_courses_in_faculty boolean"),
+        "program_directors": table([(3, 0, True)], "user_id long, program_id long, has_access_to_all_courses_in_faculty boolean"),
+        "course_users": table([(10, 3, 2), (10, 4, 3), (10, 4, 2), (11, None, None)], "course_id long, user_id long, permission long"),
+        "program_users": table([(0, 4, 3)], "program_id long, user_id long, permission long"),
+    }
+
+
+def test_newest_of_scopes_keep_what_a_user_may_need(spark):
+    """Only the newest of a scope meet its users; the newest ones of a user stay the same."""
+    from mapwise.operators.access import entity_scopes, newest_of_scopes, visible_entities
+
+    t = small_access(spark)
+    dates = spark.createDataFrame([("course", 10, 1), ("course", 11, 3), ("course", 12, 2), ("program", 0, 1)],
+                                  "entity string, entity_id long, updated_at long")
+    kept = newest_of_scopes(entity_scopes(t), dates, 1).filter("entity = 'course'")
+    assert {r.entity_id for r in kept.collect()} == {11}
+    whole = {(r.user_id, r.entity, r.entity_id) for r in visible_entities(t).collect()}
+    few = {(r.user_id, r.entity, r.entity_id) for r in visible_entities(t, dates, 1).collect()}
+    assert few < whole and {(1, "course", 11), (2, "course", 11), (3, "course", 11), (None, "course", 11)} <= few
+    assert (2, "course", 12) in whole and (2, "course", 12) not in few
+
+
+def test_grants_of_overlapping_scopes_come_once(spark):
+    from mapwise.operators.access import effective_permission, expand_grants
+
+    t = small_access(spark)
+    grants = [tuple(r) for r in expand_grants(t).collect()]
+    assert len(grants) == len(set(grants))
+    head = {(g[0], g[1], g[4]) for g in grants if g[2] == 2}
+    assert head == {("program", 0, None), ("course", 10, 0), ("course", 11, 0),
+                    ("course", 10, None), ("course", 11, None), ("course", 12, None)}
+    assert {(g[0], g[1], g[4]) for g in grants if g[2] == 3} == {
+        ("program", 0, 0), ("course", 10, 0), ("course", 11, 0), ("course", 12, 0)}
+    level = {(r.entity, r.entity_id, r.user_id): r.permission for r in effective_permission(t).collect()}
+    assert level[("course", 10, 3)] == 1 and level[("course", 10, 4)] == 2
+    assert level[("course", 11, None)] == 0 and level[("program", 0, 3)] == 1
