@@ -104,3 +104,33 @@ def test_grants_of_overlapping_scopes_come_once(spark):
     level = {(r.entity, r.entity_id, r.user_id): r.permission for r in effective_permission(t).collect()}
     assert level[("course", 10, 3)] == 1 and level[("course", 10, 4)] == 2
     assert level[("course", 11, None)] == 0 and level[("program", 0, 3)] == 1
+
+
+def test_partitions_of_documents_follow_their_bytes(spark):
+    """Ten times the corpus gives ten times the partitions, none of them larger, whatever the session's number is."""
+    from mapwise.sources.corpus import PARTITION_BYTES, corpus_lines, partitions_of
+
+    def documents(n):
+        text = F.when(F.col("id") % 5 > 0, F.expr("repeat('word of a line\n', 14000)"))
+        return spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"))
+
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions_of(documents(0)) == 1
+    assert partitions_of(documents(5)) == min(cores, 1)
+    few, many = 10 * cores * PARTITION_BYTES >> 20, 100 * cores * PARTITION_BYTES >> 20
+    assert 9 < partitions_of(documents(many)) / partitions_of(documents(few)) < 11
+    some = documents(15 * cores * PARTITION_BYTES >> 20)
+    assert corpus_lines(some).select(F.spark_partition_id()).rdd.getNumPartitions() == partitions_of(some) > cores
+
+
+def test_records_are_built_from_kept_extractors(spark):
+    """No stage holds the steps of all extractors: over 100 of them, every task compiles them anew."""
+    from mapwise.operators.corpus.records import course_children, course_records
+    from mapwise.sources.corpus import corpus_lines
+
+    texts = spark.createDataFrame([(1, "s", "one two three"), (2, "s", "four")], "doc_id long, source string, text string")
+    lines = corpus_lines(texts)
+    for found in (course_records(lines, 1, 2026), course_children(lines)):
+        steps = plan(found)
+        assert steps.count("Generate") + steps.count("Window") + steps.count("Sort") < 30
+        assert found.select("doc_id").distinct().count() == 2
