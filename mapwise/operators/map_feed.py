@@ -69,9 +69,13 @@ class ProgramMapFeed:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+    def _by_part(self, rows: DataFrame) -> DataFrame:
         # A number of tasks that adaptive execution leaves as it is: few would write the files of all parts in turn.
-        rows.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
+        return rows.repartition(self.buckets, "bucket")
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+        """Write rows that lie by part (``_by_part``)."""
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
 
     def _heads(self, batch: int) -> dict[str, dict[int, int]]:
         """By table and part, the batch up to ``batch`` that wrote it last: at most three times the number of parts."""
@@ -121,17 +125,21 @@ class ProgramMapFeed:
                 continue
             mine = self._touched(name, batch, rows)
             parts = {r[0] for r in mine.select("bucket").distinct().collect()}
-            old = self._parts(name, {p: n for p, n in heads[name].items() if p in parts})
-            both = old.unionByName(mine).groupBy(*_KEYS[name], "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
+            held = {p: n for p, n in heads[name].items() if p in parts}
+            both = self._by_part(self._parts(name, held).unionByName(mine) if held else mine)
+            if held:
+                # Rows that lie by part are added up where they are; those of a first batch are sums already.
+                both = both.groupBy(*_KEYS[name], "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
             self._write(both, name, batch)
             heads[name].update(dict.fromkeys(parts, batch))
             touched |= parts
         links, courses = (self._parts(name, {p: n for p, n in heads[name].items() if p in touched}).filter("n > 0")
                           for name in ("links", "members"))
-        counts = links.join(courses.withColumnRenamed("n", "_times"), ["bucket", *MEMBER])
+        # The part follows from program and course, by which the cells are then grouped where they are joined.
+        counts = links.drop("bucket").join(courses.drop("bucket").withColumnRenamed("n", "_times"), MEMBER)
         counts = counts.select(*CELL, "map_scale_id", (F.col("n") * F.col("_times")).alias("n"))
         part = F.pmod(F.xxhash64(*MEMBER), F.lit(self.buckets)).cast("int")
-        self._write(modal(counts, t["mapping_scales"]).withColumn("bucket", part), "modes", batch)
+        self._write(self._by_part(modal(counts, t["mapping_scales"]).withColumn("bucket", part)), "modes", batch)
         heads["modes"].update(dict.fromkeys(touched, batch))
         rows = [(name, p, n) for name, parts in heads.items() for p, n in parts.items()]
         self.spark.createDataFrame(rows, "name string, part int, written int").coalesce(1).write.mode("overwrite").parquet(

@@ -134,3 +134,32 @@ def test_records_are_built_from_kept_extractors(spark):
         steps = plan(found)
         assert steps.count("Generate") + steps.count("Window") + steps.count("Sort") < 30
         assert found.select("doc_id").distinct().count() == 2
+
+
+def test_parts_of_a_feed_are_exchanged_once(spark, tmp_path):
+    """Rows that lie by part are added up where they are: one exchange by part, none by key before it."""
+    from mapwise.operators.map_feed import ProgramMapFeed
+
+    class Seen(ProgramMapFeed):
+        plans: list = []
+
+        def _write(self, rows, name, batch):
+            self.plans.append((name, batch, rows._jdf.queryExecution().executedPlan().toString()))
+            super()._write(rows, name, batch)
+
+    maps = spark.createDataFrame([(1, 5, 1, 1), (1, 5, 1, 1), (2, 6, 2, 1)], "l_outcome_id long, pl_outcome_id long, map_scale_id long, sign int")
+    members = spark.createDataFrame([(0, 7, 1), (1, 7, 1)], "program_id long, course_id long, sign int")
+    t = {
+        "learning_outcomes": spark.createDataFrame([(1, 7), (2, 7)], "l_outcome_id long, course_id long"),
+        "program_learning_outcomes": spark.createDataFrame([(5, 0), (6, 1)], "pl_outcome_id long, program_id long"),
+        "mapping_scales": spark.createDataFrame([(1, "I", "#1"), (2, "D", "#2")], "map_scale_id long, abbreviation string, colour string"),
+    }
+    feed = Seen(spark, str(tmp_path / "feed"), 4)
+    feed.apply(0, t, maps, members)
+    feed.apply(1, t, maps.withColumn("sign", -F.col("sign")).limit(1), None)
+    assert {(name, batch) for name, batch, _ in Seen.plans} >= {("links", 0), ("links", 1), ("modes", 1)}
+    for name, _, steps in Seen.plans:
+        if name != "modes":
+            assert steps.count("Exchange") == 1
+    cells = {(r.program_id, r.pl_outcome_id): (r.label, r.n) for r in feed.cells(1).collect()}
+    assert cells == {(0, 5): ("I", 1), (1, 6): ("D", 1)}
