@@ -124,7 +124,7 @@ def test_partitions_of_documents_follow_their_bytes(spark):
 
 
 def test_records_are_built_from_kept_extractors(spark):
-    """No stage holds the steps of all extractors: over 100 of them, every task compiles them anew."""
+    """No stage holds the steps of all extractors: over 100 of them, tasks may compile them anew."""
     from mapwise.operators.corpus.records import course_children, course_records
     from mapwise.sources.corpus import corpus_lines
 
