@@ -160,6 +160,6 @@ def test_parts_of_a_feed_are_exchanged_once(spark, tmp_path):
     assert {(name, batch) for name, batch, _ in Seen.plans} >= {("links", 0), ("links", 1), ("modes", 1)}
     for name, _, steps in Seen.plans:
         if name != "modes":
-            assert steps.count("Exchange") == 1
+            assert steps.count("Exchange") == 1 and "REPARTITION_BY_NUM" in steps
     cells = {(r.program_id, r.pl_outcome_id): (r.label, r.n) for r in feed.cells(1).collect()}
     assert cells == {(0, 5): ("I", 1), (1, 6): ("D", 1)}
