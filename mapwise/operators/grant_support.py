@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mapwise.operators.access import (
-    GRANT, GRANT_SCHEMA, PROGRAM_DIRECTOR, RULE, SCOPED, assignment_rules, entity_scopes, granted,
+    GRANT, GRANT_SCHEMA, PROGRAM_DIRECTOR, RULE, SCOPED, assignment_rules, entity_scopes, granted, slices_of,
 )
 from mapwise.operators.programs import Frames
 
@@ -37,7 +37,7 @@ def signed_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def supported(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """Signed entities and rules that meet in a scope, as grants with the sum of their signs: (GRANT, support)."""
     sides = [side.drop("scope_bucket").withColumnRenamed("sign", name) for side, name in ((entities, "_e"), (rules, "_r"))]
-    met = granted(*sides, "_e", "_r")
+    met = granted(*sides, slices_of(sides[1]), "_e", "_r")
     return met.groupBy(*GRANT).agg(F.sum(F.col("_e") * F.col("_r")).cast("long").alias("support")).filter("support <> 0")
 
 

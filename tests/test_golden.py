@@ -209,6 +209,23 @@ def test_stale_grants_are_the_unjustified_ones(spark):
     assert access.stale_grants(now, kept).count() == 0
 
 
+def test_stale_grants_are_judged_without_ids_and_twice(spark):
+    t = grants_tables(spark, True)
+    t["courses"] = t["courses"].union(spark.createDataFrame([(None, "MUS", "O", "Arts", "Music")], t["courses"].schema))
+    held = access.expand_grants(t)
+    assert held.filter("entity_id is null").count() > 0 and access.stale_grants(t, held).count() == 0
+    other = held.filter("user_id = 2").withColumn("user_id", F.lit(None).cast("long"))
+    assert access.stale_grants(t, other.unionByName(other)).count() == 2 * other.count()
+
+
+def test_grants_meet_and_are_judged_without_an_exchange_of_pairs(spark):
+    t = grants_tables(spark, True)
+    held = access.expand_grants(t)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    # Beside the grants' own steps only scopes are exchanged, once for entities with an id and once for those without.
+    assert exchanges(access.stale_grants(grants_tables(spark, False), held)) <= exchanges(held) + 4
+
+
 def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
     draw = random.Random(8)
     store = grant_support.GrantSupport(spark, str(tmp_path / "support"))
