@@ -34,18 +34,21 @@ def signed_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy(*columns).agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
 
 
-def supported(entities: DataFrame, rules: DataFrame) -> DataFrame:
-    """Signed entities and rules that meet in a scope, as grants with the sum of their signs: (GRANT, support)."""
-    sides = [side.drop("scope_bucket").withColumnRenamed("sign", name) for side, name in ((entities, "_e"), (rules, "_r"))]
-    met = granted(*sides, slices_of(sides[1]), "_e", "_r")
-    return met.groupBy(*GRANT).agg(F.sum(F.col("_e") * F.col("_r")).cast("long").alias("support")).filter("support <> 0")
+def supported(entities: DataFrame, rules: DataFrame, slices: int) -> DataFrame:
+    """Signed entities and rules that meet in a scope, a row for each pair: (GRANT, support), the product of their signs.
+
+    Pairs of one grant are not added up here: whoever reads the log adds up its batches anyway.
+    """
+    signed = [side.drop("scope_bucket").withColumnRenamed("sign", name) for side, name in ((entities, "_e"), (rules, "_r"))]
+    met = granted(*signed, slices, "_e", "_r")
+    return met.select(*GRANT, (F.col("_e") * F.col("_r")).cast("long").alias("support")).filter("support <> 0")
 
 
 class GrantSupport:
     """The grants of all users as signed logs below a folder that all executors share.
 
     ``entities`` holds which course or program lies in which scope, ``rules`` which assignment opens which scope, and
-    ``support`` how many pairs of the two justify each grant; all as rows that came or went by batch. The first two are
+    ``support`` the pairs of the two that justify each grant; all as rows that came or went by batch. The first two are
     stored by kind and bucket of their scopes, the third by bucket of its users. A batch reads the rules of the scopes
     whose entities change and the entities of the scopes whose rules change, and writes three folders of its own; nothing
     that was written before is read as a whole or written again. A batch that runs twice writes the same folders, so it
@@ -58,6 +61,16 @@ class GrantSupport:
     def _write(self, rows: DataFrame, name: str, batch: int, parts: list[str]) -> None:
         rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.folder}/{name}/batch={batch}")
 
+    def _write_unsorted(self, rows: DataFrame, name: str, batch: int, parts: list[str]) -> None:
+        """As ``_write`` for very many rows in at most ``BUCKETS`` folders: a task keeps a file open for each instead of sorting."""
+        conf, key = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(key)
+        conf.set(key, str(BUCKETS))
+        try:
+            self._write(rows, name, batch, parts)
+        finally:
+            conf.set(key, before)
+
     def _read(self, name: str, batches: range, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{name}/batch={n}" for n in batches]
         if not paths:
@@ -93,10 +106,11 @@ class GrantSupport:
         if batch:
             pairs += [(self._scoped("entities", earlier, touched["rules"]), now["rules"]),
                       (now["entities"], self._scoped("rules", earlier, touched["entities"]))]
-        met = [supported(e, r) for e, r in pairs]
-        delta = reduce(DataFrame.unionByName, met).groupBy(*GRANT).agg(F.sum("support").alias("support"))
-        delta = delta.filter("support <> 0").withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
-        self._write(delta, "support", batch, ["user_bucket"])
+        # A task writes a file for each bucket of users, so there are fewer slices than where pairs are compared.
+        slices = max(BUCKETS, slices_of(self._scoped("rules", range(batch + 1))) // 4)
+        delta = reduce(DataFrame.unionByName, [supported(e, r, slices) for e, r in pairs])
+        delta = delta.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
+        self._write_unsorted(delta, "support", batch, ["user_bucket"])
         mine = self._support(range(batch, batch + 1))
         users = [r[0] for r in mine.select("user_bucket").distinct().collect()]
         old = self._support(earlier).filter(F.col("user_bucket").isin(*users) if users else F.lit(False))
@@ -105,7 +119,7 @@ class GrantSupport:
         sums = both.groupBy(*GRANT).agg(
             F.coalesce(F.sum(F.when(~F.col("_new"), F.col("support"))), F.lit(0)).alias("before"),
             F.sum("support").alias("after"), F.max("_new").alias("_new"))
-        return sums.filter("_new").drop("_new")
+        return sums.filter("_new and before <> after").drop("_new")
 
     def _support(self, batches: range) -> DataFrame:
         return self._read("support", batches, f"{GRANT_SCHEMA}, support long, user_bucket int, batch int")

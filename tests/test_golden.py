@@ -224,6 +224,10 @@ def test_grants_meet_and_are_judged_without_an_exchange_of_pairs(spark):
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     # Beside the grants' own steps only scopes are exchanged, once for entities with an id and once for those without.
     assert exchanges(access.stale_grants(grants_tables(spark, False), held)) <= exchanges(held) + 4
+    entities, rules = grant_support.scopes(t)
+    pairs = grant_support.supported(entities.withColumn("sign", F.lit(1)), rules.withColumn("sign", F.lit(1)), 40)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "support" in plan and pairs.rdd.getNumPartitions() == 40
 
 
 def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
