@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mapwise.operators.requests import request_pairs
+from mapwise.plans import session
 from mapwise.plans.session import tune
 from mapwise.plans.skew import fan_out_join
+from mapwise.sources import adapter
 
 
 def plan(df) -> str:
@@ -51,6 +53,21 @@ def test_merged_partitions_stay_small(spark):
     assert conf.get("spark.sql.files.maxPartitionBytes") == "8m"
 
 
+def test_exchanges_start_from_more_partitions_for_larger_tables(spark, tmp_path, monkeypatch):
+    """Partitions are merged but never cut, so their number has to follow the tables' bytes."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for name, rows in (("orders", 1000), ("lineitem", 100_000)):
+        spark.range(rows).select(F.xxhash64("id").alias("l_orderkey")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(session, "BYTES_TO_START", 2000)
+    tables = adapter.Tables(spark, str(tmp_path))
+    assert spark.conf.get(key) == "200"
+    stored = sum(p.stat().st_size for n in ("orders", "lineitem") for p in (tmp_path / f"{n}.parquet").glob("*.parquet"))
+    assert tables["orders"].count() + tables["lineitem"].count() == 101_000
+    assert int(spark.conf.get(key)) == -(-stored // 2000) > 200
+    tune(spark)
+    assert spark.conf.get(key) == "200"
+
+
 def small_access(spark):
     """Users 1 (administrator), 2 (head with the faculty's courses, twice) and 3 (director of program 0 and its faculty)."""
     def table(rows, schema):
