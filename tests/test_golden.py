@@ -230,6 +230,19 @@ def test_grants_meet_and_are_judged_without_an_exchange_of_pairs(spark):
     assert "_salt" not in plan and "support" in plan and pairs.rdd.getNumPartitions() == 40
 
 
+def test_grants_of_many_rules_meet_without_a_broadcast(spark, monkeypatch):
+    t = grants_tables(spark, True)
+    want = access.expand_grants(t).collect()
+    monkeypatch.setattr(access, "MOST_SLICES", 1)
+    held = access.expand_grants(t)
+    assert sorted(map(str, held.collect())) == sorted(map(str, want))
+    assert {(r.user_id, r.entity_id) for r in access.stale_grants(grants_tables(spark, False), held).collect()} == {
+        (2, 2), (2, 3), (3, 1), (3, 3)}
+    entities, rules = grant_support.scopes(t)
+    pairs = grant_support.supported(entities.withColumn("sign", F.lit(1)), rules.withColumn("sign", F.lit(1)), 8)
+    assert {tuple(r) for r in pairs.select(*access.GRANT).distinct().collect()} == {tuple(r) for r in want}
+
+
 def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
     draw = random.Random(8)
     store = grant_support.GrantSupport(spark, str(tmp_path / "support"))
