@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mapwise.llm.words import WordHashes, mixed, slices
+from mapwise.llm.words import WordHashes, mixed, slices, tidied
 
 #: Word edits allowed per word of an item.
 ERROR_SHARE = 0.15
@@ -161,6 +161,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHA
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                     ["doc_id", "item_id", "distance", "n_words", "end_word"])
 
-        part = rows.mapInArrow(run, kinds)
+        part = rows.mapInArrow(tidied(run), kinds)
         found = part if found is None else found.unionByName(part)
     return found

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.graph import components
 from mapwise.llm.storage import stored
-from mapwise.llm.words import WordHashes, hashed_words, mixed, shingle_sets, slices, starts_of
+from mapwise.llm.words import WordHashes, hashed_words, mixed, shingle_sets, slices, starts_of, tidied
 
 #: Bands of ROWS registers. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**30 = 1.4e-7.
 BANDS, ROWS = 30, 4
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "row", "n", "cls", "cid", "regs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
-    return rows.mapInArrow(run, "doc_id long, row long, n long, cls binary, cid long, regs binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, row long, n long, cls binary, cid long, regs binary")
 
 
 def _floor(percent: int) -> float:
@@ -263,7 +263,7 @@ def _sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> D
                         ["cid", "cls", "own"])
 
     rows = docs.select(row_key().alias("row"), "text").join(chosen, "row")
-    sets = rows.select("text", "expected").mapInArrow(run, "cid long, cls binary, own binary")
+    sets = rows.select("text", "expected").mapInArrow(tidied(run), "cid long, cls binary, own binary")
     return stored(sets.dropDuplicates(["cls"]), "dedup-sets")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mapwise.llm.subwords import WordRows, subwords
-from mapwise.llm.words import mixed, release_memory, slices, starts_of
+from mapwise.llm.words import mixed, slices, starts_of, tidied
 
 #: Hashed vectors and their length; character n-grams of each word; all taken with the word's own case and marks.
 BUCKETS, DIM, SIZES, AFFIXES = 1 << 17, 12, (3,), (2, 4)
@@ -128,7 +128,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) ->
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(cut, "label int, words array<string>")
+    rows = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(tidied(cut), "label int, words array<string>")
     return [(r.label, r.words) for r in rows.collect()]
 
 
@@ -211,10 +211,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             found = [scores(texts) for _, texts in slices(batch.column(place), 3_000_000)]
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) >= threshold))
-        del scores
-        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,14 +19,13 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mapwise.llm.words import release_memory, slices
+from mapwise.llm.words import kept_by_worker, release_memory, slices, tidied
 
 #: Appended to each document.
 END_ID = 1
@@ -188,10 +187,9 @@ def unpack(payload: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = rest[n:]
 
 
-@cache
 def worker_words(path: str) -> WordIds:
-    """The words met so far by this Python worker, over all its tasks."""
-    return WordIds(path)
+    """The words met so far by this Python worker, over all its tasks of this stage."""
+    return kept_by_worker(("token words", path), lambda: WordIds(path))
 
 
 def write_tokens(
@@ -278,4 +276,4 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
 
     parts = spark.read.schema("part int, offset long").parquet(f"{folder}/parts")
     files = read_files(spark, folder).join(parts, "part")
-    return files.select((F.col("offset") + F.col("before")).alias("start"), "payload").mapInArrow(decode, kinds)
+    return files.select((F.col("offset") + F.col("before")).alias("start"), "payload").mapInArrow(tidied(decode), kinds)

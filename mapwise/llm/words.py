@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,36 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.n
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
 
 
+#: What this Python worker keeps over its tasks: of one kind at a time, since workers outlive the stages.
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept by this Python worker for its next tasks with this key; what it kept for another one goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release_memory()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` in a Python worker that first drops what other work kept, and gives its own memory back at the end.
+
+    A stage with two such steps has two workers for each task, and all of them take turns in later stages, so
+    what each keeps adds up in an executor.
+    """
+
+    @wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        _KEPT.clear()
+        release_memory()
+        yield from run(batches)
+        release_memory()
+
+    return tidy
+
+
 def release_memory() -> None:
     """Give back to the system what earlier work of this Python worker has freed; workers outlive their tasks."""
     gc.collect()

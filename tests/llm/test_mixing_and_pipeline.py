@@ -76,3 +76,19 @@ def test_stages_act_by_row_not_by_id(spark, tmp_path):
     rows = [(None, item), (3, item), (3, "clean"), (None, "clean too"), (4, None)]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, kind), str(tmp_path)).collect()
     assert Counter(map(tuple, got)) == Counter([(3, "clean"), (None, "clean too"), (4, None)])
+
+
+def test_workers_drop_what_an_earlier_stage_kept():
+    from mapwise.llm import token_files, words
+    from mapwise.llm.queries import TOKENIZER
+
+    held = token_files.worker_words(TOKENIZER)
+    assert token_files.worker_words(TOKENIZER) is held  # kept over the tasks of a stage
+    before = len(words._KEPT)
+
+    def run(batches):
+        assert not words._KEPT  # dropped before the next stage takes memory of its own
+        yield from batches
+
+    assert before == 1 and list(words.tidied(run)(iter([1, 2]))) == [1, 2]
+    assert token_files.worker_words(TOKENIZER) is not held
