@@ -685,3 +685,17 @@ def test_tables_round_trip(spark, tmp_path):
     tables.write_tables(t, str(tmp_path))
     back = tables.load_tables(spark, str(tmp_path), ["course_programs"])["course_programs"]
     assert rows(back, "*") == [(1, 2, 1, 0)] and dict(back.dtypes)["map_status"] == "bigint"
+
+
+def test_line_tests_without_patterns_equal_the_patterns(spark):
+    from mapwise.functions import text
+    from mapwise.functions import vocabulary as v
+
+    ends = ["", " ", ":", "::", "\n", ":\n", ": ", " \r\n", "\x85", " \x85", ":\x85", "  ", ": ", "\x0b\x0c", " "]
+    fronts = ["", " ", "1. ", "2.3) ", "4", ":", "\t", "\x85 ", "١. "]
+    rows = [(f"{a}{b}{c}",) for a in fronts for b in ("", "Topics", "Course  Schedule: İx", "12") for c in ends] + [(None,)]
+    t = F.col("t")
+    got = spark.createDataFrame(rows, "t string").select(
+        text.strip(t).eqNullSafe(text.strip_column(t)).alias("strip"),
+        F.regexp_replace(text.plain_label(t), v.SECTION_NUMBER, "").eqNullSafe(text.normal_heading(t)).alias("heading")).collect()
+    assert all(r.strip and r.heading for r in got) and len(got) == len(rows)
