@@ -35,8 +35,8 @@ id: {id}
 /no_think"""
 
 
-def request_pairs(requests: DataFrame, clos: DataFrame, plos: DataFrame) -> DataFrame:
-    """All (CLO, PLO) pairs of every request with their pair id.
+def request_pairs(requests: DataFrame, clos: DataFrame, plos: DataFrame, *more: str) -> DataFrame:
+    """All (CLO, PLO) pairs of every request with their pair id, and the columns ``more`` of the PLOs.
 
     Outcomes stay rows, so no request is gathered into one value; requests of one large program are spread.
     """
@@ -45,10 +45,10 @@ def request_pairs(requests: DataFrame, clos: DataFrame, plos: DataFrame) -> Data
         clos.select("course_id", "l_outcome_id", "l_outcome"),
         requests.select("request_id", "course_id", "program_id"), ["course_id"],
     )
-    pairs = fan_out_join(mine, plos.select("program_id", "pl_outcome_id", "pl_outcome"), ["program_id"])
+    pairs = fan_out_join(mine, plos.select("program_id", "pl_outcome_id", "pl_outcome", *more), ["program_id"])
     return pairs.select(
         "program_id", "course_id", "request_id", "l_outcome_id", "l_outcome", "pl_outcome_id", "pl_outcome",
-        rules.pair_id(F.col("l_outcome_id"), F.col("pl_outcome_id")).alias("pair_id"),
+        rules.pair_id(F.col("l_outcome_id"), F.col("pl_outcome_id")).alias("pair_id"), *more,
     )
 
 
@@ -64,7 +64,8 @@ def build_prompts(
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts per pair, and the requests rejected because a scale has no abbreviation.
 
-    The level list of a program is part of each prompt, so it is aggregated once per program.
+    The level list of a program is part of each prompt, so it is aggregated once per program. It joins the program's PLOs,
+    not the pairs, so that no pair is exchanged.
     """
     ordered = F.sort_array(F.collect_list(F.struct("map_scale_id", "abbreviation", "title")))
     texts = scales.groupBy("program_id").agg(
@@ -78,7 +79,8 @@ def build_prompts(
     tagged = requests.select("request_id", "course_id", "program_id").join(texts, "program_id", "left")
     bad = F.coalesce("incomplete", F.lit(False))
     rejects = tagged.filter(bad).select("request_id", "course_id", "program_id")
-    pairs = request_pairs(tagged.filter(~bad), clos, plos).join(texts, "program_id", "left")
+    levelled = plos.join(texts.select("program_id", "scales", "labels"), "program_id", "left")
+    pairs = request_pairs(tagged.filter(~bad), clos, levelled, "scales", "labels")
     prompt = _filled(template, {
         "scales": F.coalesce("scales", F.lit(NO_SCALES)), "labels": F.coalesce("labels", F.lit("[]")),
         "clo": F.col("l_outcome"), "plo": F.col("pl_outcome"), "id": F.col("pair_id"),

@@ -33,6 +33,31 @@ def test_pairs_copy_requests_and_broadcast_nothing(spark):
         (1, 10, 20), (1, 11, 20), (2, 10, 21), (2, 11, 21)]
 
 
+def test_prompts_are_stored_compressed(spark, tmp_path):
+    """Each line holds the template and the levels: as plain text the files of all pairs would be far larger than the tables."""
+    from mapwise.operators.requests import build_prompts
+    from mapwise.sources.jsonl import write_prompts
+
+    requests = spark.createDataFrame([(1, 7, 0)], "request_id long, course_id long, program_id long")
+    clos = spark.range(50).select(F.lit(7).cast("long").alias("course_id"), F.col("id").alias("l_outcome_id"), F.lit("clo").alias("l_outcome"))
+    plos = spark.range(20).select(F.lit(0).cast("long").alias("program_id"), F.col("id").alias("pl_outcome_id"), F.lit("plo").alias("pl_outcome"))
+    scales = spark.createDataFrame([(0, 1, "Introduced", "I")], "program_id long, map_scale_id long, title string, abbreviation string")
+    conf, key = spark.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(key)
+    conf.set(key, "-1")
+    try:
+        prompts = build_prompts(requests, clos, plos, scales)[0]
+        exchanges = [step for step in plan(prompts).splitlines() if "Exchange" in step]
+    finally:
+        conf.set(key, before)
+    # The last exchange before the prompts deals out what is joined to pairs; pairs are not dealt out again for their levels.
+    assert "_salt" in exchanges[0]
+    write_prompts(prompts, str(tmp_path / "prompts"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "prompts")).collect()]
+    stored = sum(p.stat().st_size for p in (tmp_path / "prompts").glob("part-*"))
+    assert len(lines) == 1000 and all("I - Introduced" in x for x in lines) and stored < sum(map(len, lines)) / 5
+
+
 def test_tables_are_broadcast_by_rows_not_by_files(spark, tmp_path):
     """A file of 2 MB with a million rows: small on disk, large as the hash table of a broadcast."""
     tune(spark)
