@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mapwise.operators.access import (
-    GRANT, GRANT_SCHEMA, PROGRAM_DIRECTOR, RULE, SCOPED, assignment_rules, entity_scopes, granted, slices_of,
+    ENTITY, GRANT, GRANT_SCHEMA, MOST_SLICES, PROGRAM_DIRECTOR, RULE, RULES_PER_SLICE, SCOPED, assignment_rules, entity_scopes,
+    granted,
 )
 from mapwise.operators.programs import Frames
 
@@ -53,24 +55,18 @@ class GrantSupport:
     whose entities change and the entities of the scopes whose rules change, and writes three folders of its own; nothing
     that was written before is read as a whole or written again. A batch that runs twice writes the same folders, so it
     counts once. Batches run in the order of their numbers, one at a time.
+
+    Within the bucket of its users ``support`` is bucketed by entity, into the slices that pairs meet in: the batches of a grant
+    lie in the same bucket, so they are added up without an exchange. The number of slices is that of the first batch.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._table = "grant_support_" + hashlib.md5(self.folder.encode()).hexdigest()
 
     def _write(self, rows: DataFrame, name: str, batch: int, parts: list[str]) -> None:
         rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.folder}/{name}/batch={batch}")
 
-    def _write_unsorted(self, rows: DataFrame, name: str, batch: int, parts: list[str]) -> None:
-        """As ``_write`` for very many rows in at most ``BUCKETS`` folders: a task keeps a file open for each instead of sorting."""
-        conf, key = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
-        before = conf.get(key)
-        conf.set(key, str(BUCKETS))
-        try:
-            self._write(rows, name, batch, parts)
-        finally:
-            conf.set(key, before)
-
     def _read(self, name: str, batches: range, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{name}/batch={n}" for n in batches]
         if not paths:
@@ -86,6 +82,46 @@ class GrantSupport:
             rows = rows.filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
         return rows
 
+    def _slices(self) -> int:
+        return self.spark.read.schema("slices int").parquet(f"{self.folder}/slices").first()[0]
+
+    def _declare(self) -> None:
+        self.spark.sql(
+            f"create table {self._table} ({GRANT_SCHEMA}, support long, batch int, user_bucket int) using parquet "
+            f"partitioned by (batch, user_bucket) clustered by ({', '.join(ENTITY)}) into {self._slices()} buckets "
+            f"location '{self.folder}/support'")
+
+    def _log(self) -> DataFrame:
+        """The rows of ``support``: a table over its folder, declared in each session that uses it."""
+        if not self.spark.catalog.tableExists(self._table):
+            self._declare()
+            self.spark.catalog.recoverPartitions(self._table)
+        return self.spark.table(self._table)
+
+    def _write_support(self, rows: DataFrame, batch: int) -> list[int]:
+        """Write the folder of a batch, and name the buckets of users in it. A task keeps a file open for each instead of sorting."""
+        into, conf, key = self._log(), self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int").alias("user_bucket")
+        rows = rows.select(*[c for c in into.columns if c not in ("batch", "user_bucket")], bucket)
+        before = conf.get(key)
+        conf.set(key, str(BUCKETS))
+        try:
+            self.spark.sql(f"insert overwrite table {self._table} partition (batch = {batch}, user_bucket) select * from {{rows}}", rows=rows)
+        finally:
+            conf.set(key, before)
+        # Folders, of which there are at most BUCKETS.
+        folders = self.spark.sql(f"show partitions {self._table} partition (batch = {batch})").collect()
+        return sorted(int(f.partition.rsplit("=", 1)[1]) for f in folders)
+
+    def _folded(self, upto: int, users: list[int], *sums: Column) -> DataFrame:
+        """``sums`` of the grants of some buckets of users over the batches up to ``upto``, a bucket after the other.
+
+        Rows lie by entity already: each task adds up one slice of a bucket's grants.
+        """
+        log = self._log().filter(F.col("batch") <= upto)
+        parts = [log.filter(F.col("user_bucket") == b).groupBy(*GRANT).agg(*sums) for b in users]
+        return reduce(DataFrame.unionByName, parts) if parts else log.filter(F.lit(False)).groupBy(*GRANT).agg(*sums)
+
     def apply(self, batch: int, entities: DataFrame | None, rules: DataFrame | None) -> DataFrame:
         """Take in signed changes (see ``signed_difference``) as batch ``batch``: (GRANT, before, after) of what changed.
 
@@ -106,25 +142,22 @@ class GrantSupport:
         if batch:
             pairs += [(self._scoped("entities", earlier, touched["rules"]), now["rules"]),
                       (now["entities"], self._scoped("rules", earlier, touched["entities"]))]
-        # A task writes a file for each bucket of users, so there are fewer slices than where pairs are compared.
-        slices = max(BUCKETS, slices_of(self._scoped("rules", range(batch + 1))) // 4)
+        else:
+            # A task writes a file for each bucket of users, so there are fewer slices than where pairs are compared.
+            slices = max(BUCKETS, min(MOST_SLICES, now["rules"].count() // RULES_PER_SLICE // 4))
+            self.spark.sql(f"drop table if exists {self._table}")
+            self.spark.createDataFrame([(slices,)], "slices int").write.mode("overwrite").parquet(f"{self.folder}/slices")
+            self._declare()
+        slices = self._slices()
         delta = reduce(DataFrame.unionByName, [supported(e, r, slices) for e, r in pairs])
-        delta = delta.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
-        self._write_unsorted(delta, "support", batch, ["user_bucket"])
-        mine = self._support(range(batch, batch + 1))
-        users = [r[0] for r in mine.select("user_bucket").distinct().collect()]
-        old = self._support(earlier).filter(F.col("user_bucket").isin(*users) if users else F.lit(False))
+        users = self._write_support(delta, batch)
         # Only the grants of the change meet their own counts: one key each, added up before they are compared.
-        both = old.withColumn("_new", F.lit(False)).unionByName(mine.withColumn("_new", F.lit(True)))
-        sums = both.groupBy(*GRANT).agg(
-            F.coalesce(F.sum(F.when(~F.col("_new"), F.col("support"))), F.lit(0)).alias("before"),
-            F.sum("support").alias("after"), F.max("_new").alias("_new"))
+        earlier_support = F.when(F.col("batch") < batch, F.col("support"))
+        sums = self._folded(
+            batch, users, F.coalesce(F.sum(earlier_support), F.lit(0)).alias("before"), F.sum("support").alias("after"),
+            F.max(F.col("batch") == batch).alias("_new"))
         return sums.filter("_new and before <> after").drop("_new")
 
-    def _support(self, batches: range) -> DataFrame:
-        return self._read("support", batches, f"{GRANT_SCHEMA}, support long, user_bucket int, batch int")
-
     def current(self, upto: int) -> DataFrame:
         """The grants after batch ``upto`` with the number of pairs that justify each: (GRANT, support)."""
-        every = self._support(range(upto + 1))
-        return every.groupBy(*GRANT).agg(F.sum("support").alias("support")).filter("support > 0")
+        return self._folded(upto, list(range(BUCKETS)), F.sum("support").alias("support")).filter("support > 0")

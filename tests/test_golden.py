@@ -267,6 +267,24 @@ def test_grants_by_support_follow_any_series_of_changes(spark, tmp_path):
                   "department_head": pick(grants_tables(spark, batch % 2 == 0)["department_head"])}
 
 
+def test_support_is_added_up_where_it_lies(spark, tmp_path):
+    """The log of each bucket of users lies by entity: no grant is exchanged to add up its batches, also in a later session."""
+    store = grant_support.GrantSupport(spark, str(tmp_path / "support"))
+    t = grants_tables(spark, True)
+    sides = grant_support.scopes(t)
+    store.apply(0, *(side.withColumn("sign", F.lit(1)) for side in sides))
+    changed = store.apply(1, None, sides[1].filter("user_id = 2").withColumn("sign", F.lit(-1)))
+    for folded in (store.current(1), changed):
+        steps = folded._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in steps and "Exchange" not in steps
+    want = {tuple(r) for r in access.expand_grants(t).collect()}
+    spark.sql(f"drop table {store._table}")  # as in a session that has not seen the log yet
+    again = grant_support.GrantSupport(spark, str(tmp_path / "support"))
+    assert {tuple(r)[:6] for r in again.current(0).collect()} == want
+    assert {tuple(r)[:6] for r in again.current(1).collect()} == {g for g in want if g[2] != 2}
+    assert {tuple(r)[:6] for r in changed.collect()} == {g for g in want if g[2] == 2}
+
+
 def test_program_map_follows_its_change_feed(spark, tmp_path):
     draw = random.Random(5)
     scales = [(0, "N/A", None), (1, "I", "#111111"), (2, "D", "#222222"), (3, "A", "#333333")]
