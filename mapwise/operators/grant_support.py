@@ -144,7 +144,7 @@ class GrantSupport:
                       (now["entities"], self._scoped("rules", earlier, touched["entities"]))]
         else:
             # A task writes a file for each bucket of users, so there are fewer slices than where pairs are compared.
-            slices = max(BUCKETS, min(MOST_SLICES, now["rules"].count() // RULES_PER_SLICE // 4))
+            slices = max(BUCKETS, min(MOST_SLICES // 4, now["rules"].count() // RULES_PER_SLICE // 4))
             self.spark.sql(f"drop table if exists {self._table}")
             self.spark.createDataFrame([(slices,)], "slices int").write.mode("overwrite").parquet(f"{self.folder}/slices")
             self._declare()

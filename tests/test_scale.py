@@ -148,6 +148,25 @@ def test_grants_of_overlapping_scopes_come_once(spark):
     assert level[("course", 11, None)] == 0 and level[("program", 0, 3)] == 1
 
 
+def test_visible_entities_come_by_user(spark):
+    """The entities of a user lie together, so that files of very many pairs stay small; rows by entity repeat all users."""
+    from itertools import groupby
+
+    from mapwise.operators.access import expand_grants, visible_entities
+
+    t = small_access(spark)
+    t["courses"] = spark.range(10, 210).select(
+        F.col("id").alias("course_id"), F.lit("MATH").alias("course_code"), *[F.lit(v).alias(k) for k, v in zip(
+            ("campus", "faculty", "department"), "OFD", strict=True)])
+    t["department_head"] = spark.range(100, 140).select(
+        F.col("id").alias("user_id"), F.lit(5).cast("long").alias("department_id"), F.lit(True).alias("has_access_to_all_courses_in_faculty"))
+    for found in (visible_entities(t), expand_grants(t, listed=True)):
+        rows = found.filter("user_id >= 100").select(F.spark_partition_id().alias("part"), "user_id").collect()
+        assert len(rows) > 40 * 200
+        assert len(list(groupby(rows))) < len(rows) / 4
+    assert sorted(map(str, expand_grants(t, listed=True).collect())) == sorted(map(str, expand_grants(t).collect()))
+
+
 def test_partitions_of_documents_follow_their_bytes(spark):
     """Ten times the corpus gives ten times the partitions, none of them larger, whatever the session's number is."""
     from mapwise.sources.corpus import PARTITION_BYTES, corpus_lines, partitions_of
