@@ -167,6 +167,20 @@ def test_visible_entities_come_by_user(spark):
     assert sorted(map(str, expand_grants(t, listed=True).collect())) == sorted(map(str, expand_grants(t).collect()))
 
 
+def test_grants_of_forty_thousand_rules_lie_by_entity(spark):
+    """As many rules as a large copy of the tables has: what judges their grants by entity needs no exchange of pairs."""
+    from mapwise.operators.access import granted, slices_of
+
+    rules = spark.range(40_000).select(
+        F.col("id").alias("user_id"), F.lit("r").alias("role"), F.when(F.col("id") % 2 == 0, "all").otherwise("faculty").alias("scope_kind"),
+        (F.col("id") % 3).alias("scope_id"), F.lit(None).cast("long").alias("rule_program_id"), F.lit(None).cast("long").alias("department_id"))
+    entities = spark.createDataFrame([("course", 1, "all", 0, None), ("program", 2, "faculty", 1, None)],
+                                     "entity string, entity_id long, scope_kind string, scope_id long, via_program_id long")
+    grants = granted(entities, rules, slices_of(rules))
+    steps = plan(grants.groupBy("entity", "entity_id").count())
+    assert "BroadcastHashJoin" in steps and "Exchange hashpartitioning(user_id" not in steps and steps.count("Exchange hashpartitioning") == 1
+
+
 def test_partitions_of_documents_follow_their_bytes(spark):
     """Ten times the corpus gives ten times the partitions, none of them larger, whatever the session's number is."""
     from mapwise.sources.corpus import PARTITION_BYTES, corpus_lines, partitions_of
